@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import ingest, model
+from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.metrics import SeriesTrend
 from tidemark.sources import testdata as td
 
@@ -38,9 +40,56 @@ C = td.COLS
 E, P = C.entity, C.period
 
 
+RULES = ingest.CleanRules(valid_types=td.VALID_TYPES)
+
+
+# -- ingest ----------------------------------------------------------------
+def _selected(spark, sf_dir):
+    sel = td.selected_entities(spark, sf_dir)
+    return sel, sel.count()
+
+
+def _tagged(spark, sf_dir):
+    sel, n = _selected(spark, sf_dir)
+    return ingest.tag_items(
+        td.raw_items(spark, sf_dir), td.raw_ratings(spark, sf_dir), td.raw_types(spark, sf_dir),
+        sel, RULES, selected_rows=n,
+    )
+
+
+def q_clean_items(spark, sf_dir):
+    return rounded(ingest.clean_items(_tagged(spark, sf_dir)))
+
+
+def q_clean_funnel(spark, sf_dir):
+    return ingest.clean_funnel(_tagged(spark, sf_dir))
+
+
+def q_item_types(spark, sf_dir):
+    return ingest.item_types(_tagged(spark, sf_dir), RULES)
+
+
+def _metadata(spark, sf_dir):
+    sel, n = _selected(spark, sf_dir)
+    return ingest.entity_metadata(td.entity_basics(spark, sf_dir), sel, n, RULES)
+
+
+def q_entity_metadata(spark, sf_dir):
+    return _metadata(spark, sf_dir)
+
+
+def q_dedupe_first(spark, sf_dir):
+    return rounded(dedupe_first(td.fact(spark, sf_dir), [C.item], [C.score, C.weight]))
+
+
 # -- model -----------------------------------------------------------------
+def q_dim_entity(spark, sf_dir):
+    cat = td.categories(spark, sf_dir)
+    return model.dim_entity(_metadata(spark, sf_dir), cat, category_rows=cat.count())
+
+
 def q_fact_item(spark, sf_dir):
-    return rounded(td.fact(spark, sf_dir))
+    return rounded(model.fact_item(td.fact(spark, sf_dir)))
 
 
 # -- metrics ---------------------------------------------------------------
@@ -99,6 +148,12 @@ def q_entity_summary(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "clean_items": q_clean_items,
+    "clean_funnel": q_clean_funnel,
+    "entity_metadata": q_entity_metadata,
+    "item_types": q_item_types,
+    "dedupe_first": q_dedupe_first,
+    "dim_entity": q_dim_entity,
     "fact_item": q_fact_item,
     "period_stats": q_period_stats,
     "weighted_mean": q_weighted_mean,
