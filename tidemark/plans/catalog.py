@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import ingest, model
+from tidemark.operators import ingest, model, reconcile
 from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.metrics import SeriesTrend
 from tidemark.sources import testdata as td
@@ -147,6 +147,49 @@ def q_entity_summary(spark, sf_dir):
     return _trend(spark, sf_dir).summary(td.shows(spark, sf_dir))
 
 
+# -- reconciliation ----------------------------------------------------------
+def _titles(spark, sf_dir):
+    t = td.shows(spark, sf_dir)
+    return t, t.count()
+
+
+def q_reconcile_counts(spark, sf_dir):
+    tr = _trend(spark, sf_dir)
+    titles, n = _titles(spark, sf_dir)
+    return reconcile.reconcile_counts(tr.fact, tr.frame, titles, C, titles_rows=n)
+
+
+def q_spot_check(spark, sf_dir):
+    tr = _trend(spark, sf_dir)
+    titles, n = _titles(spark, sf_dir)
+    return rounded(reconcile.spot_check(tr.fact, tr.frame, titles, C, kpi_rows=tr.rows, titles_rows=n))
+
+
+def q_duplicate_keys(spark, sf_dir):
+    return reconcile.duplicate_items(td.fact(spark, sf_dir), C)
+
+
+def q_break_sanity(spark, sf_dir):
+    tr = _trend(spark, sf_dir)
+    titles, n = _titles(spark, sf_dir)
+    return reconcile.break_sanity(tr.break_period(titles), tr.frame, titles, C, titles_rows=n, kpi_rows=tr.rows)
+
+
+def q_weight_extremes(spark, sf_dir):
+    titles, n = _titles(spark, sf_dir)
+    return reconcile.weight_extremes(td.fact(spark, sf_dir), titles, C, td.ITEM_LINK_PREFIX, titles_rows=n)
+
+
+def q_qa_summary(spark, sf_dir):
+    tr = _trend(spark, sf_dir)
+    titles, n = _titles(spark, sf_dir)
+    counts = reconcile.reconcile_counts(tr.fact, tr.frame, titles, C, titles_rows=n)
+    spot = reconcile.spot_check(tr.fact, tr.frame, titles, C, kpi_rows=tr.rows, titles_rows=n)
+    dups = reconcile.duplicate_items(tr.fact, C)
+    sanity = reconcile.break_sanity(tr.break_period(titles), tr.frame, titles, C, titles_rows=n, kpi_rows=tr.rows)
+    return reconcile.qa_summary(counts, spot, dups, sanity, is_sample=False)
+
+
 QUERIES: dict[str, Query] = {
     "clean_items": q_clean_items,
     "clean_funnel": q_clean_funnel,
@@ -168,4 +211,10 @@ QUERIES: dict[str, Query] = {
     "break_period_strict": q_break_period_strict,
     "durability": q_durability,
     "entity_summary": q_entity_summary,
+    "reconcile_counts": q_reconcile_counts,
+    "spot_check": q_spot_check,
+    "duplicate_keys": q_duplicate_keys,
+    "break_sanity": q_break_sanity,
+    "weight_extremes": q_weight_extremes,
+    "qa_summary": q_qa_summary,
 }
