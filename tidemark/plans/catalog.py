@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import ingest, model, reconcile
+from tidemark.operators import ingest, model, quality, reconcile
+from tidemark.session import materialize
 from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.metrics import SeriesTrend
 from tidemark.sources import testdata as td
@@ -190,6 +191,23 @@ def q_qa_summary(spark, sf_dir):
     return reconcile.qa_summary(counts, spot, dups, sanity, is_sample=False)
 
 
+# -- data quality (whole chain: clean -> metrics -> checks) -------------------
+def q_dq_checks(spark, sf_dir):
+    sel, n = _selected(spark, sf_dir)
+    tagged = materialize(ingest.tag_items(
+        td.raw_items(spark, sf_dir), td.raw_ratings(spark, sf_dir), td.raw_types(spark, sf_dir),
+        sel, RULES, selected_rows=n,
+    ))
+    items = ingest.clean_items(tagged)
+    types = ingest.item_types(tagged, RULES)
+    meta = ingest.entity_metadata(td.entity_basics(spark, sf_dir), sel, n, RULES)
+    expected = sel.select(F.col(E).cast("string").alias(E))
+    tr = SeriesTrend(items)
+    rules = quality.QualityRules(valid_types=td.VALID_TYPES, rederive_breaks=True)
+    return quality.dq_checks(items, meta, types, tr.kpis(), tr.break_period(expected), tr.durability(expected),
+                             expected, rules, expected_rows=n)
+
+
 QUERIES: dict[str, Query] = {
     "clean_items": q_clean_items,
     "clean_funnel": q_clean_funnel,
@@ -217,4 +235,5 @@ QUERIES: dict[str, Query] = {
     "break_sanity": q_break_sanity,
     "weight_extremes": q_weight_extremes,
     "qa_summary": q_qa_summary,
+    "dq_checks": q_dq_checks,
 }
