@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import ingest, model, quality, reconcile
+from tidemark.operators import ingest, marts, model, quality, reconcile
 from tidemark.session import materialize
 from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.metrics import SeriesTrend
@@ -208,6 +208,62 @@ def q_dq_checks(spark, sf_dir):
                              expected, rules, expected_rows=n)
 
 
+# -- marts -------------------------------------------------------------------
+def _dim(spark, sf_dir):
+    d = td.dim(spark, sf_dir)
+    return d, d.count()
+
+
+def q_kpi_card(spark, sf_dir):
+    return rounded(marts.kpi_card(_trend(spark, sf_dir), td.shows(spark, sf_dir)))
+
+
+def q_break_marker(spark, sf_dir):
+    return rounded(marts.break_marker(_trend(spark, sf_dir)))
+
+
+def q_rolling_gap(spark, sf_dir):
+    return rounded(marts.rolling_gap(_trend(spark, sf_dir)))
+
+
+def q_period_ranking(spark, sf_dir):
+    return rounded(marts.period_ranking(_trend(spark, sf_dir)))
+
+
+def q_score_distribution(spark, sf_dir):
+    return rounded(marts.score_distribution(_trend(spark, sf_dir)))
+
+
+def q_score_histogram(spark, sf_dir):
+    return rounded(marts.score_histogram(_trend(spark, sf_dir)))
+
+
+def q_volatility(spark, sf_dir):
+    return rounded(marts.volatility(_trend(spark, sf_dir)))
+
+
+def q_durability_rank(spark, sf_dir):
+    return marts.durability_rank(_trend(spark, sf_dir), td.shows(spark, sf_dir))
+
+
+def q_top_periods(spark, sf_dir):
+    return rounded(marts.top_periods(_trend(spark, sf_dir)))
+
+
+def q_category_comparison(spark, sf_dir):
+    d, n = _dim(spark, sf_dir)
+    return rounded(marts.category_comparison(_trend(spark, sf_dir), d, n))
+
+
+def q_recovery(spark, sf_dir):
+    return marts.recovery(_trend(spark, sf_dir), td.shows(spark, sf_dir))
+
+
+def q_genre_agg(spark, sf_dir):
+    d, n = _dim(spark, sf_dir)
+    return rounded(marts.genre_agg(_trend(spark, sf_dir), d, n))
+
+
 QUERIES: dict[str, Query] = {
     "clean_items": q_clean_items,
     "clean_funnel": q_clean_funnel,
@@ -236,4 +292,16 @@ QUERIES: dict[str, Query] = {
     "weight_extremes": q_weight_extremes,
     "qa_summary": q_qa_summary,
     "dq_checks": q_dq_checks,
+    "kpi_card": q_kpi_card,
+    "break_marker": q_break_marker,
+    "rolling_gap": q_rolling_gap,
+    "period_ranking": q_period_ranking,
+    "score_distribution": q_score_distribution,
+    "score_histogram": q_score_histogram,
+    "volatility": q_volatility,
+    "durability_rank": q_durability_rank,
+    "top_periods": q_top_periods,
+    "category_comparison": q_category_comparison,
+    "recovery": q_recovery,
+    "genre_agg": q_genre_agg,
 }

@@ -85,6 +85,13 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity dimension for the marts: (entity_id, title, category, genres)."""
+    return entity_rows(spark, sf_dir).select(
+        COLS.entity, "title", "category", F.concat_ws(",", "category", "region").alias("genres")
+    )
+
+
 def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity list with titles: (entity_id, title)."""
     return entity_rows(spark, sf_dir).select(COLS.entity, "title")
