@@ -4,6 +4,7 @@ lineage cuts through the cluster's shared checkpoint folder."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared checkpoint folder.
+    """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
+    folder and read it back.
 
-    Used for the small per-(entity, period) frames that several outputs
-    reuse and whose size is checked before a broadcast decision.
+    Used at stage boundaries (the tagged item table, the per-(entity, period)
+    frame that several outputs reuse and whose size drives broadcast
+    decisions). Parquet instead of ``DataFrame.checkpoint``: columnar, so
+    later reads prune columns, and much cheaper to write than serialized
+    rows. The folder is the cluster's shared one, so the table survives the
+    loss of any executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tidemark-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -16,7 +16,7 @@ Cleaning inputs (raw dumps analogue, before any rule is applied):
 
 * raw items    = every lineitem row; period text = ``year - 1995`` with 2001
                  missing (1995 becomes the special period 0, 2001 NULL)
-* raw ratings  = one row per item id (score, weight) derived from lineitem
+* raw ratings  = (item id, score, weight) of every lineitem row (ids repeat)
 * raw types    = the item's part type (``p_type``) via ``l_partkey``; valid
                  types exclude ``PROMO``
 * selected     = suppliers outside the ``MIDDLE EAST`` region
@@ -124,13 +124,13 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, score, weight): one row per item id, smallest (score, weight) wins."""
+    """(item_id, score, weight) for every lineitem row: an id can have several
+    rating rows; the cleaning operator keeps the smallest (score, weight)."""
     li = table(spark, sf_dir, "lineitem")
-    best = F.min(F.struct(score_expr().alias("score"), F.col("l_quantity").cast("bigint").alias("weight")))
-    return (
-        li.groupBy(item_id_expr().alias("item_id"))
-        .agg(best.alias("_r"))
-        .select("item_id", "_r.score", "_r.weight")
+    return li.select(
+        item_id_expr().alias("item_id"),
+        score_expr().alias("score"),
+        F.col("l_quantity").cast("bigint").alias("weight"),
     )
 
 
