@@ -39,6 +39,7 @@ def kpi_card(t: SeriesTrend, dim: DataFrame) -> DataFrame:
 def break_marker(t: SeriesTrend) -> DataFrame:
     """Period line with ``break_flag`` = 1 at the break period."""
     c = t.c
+    _ = t.rows  # write the period frame first so both sides read the stored copy
     line = t.attach_per_entity(t.frame.select(c.entity, c.period, "weighted_score"), t.detected_breaks(), "left")
     return line.select(
         c.entity, c.period, "weighted_score",
@@ -159,6 +160,7 @@ def recovery(t: SeriesTrend, dim: DataFrame) -> DataFrame:
     """D10 (rule defined here, the design notes leave it open): first period
     after the break whose rolling mean is back at or above the baseline."""
     c = t.c
+    _ = t.rows
     f = t.attach_per_entity(t.frame.select(c.entity, c.period, "rolling_mean", "baseline"),
                             t.detected_breaks(), "inner")
     rec = f.groupBy(c.entity).agg(

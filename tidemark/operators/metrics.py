@@ -10,9 +10,11 @@ Plan shape (see README "Plans"):
   windows. The baseline uses the ordered full frame so its summation
   order is fixed (a period series with <= 3 periods compares values that
   are mathematically equal; the order decides ``<``).
-* ``SeriesTrend`` materializes that frame once (checkpoint in the shared
-  folder) and every output (KPIs, break, durability, marts) selects from
-  it. Its exact row count drives the broadcast decisions.
+* ``SeriesTrend`` writes that frame once (Parquet in the shared checkpoint
+  folder) as soon as an output needs a join decision; every later output
+  (KPIs, break, durability, marts) reads the stored copy. Its exact row
+  count drives the broadcast decisions. Outputs that only select from the
+  frame stay one lazy plan.
 * ``pct_high`` needs item-level rows against the entity baseline: the
   baseline table (one row per entity) is broadcast when its size is within
   bound, otherwise hot entities are salted (``operators.joins.attach``).
@@ -78,17 +80,41 @@ def with_rank(trend: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
 
 
 class SeriesTrend:
-    """The period frame of one fact table, materialized once and reused."""
+    """The period frame of one fact table; written once (lazily) and reused.
+
+    Outputs that only select from the frame run as one lazy plan. The first
+    output that needs a join decision writes the frame to the shared
+    checkpoint folder and counts it; every later output reads that copy.
+    """
 
     def __init__(self, fact: DataFrame, c: SeriesCols = SeriesCols(), policy: JoinPolicy = JoinPolicy(),
                  window: int = 3):
         self.fact = fact
         self.c = c
         self.policy = policy
-        self.frame = materialize(with_trend(period_base(fact, c), c, window))
-        stats = self.frame.agg(F.count(F.lit(1)).alias("n"), F.sum("item_count").alias("items")).first()
-        self.rows = int(stats["n"])
-        self.items = int(stats["items"] or 0)
+        self._lazy = with_trend(period_base(fact, c), c, window)
+        self._stored: DataFrame | None = None
+        self._rows: int | None = None
+        self._items: int | None = None
+
+    @property
+    def frame(self) -> DataFrame:
+        return self._stored if self._stored is not None else self._lazy
+
+    @property
+    def rows(self) -> int:
+        """Exact row count of the frame (materializes it once)."""
+        if self._rows is None:
+            self._stored = materialize(self._lazy)
+            self._rows = self._stored.count()
+        return self._rows
+
+    @property
+    def items(self) -> int:
+        if self._items is None:
+            _ = self.rows
+            self._items = int(self.frame.agg(F.sum("item_count")).first()[0] or 0)
+        return self._items
 
     # -- join helpers -------------------------------------------------
     def hot_entities(self) -> DataFrame:
@@ -104,24 +130,28 @@ class SeriesTrend:
     def attach_per_entity(self, big: DataFrame, table: DataFrame, how: str = "inner",
                           salt_by: list[str] | None = None) -> DataFrame:
         """Join ``big`` to a table with at most one row per trend row on entity."""
+        rows = self.rows
+        hot = self.hot_entities() if (salt_by and rows > self.policy.max_broadcast_rows) else None
         return attach(
             big, table, [self.c.entity], how,
-            table_rows=self.rows,
+            table_rows=rows,
             max_broadcast_rows=self.policy.max_broadcast_rows,
-            hot_keys=self.hot_entities() if salt_by else None,
+            hot_keys=hot,
             salt_by=salt_by,
             salts=self.policy.salts,
         )
 
     def attach_per_period(self, big: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         """Join ``big`` to a table keyed by (entity, period) with <= trend rows."""
+        rows = self.rows
         return attach(big, table, [self.c.entity, self.c.period], how,
-                      table_rows=self.rows, max_broadcast_rows=self.policy.max_broadcast_rows)
+                      table_rows=rows, max_broadcast_rows=self.policy.max_broadcast_rows)
 
     # -- outputs ------------------------------------------------------
     def high_counts(self) -> DataFrame:
         """A7 numerator: items per (entity, period) with score >= entity baseline."""
         c = self.c
+        _ = self.rows  # materialize first so every branch reads the stored frame
         base = self.frame.groupBy(c.entity).agg(F.max("baseline").alias("_baseline"))
         narrow = self.fact.select(c.entity, c.period, c.score, c.item)
         joined = self.attach_per_entity(narrow, base, "inner", salt_by=[c.period, c.score, c.item])
@@ -132,6 +162,7 @@ class SeriesTrend:
     def kpis(self) -> DataFrame:
         """M3: the 12-column period KPI table (entities of the fact, dim not needed)."""
         c = self.c
+        _ = self.rows
         ranked = with_rank(self.frame, c)
         joined = self.attach_per_period(ranked, self.high_counts(), "left")
         return joined.select(
@@ -171,6 +202,7 @@ class SeriesTrend:
     def break_period(self, dim: DataFrame, strict: bool = False) -> DataFrame:
         """M4: one row per dimension entity, NULL when no break."""
         c = self.c
+        _ = self.rows
         return self.attach_per_entity(dim.select(c.entity), self.detected_breaks(strict), "left").select(
             c.entity, "break_period"
         )
@@ -178,6 +210,7 @@ class SeriesTrend:
     def durability(self, dim: DataFrame) -> DataFrame:
         """M5: one row per dimension entity, 0 by default."""
         c = self.c
+        _ = self.rows
         return self.attach_per_entity(dim.select(c.entity), self.durable_counts(), "left").select(
             c.entity, F.coalesce(F.col("durability"), F.lit(0).cast("bigint")).alias("durability")
         )
@@ -185,6 +218,7 @@ class SeriesTrend:
     def summary(self, dim: DataFrame) -> DataFrame:
         """M6: periods per dim entity, break period with its label, durability."""
         c = self.c
+        _ = self.rows
         per_entity = self.frame.groupBy(c.entity).agg(
             F.count(c.period).alias("period_count"),
             F.min(F.when((F.col("below") == 1) & (F.col("prev_below") == 1), F.col(c.period) - F.lit(1))).alias(

@@ -34,6 +34,22 @@ def first_by(df: DataFrame, order: Sequence[str | Column], columns: Sequence[str
     return best.filter(F.col("_n") > 0).select(*[F.col(f"_b.{c}").alias(c) for c in columns])
 
 
+def first_by_each(df: DataFrame, orders: dict[str, Sequence[str | Column]], columns: Sequence[str],
+                  label: str = "pick") -> DataFrame:
+    """Several ``first_by`` picks from ONE scan and one global aggregate:
+    one row per non-empty pick, tagged with its name in ``label``."""
+    aggs = [
+        F.min(F.struct(_sort_struct(order).alias("_k"), *columns)).alias(f"_b{i}")
+        for i, order in enumerate(orders.values())
+    ]
+    best = df.agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    picks = F.array(*[
+        F.struct(F.lit(name).alias(label), *[F.col(f"_b{i}.{c}").alias(c) for c in columns])
+        for i, name in enumerate(orders)
+    ])
+    return best.filter(F.col("_n") > 0).select(F.explode(picks).alias("_p")).select("_p.*")
+
+
 def element_at_rank(
     df: DataFrame,
     order: Sequence[str],

@@ -4,9 +4,11 @@ Output: (check_id, check_name, status, observed) with status PASS, FAIL or
 WARN (WARN only for the row-count parity check) and ``observed`` the
 number of violations (or the measured count for grain checks).
 
-Plan: one single-pass aggregate per table; its one row is exploded into
-several check rows. Key checks (uniqueness, subset, set equality) are
-aggregates or anti-joins; nothing is collected to the driver. The job
+Plan: one single-pass aggregate per table, plus one tag-and-group
+aggregate per key (item id; entity id) that answers the uniqueness,
+subset and set-equality checks of every table at once. The one-row
+results are merged (union + max) and exploded into check rows; nothing
+is collected to the driver. The job
 passes when no row has status FAIL (``dq_passed``).
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import castable_fails
-from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
+from tidemark.operators.joins import MAX_BROADCAST_ROWS
 
 # Expected layouts (fixed values).
 ITEM_COLUMNS = ["item_id", "entity_id", "period", "ordinal", "score", "weight"]
@@ -72,30 +74,30 @@ def _missing_columns(df: DataFrame, expected: Sequence[str]) -> int:
     return len(set(expected) - set(df.columns))
 
 
-def _distinct_missing(left: DataFrame, right: DataFrame, key: str, right_rows: int | None,
-                      rules: QualityRules) -> DataFrame:
-    """Distinct key values of ``left`` absent from ``right`` (anti-join)."""
-    lk = left.select(key).distinct()
-    rk = right.select(key).distinct()
-    return attach(lk, rk, [key], "left_anti", table_rows=right_rows, max_broadcast_rows=rules.max_broadcast_rows)
+def _presence(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Tag-and-group: one row per key value with the row count of each source.
 
-
-def _symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """One row per key value present on exactly one side (NULL keys ignored)."""
-    x = a.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_a", F.lit(True))
-    y = b.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_b", F.lit(True))
-    return x.join(y, key, "full_outer").filter(F.col("_a").isNull() | F.col("_b").isNull())
-
-
-def _extra_rows(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Aggregate over the per-key counts frame: rows beyond the first per key."""
-    return F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
+    A single partial-aggregating ``groupBy`` answers uniqueness, subset and
+    set-equality questions for all sources at once (no anti-joins)."""
+    frames = []
+    for tag, df in sources.items():
+        cols = [F.col(key)] + [F.lit(1 if t == tag else 0).alias(f"_n_{t}") for t in sources]
+        frames.append(df.select(*cols))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.groupBy(key).agg(*[F.sum(f"_n_{t}").alias(t) for t in sources])
 
 
 def _per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def _extra(col: str) -> Column:
+    """Rows beyond the first per key, summed over keys."""
+    return F.coalesce(F.sum(F.greatest(F.col(col) - 1, F.lit(0))), F.lit(0))
+
+
 def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expected: DataFrame,
                 rules: QualityRules = QualityRules(), expected_rows: int | None = None) -> DataFrame:
     """Phase 1: Q1-Q11 over the cleaned items, entity metadata and item types."""
@@ -117,23 +119,25 @@ def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expecte
     if rules.id_prefix is not None:
         per_item.append(F.count_if(~F.coalesce(F.col("item_id").startswith(rules.id_prefix), F.lit(False))).alias("bad_prefix"))
     ia = items.agg(*per_item)
-    dup = _per_key(items, ["item_id"]).agg(_extra_rows(items, ["item_id"]).alias("dup_items"))
-    unknown = _distinct_missing(items, expected, "entity_id", expected_rows, rules).agg(
-        F.count(F.lit(1)).alias("unknown_entities")
-    )
     ta = types.agg(
         F.count(F.lit(1)).alias("type_rows"),
         F.count_if(~F.coalesce(F.col("item_type").isin(*rules.valid_types), F.lit(False))).alias("bad_types"),
     )
-    tdup = _per_key(types, ["item_id"]).agg(_extra_rows(types, ["item_id"]).alias("dup_types"))
-    not_in_types = _distinct_missing(items, types, "item_id", None, rules).agg(
-        F.count(F.lit(1)).alias("missing_types")
+    ids = _presence({"i": items, "t": types}, "item_id").agg(
+        _extra("i").alias("dup_items"),
+        _extra("t").alias("dup_types"),
+        # a NULL id never matches (anti-join semantics)
+        F.count_if((F.col("i") > 0) & ((F.col("t") == 0) | F.col("item_id").isNull())).alias("missing_types"),
     )
-    meta = metadata.agg(F.count(F.lit(1)).alias("meta_rows"))
-    exp = expected.select("entity_id").distinct().agg(F.count(F.lit(1)).alias("expected_n"))
-    meta_diff = _symmetric_difference(metadata, expected, "entity_id").agg(F.count(F.lit(1)).alias("meta_diff"))
-
-    one = _combine([ia, dup, unknown, ta, tdup, not_in_types, meta, exp, meta_diff])
+    e, i, m = F.col("e") > 0, F.col("i") > 0, F.col("m") > 0
+    known = F.col("entity_id").isNotNull()
+    ents = _presence({"i": items, "e": expected, "m": metadata}, "entity_id").agg(
+        F.count_if(i & (~e | ~known)).alias("unknown_entities"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("meta_rows"),
+        F.count_if(e).alias("expected_n"),
+        F.count_if(known & (m != e)).alias("meta_diff"),
+    )
+    one = _combine([ia, ta, ids, ents])
     checks = [
         _check("Q1a", "items columns", F.lit(_missing_columns(items, ITEM_COLUMNS))),
         _check("Q1b", "metadata columns", F.lit(_missing_columns(metadata, METADATA_COLUMNS))),
@@ -186,37 +190,30 @@ def metric_checks(kpis: DataFrame, breaks: DataFrame, durability: DataFrame, exp
         F.count_if((wr < F.lit(rules.score_min)) | (wr > F.lit(rules.score_max))).alias("bad_wr"),
         F.count_if(vi <= 0).alias("bad_vi"),
     )
-    kdup = _per_key(kpis, ["entity_id", "period"]).agg(_extra_rows(kpis, ["entity_id", "period"]).alias("dup_kpi"))
-    kunknown = _distinct_missing(kpis, expected, "entity_id", expected_rows, rules).agg(
-        F.count(F.lit(1)).alias("unknown_kpi")
-    )
+    kdup = _per_key(kpis, ["entity_id", "period"]).agg(_extra("_n").alias("dup_kpi"))
     ba = breaks.agg(
-        F.count(F.lit(1)).alias("break_rows"),
-        F.count_distinct("entity_id").alias("break_entities"),
         F.count_if(F.col("break_period").isNotNull() & (F.col("break_period") < rules.min_break_period)).alias(
             "bad_break"
         ),
         F.count_if(F.col("break_period").isNotNull()).alias("triggered"),
     )
-    bdiff = _symmetric_difference(breaks, expected, "entity_id").agg(F.count(F.lit(1)).alias("break_diff"))
-    da = durability.agg(
-        F.count(F.lit(1)).alias("dur_rows"),
-        F.count_distinct("entity_id").alias("dur_entities"),
-        F.count_if(F.col("durability").isNull() | (F.col("durability") < 0)).alias("bad_dur"),
-    )
-    ddiff = _symmetric_difference(durability, expected, "entity_id").agg(F.count(F.lit(1)).alias("dur_diff"))
-    exp = expected.select("entity_id").distinct().agg(F.count(F.lit(1)).alias("expected_n"))
-    tagged = (
-        kpis.select("entity_id", F.lit("kpi").alias("_src"))
-        .unionByName(breaks.select("entity_id", F.lit("break").alias("_src")))
-        .unionByName(durability.select("entity_id", F.lit("durability").alias("_src")))
-        .unionByName(expected.select("entity_id", F.lit("expected").alias("_src")))
-    )
-    set_diff = (
-        tagged.groupBy("entity_id").agg(F.count_distinct("_src").alias("_k"))
-        .agg(F.count_if(F.col("_k") < 4).alias("set_diff"))
+    da = durability.agg(F.count_if(F.col("durability").isNull() | (F.col("durability") < 0)).alias("bad_dur"))
+    k, b, d, e = (F.col(x) > 0 for x in ("k", "b", "d", "e"))
+    known = F.col("entity_id").isNotNull()
+    ents = _presence({"k": kpis, "b": breaks, "d": durability, "e": expected}, "entity_id").agg(
+        F.count_if(k & (~e | ~known)).alias("unknown_kpi"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("break_rows"),
+        F.count_if(b & known).alias("break_entities"),
+        F.count_if(known & (b != e)).alias("break_diff"),
+        F.coalesce(F.sum("d"), F.lit(0)).alias("dur_rows"),
+        F.count_if(d & known).alias("dur_entities"),
+        F.count_if(known & (d != e)).alias("dur_diff"),
+        F.count_if(e).alias("expected_n"),
+        F.count_if(
+            k.cast("int") + b.cast("int") + d.cast("int") + e.cast("int") < 4
+        ).alias("set_diff"),
     )
-    stats = [ka, kdup, kunknown, ba, bdiff, da, ddiff, exp, set_diff]
+    stats = [ka, kdup, ba, da, ents]
     checks = [
         _check("Q12a", "kpi columns", F.lit(_missing_columns(kpis, KPI_COLUMNS))),
         _check("Q12b", "kpi castable", F.col("kpi_cast_fail")),

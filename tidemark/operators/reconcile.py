@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import safe_ratio, within_tolerance
 from tidemark.operators.dedupe import duplicate_keys
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
-from tidemark.operators.order_stats import element_at_rank, first_by
+from tidemark.operators.order_stats import element_at_rank, first_by_each
 from tidemark.schemas import SeriesCols
 
 # Fixed values of the reports.
@@ -122,11 +122,10 @@ def weight_extremes(items: DataFrame, titles: DataFrame, c: SeriesCols = SeriesC
     ties on the highest weight go to the lowest id. The same item may appear
     twice when n <= 2. Blank columns are left for a manual check."""
     cols = [c.weight, c.item, c.entity, c.period, c.ordinal, c.score]
-    lowest = first_by(items, cols, cols).withColumn("pick", F.lit("lowest"))
     highest_order = [(-F.col(c.weight)).alias("_w")] + [F.col(x) for x in cols[1:]]
-    highest = first_by(items, highest_order, cols).withColumn("pick", F.lit("highest"))
+    ends = first_by_each(items, {"lowest": cols, "highest": highest_order}, cols)
     median = element_at_rank(items.select(*cols), cols, 0.5).withColumn("pick", F.lit("median"))
-    picks = lowest.unionByName(median).unionByName(highest)
+    picks = ends.unionByName(median)
     out = _titled(picks, titles, c.entity, titles_rows)
     return out.select(
         c.item,

@@ -199,14 +199,14 @@ def q_dq_checks(spark, sf_dir):
         sel, RULES, selected_rows=n,
     ))
     items = ingest.clean_items(tagged)
-    # Small outputs read by several checks are written once (stage boundaries of the job).
-    types = materialize(ingest.item_types(tagged, RULES))
-    meta = materialize(ingest.entity_metadata(td.entity_basics(spark, sf_dir), sel, n, RULES))
-    expected = materialize(sel.select(F.col(E).cast("string").alias(E)))
+    types = ingest.item_types(tagged, RULES)
+    meta = ingest.entity_metadata(td.entity_basics(spark, sf_dir), sel, n, RULES)
+    expected = sel.select(F.col(E).cast("string").alias(E))
     tr = SeriesTrend(items)
+    # The KPI table (period frame + an item pass) feeds four checks: written once.
     kpis = materialize(tr.kpis())
-    breaks = materialize(tr.break_period(expected))
-    durable = materialize(tr.durability(expected))
+    breaks = tr.break_period(expected)
+    durable = tr.durability(expected)
     rules = quality.QualityRules(valid_types=td.VALID_TYPES, rederive_breaks=True)
     return quality.dq_checks(items, meta, types, kpis, breaks, durable, expected, rules, expected_rows=n)
 
