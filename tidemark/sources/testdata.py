@@ -94,12 +94,17 @@ def dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity list with titles: (entity_id, title)."""
-    return entity_rows(spark, sf_dir).select(COLS.entity, "title")
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias(COLS.entity), F.col("s_name").alias("title"))
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-maintained category table analogue: (entity_id, title, category)."""
-    return entity_rows(spark, sf_dir).select(COLS.entity, "title", "category")
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
+        F.col("s_suppkey").alias(COLS.entity), F.col("s_name").alias("title"), F.col("n_name").alias("category")
+    )
 
 
 def selected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
