@@ -77,3 +77,15 @@ def test_qa_summary(spark):
     s = {r["check"]: r["result"] for r in reconcile.qa_summary(counts, spot, dups, sanity, True).collect()}
     assert s == {"count_reconciliation": "PASS", "weighted_mean_check": "PASS", "duplicate_check": "FAIL",
                  "break_sanity": "PASS", "weight_check": "SKIP"}
+
+
+def test_spot_check_salted_path_matches_broadcast(spark):
+    data = [(f"x{i}", "A", 2, i, float(i % 7), i % 5) for i in range(200)] + [("y1", "B", 3, 1, 5.0, 2)]
+    items = _items(spark, data)
+    kpis = spark.createDataFrame([("A", 2, 200, 3.0), ("B", 3, 1, 5.0)],
+                                 "entity_id string, period int, item_count bigint, weighted_score double")
+    titles = spark.createDataFrame([("A", "a"), ("B", "b")], "entity_id string, title string")
+    fast = reconcile.spot_check(items, kpis, titles, kpi_rows=2, titles_rows=2)
+    salted = reconcile.spot_check(items, kpis, titles, kpi_rows=2, titles_rows=2, max_broadcast_rows=0, hot_rows=10)
+    assert sorted(map(tuple, fast.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
+    assert len(salted.collect()) == 203

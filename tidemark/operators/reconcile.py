@@ -61,13 +61,23 @@ def spot_check_periods(kpis: DataFrame, c: SeriesCols = SeriesCols()) -> DataFra
 
 def spot_check(items: DataFrame, kpis: DataFrame, titles: DataFrame, c: SeriesCols = SeriesCols(),
                kpi_rows: int | None = None, titles_rows: int | None = None,
-               tolerance: float = TOLERANCE) -> DataFrame:
+               tolerance: float = TOLERANCE, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+               hot_rows: int = 1_000_000) -> DataFrame:
     """R2: per-item detail of the chosen period plus one SUMMARY row per entity
-    that recomputes the weighted mean and compares it with the KPI value."""
+    that recomputes the weighted mean and compares it with the KPI value.
+
+    The chosen periods (one per entity) are broadcast into the item pass
+    when the KPI table is within bound; otherwise the join shuffles and the
+    periods holding more than ``hot_rows`` items (read from the KPI item
+    counts, so the list is bounded) are salted."""
     e, p = c.entity, c.period
     chosen = spot_check_periods(kpis, c)
+    hot = None
+    if kpi_rows is None or kpi_rows > max_broadcast_rows:
+        hot = kpis.filter(F.col("item_count") > F.lit(hot_rows)).select(e, p)
     detail = attach(items.select(e, p, c.item, c.ordinal, c.score, c.weight), chosen, [e, p], "inner",
-                    table_rows=kpi_rows, max_broadcast_rows=MAX_BROADCAST_ROWS)
+                    table_rows=kpi_rows, max_broadcast_rows=max_broadcast_rows,
+                    hot_keys=hot, salt_by=[c.item, c.ordinal, c.score, c.weight])
     detail = detail.withColumn("score_x_weight", F.col(c.score) * F.col(c.weight))
     sums = detail.groupBy(e, p, "kpi_weighted_score").agg(
         F.sum("score_x_weight").alias("sum_score_x_weight"),
