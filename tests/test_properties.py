@@ -15,11 +15,12 @@ pairs = st.lists(st.tuples(st.integers(0, 6), st.sampled_from(["a", "b", "c", "d
 
 
 @SETTINGS
-@given(data=pairs, fraction=st.sampled_from([0.0, 0.25, 0.5, 0.99]))
-def test_element_at_rank_is_sorted_index(spark, data, fraction):
+@given(data=pairs, fraction=st.sampled_from([0.0, 0.25, 0.5, 0.99]), local_rows=st.sampled_from([1_000_000, 0]))
+def test_element_at_rank_is_sorted_index(spark, data, fraction, local_rows):
+    """Both the bounded-window path and the range-partitioned path (local_rows=0)."""
     df = spark.createDataFrame(data, "w int, k string")
-    got = [(r["w"], r["k"]) for r in element_at_rank(df, ["w", "k"], fraction, partitions=3).collect()]
-    assert got == [sorted(data)[math.floor(len(data) * fraction)]]
+    got = element_at_rank(df, ["w", "k"], fraction, partitions=3, local_rows=local_rows).collect()
+    assert [(r["w"], r["k"]) for r in got] == [sorted(data)[math.floor(len(data) * fraction)]]
 
 
 @SETTINGS

@@ -3,12 +3,14 @@
 * ``first_by`` / ``last_by``: one global aggregate of ``min(struct(...))``;
   partial aggregation keeps one candidate per map task.
 * ``element_at_rank``: the exact row at index ``floor(n * fraction)`` of a
-  total order. Identical order keys are collapsed with a multiplicity
-  first (so a hot key is one row), the distinct keys are range-partitioned
-  (sampled bounds, balanced partitions) and written to the shared
-  checkpoint folder so partition ids are stable, per-partition sizes give
-  offsets (a window over at most ``partitions`` rows), and only the one
-  partition that holds the target index is scanned with a window.
+  total order, in two levels (distinct values of the first order column,
+  then the rows of the one value holding the index). A level runs as one
+  cumulative window only when its frame is proven small (``local_rows``);
+  otherwise identical keys collapse with a multiplicity (a hot key is one
+  row), distinct keys are range-partitioned (sampled bounds) and written
+  to the shared checkpoint folder so partition ids are stable,
+  per-partition sizes give offsets, and only the partition that holds the
+  target index is ordered.
 """
 
 from __future__ import annotations
@@ -50,34 +52,78 @@ def first_by_each(df: DataFrame, orders: dict[str, Sequence[str | Column]], colu
     return best.filter(F.col("_n") > 0).select(F.explode(picks).alias("_p")).select("_p.*")
 
 
+# A window without partitioning may run over at most this many rows (one task).
+LOCAL_ROWS = 1_000_000
+
+
 def element_at_rank(
     df: DataFrame,
     order: Sequence[str],
     fraction: float = 0.5,
     partitions: int = 64,
+    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """Row at 0-based index ``floor(n * fraction)`` of ``df`` sorted by ``order``
     (ascending, NULLs first). ``order`` should be a total order of the output
-    columns; identical rows are interchangeable. Returns 0 or 1 row."""
+    columns; identical rows are interchangeable. Returns 0 or 1 row.
+
+    Level 1 counts rows per distinct value of the first order column (partial
+    aggregation) and locates the value that holds the target index: a
+    cumulative window when there are at most ``local_rows`` distinct values,
+    else the range-partitioned selection. Level 2 orders only the rows of that
+    value the same way. Two scalar results reach the driver; no data does."""
     order = list(order)
-    keyed = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_m"))
+    first, rest = order[0], order[1:]
+    dist = df.groupBy(first).agg(F.count(F.lit(1)).alias("_m"))
+    stats = dist.agg(F.count(F.lit(1)).alias("w"), F.sum("_m").alias("n")).first()
+    n = int(stats["n"] or 0)
+    if n == 0:
+        return df.select(*order).filter(F.lit(False))
+    k = int(n * fraction)
+    if stats["w"] <= local_rows:
+        before = Window.orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        hit = (
+            dist.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+            .filter((F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("_m")))
+            .first()
+        )
+    else:
+        hit = _range_select(dist, [first], k, partitions, weight="_m").first()
+    value, offset, size = hit[first], int(hit["_before"]), int(hit["_m"])
+    subset = df.filter(F.col(first).eqNullSafe(F.lit(value)))
+    if not rest:
+        return dist.filter(F.col(first).eqNullSafe(F.lit(value))).select(first)
+    k2 = k - offset
+    if size <= local_rows:
+        w2 = Window.orderBy(*[F.col(c).asc_nulls_first() for c in rest])
+        return subset.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") == k2 + 1).select(*order)
+    return _range_select(subset, order, k2, partitions).select(*order)
+
+
+def _range_select(df: DataFrame, order: list[str], k: int, partitions: int, weight: str | None = None) -> DataFrame:
+    """Rows covering index ``k`` of ``df`` by ``order`` without a single-task sort.
+
+    Identical keys collapse with a multiplicity (or use ``weight``), distinct
+    keys are range-partitioned (sampled bounds) and written so partition ids
+    are stable, per-partition sizes give offsets (a window over at most
+    ``partitions`` rows), and only the partition holding ``k`` is ordered.
+    Output columns: ``order`` + ``_before`` (rows before the key) + ``_m``."""
+    keyed = df.groupBy(*order).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m"))
     ranged = materialize(
         keyed.repartitionByRange(partitions, *[F.col(c).asc_nulls_first() for c in order]).withColumn(
             "_pid", F.spark_partition_id()
         )
     )
     sizes = ranged.groupBy("_pid").agg(F.sum("_m").alias("_size"))
-    everything = Window.partitionBy()  # at most `partitions` rows
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("_k", F.floor(F.sum("_size").over(everything) * F.lit(fraction)).cast("bigint"))
-        .filter((F.col("_start") <= F.col("_k")) & (F.col("_k") < F.col("_start") + F.col("_size")))
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # at most `partitions` rows
+    offsets = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(prior), F.lit(0))).filter(
+        (F.col("_start") <= k) & (F.lit(k) < F.col("_start") + F.col("_size"))
     )
     inside = Window.partitionBy("_pid").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     cand = ranged.join(F.broadcast(offsets), "_pid").withColumn(
         "_before",
-        F.coalesce(F.sum("_m").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        F.col("_start") + F.coalesce(F.sum("_m").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    )
+    return cand.filter((F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("_m"))).select(
+        *order, "_before", "_m"
     )
-    at = F.col("_start") + F.col("_before")
-    return cand.filter((at <= F.col("_k")) & (F.col("_k") < at + F.col("_m"))).select(*order)
