@@ -46,8 +46,8 @@ RULES = ingest.CleanRules(valid_types=td.VALID_TYPES)
 
 # -- ingest ----------------------------------------------------------------
 def _selected(spark, sf_dir):
-    sel = td.selected_entities(spark, sf_dir)
-    return sel, sel.count()
+    # the selection filters the supplier table, whose row count bounds it
+    return td.selected_entities(spark, sf_dir), td.entity_rows_bound(spark, sf_dir)
 
 
 def _tagged(spark, sf_dir):
@@ -150,8 +150,7 @@ def q_entity_summary(spark, sf_dir):
 
 # -- reconciliation ----------------------------------------------------------
 def _titles(spark, sf_dir):
-    t = td.shows(spark, sf_dir)
-    return t, t.count()
+    return td.shows(spark, sf_dir), td.entity_rows_bound(spark, sf_dir)
 
 
 def q_reconcile_counts(spark, sf_dir):
@@ -214,7 +213,7 @@ def q_dq_checks(spark, sf_dir):
 # -- marts -------------------------------------------------------------------
 def _dim(spark, sf_dir):
     d = td.dim(spark, sf_dir)
-    return d, d.count()
+    return d, d.count()  # left joins to nation/region: counted, not bounded by supplier
 
 
 def q_kpi_card(spark, sf_dir):

@@ -43,8 +43,17 @@ ITEM_LINK_PREFIX = "https://example.org/item/"
 COLS = SeriesCols()
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The parquet table ``name``; one reader per (session, path), so the file
+    listing and footer read happen once however many queries use it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def item_id_expr() -> F.Column:
@@ -107,6 +116,13 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entity_rows_bound(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of the supplier table: a proven upper bound for every frame
+    that filters or projects it (selected entities, titles). A plain scan
+    count reads only Parquet footers."""
+    return table(spark, sf_dir, "supplier").count()
+
+
 def selected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         entity_rows(spark, sf_dir)
