@@ -87,4 +87,4 @@ def test_dedupe_and_duplicates(spark):
     assert {r["k"]: r["v"] for r in dedupe_first(df, ["k"], ["v"]).collect()} == {"a": 1, "b": 2, None: 1}
     assert {r["k"]: r["count"] for r in duplicate_keys(df, ["k"]).collect()} == {"a": 2}
     e = extra_duplicates(df, ["k"]).first()
-    assert (e["rows"], e["distinct_keys"], e["extra_rows"]) == (5, 3, 2)
+    assert (e["row_count"], e["distinct_keys"], e["extra_rows"]) == (5, 3, 2)

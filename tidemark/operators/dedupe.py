@@ -46,10 +46,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def extra_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first per key (NULL keys compare equal here).
-    One row: (rows, distinct_keys, extra_rows)."""
+    One row: (row_count, distinct_keys, extra_rows)."""
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).alias("distinct_keys"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("extra_rows"),
     )

@@ -270,3 +270,38 @@ def dq_passed(checks: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "WARN").alias("warnings"),
         F.count(F.lit(1)).alias("checks"),
     )
+
+
+# -- standalone building blocks (also registered as queries) -----------------
+def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One single-pass aggregate; one row per numeric column with its
+    minimum, maximum and NULL count (min/max skip NULLs)."""
+    aggs = []
+    for c in columns:
+        aggs += [F.min(c).cast("double").alias(f"_min_{c}"), F.max(c).cast("double").alias(f"_max_{c}"),
+                 F.count_if(F.col(c).isNull()).alias(f"_null_{c}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_min_{c}").alias("min_value"),
+                 F.col(f"_max_{c}").alias("max_value"), F.col(f"_null_{c}").alias("null_count"))
+        for c in columns
+    ])
+    return one.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of ``left`` absent from ``right`` (left is a
+    subset of right iff this is empty). Tag-and-group, so a hot key is
+    reduced map-side; a NULL key never matches."""
+    pres = _presence({"l": left, "r": right}, key)
+    return pres.filter((F.col("l") > 0) & ((F.col("r") == 0) | F.col(key).isNull())).select(key)
+
+
+def key_set_equality(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Per key value, which sources contain it and whether all do."""
+    pres = _presence(sources, key)
+    flags = [(F.col(t) > 0).alias(f"in_{t}") for t in sources]
+    every = None
+    for t in sources:
+        every = (F.col(t) > 0) if every is None else every & (F.col(t) > 0)
+    return pres.select(key, *flags, every.alias("all_present"))

@@ -101,12 +101,25 @@ def spot_check(items: DataFrame, kpis: DataFrame, titles: DataFrame, c: SeriesCo
     )
     rows = detail.drop("kpi_weighted_score").withColumn("is_summary", F.lit(False))
     both = rows.unionByName(summary, allowMissingColumns=True)
-    return _titled(both, titles, e, titles_rows).select(
+    titled = _titled(both, titles, e, titles_rows).withColumn(
+        "title", F.coalesce(F.col("title"), F.col(e).cast("string"))  # J12: unknown title -> the id
+    )
+    return titled.select(
         e, "title", p, c.item, c.ordinal, c.score, c.weight, "score_x_weight", "is_summary",
         "sum_score_x_weight", "sum_weight", "manual_weighted_score", "kpi_weighted_score", "diff", "pass", "note",
     )
 
 
+def items_per_entity(items: DataFrame, entities: DataFrame, c: SeriesCols = SeriesCols(),
+                     entity_rows: int | None = None) -> DataFrame:
+    """Clean items per listed entity, 0 when it has none (one partial
+    aggregate over the items, then a join to the entity list)."""
+    counts = items.groupBy(c.entity).agg(F.count(F.lit(1)).alias("items"))
+    out = attach(entities.select(c.entity), counts, [c.entity], "left", table_rows=entity_rows,
+                 max_broadcast_rows=MAX_BROADCAST_ROWS)
+    return out.select(c.entity, F.coalesce(F.col("items"), F.lit(0).cast("bigint")).alias("items"))
+
+
 def duplicate_items(items: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
     """Item ids seen more than once."""
     return duplicate_keys(items, [c.item])

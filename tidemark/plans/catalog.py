@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from tidemark.operators import ingest, marts, model, quality, reconcile
 from tidemark.session import materialize
-from tidemark.operators.dedupe import dedupe_first
+from tidemark.operators.dedupe import dedupe_first, extra_duplicates
+from tidemark.sources.sinks import input_gate
 from tidemark.operators.metrics import SeriesTrend
 from tidemark.sources import testdata as td
 
@@ -266,6 +267,49 @@ def q_genre_agg(spark, sf_dir):
     return rounded(marts.genre_agg(_trend(spark, sf_dir), d, n))
 
 
+# -- checks as standalone operators ---------------------------------------------
+# Columns each input must have (fixed values of the mapping).
+REQUIRED = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate"],
+    "part": ["p_partkey", "p_type"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+}
+
+
+def q_input_gate(spark, sf_dir):
+    gates = [input_gate(td.table(spark, sf_dir, t), t, cols) for t, cols in REQUIRED.items()]
+    out = gates[0]
+    for g in gates[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def q_extra_duplicates(spark, sf_dir):
+    return extra_duplicates(td.fact(spark, sf_dir), [C.item])
+
+
+def q_column_profile(spark, sf_dir):
+    return rounded(quality.column_profile(td.fact(spark, sf_dir), [P, C.ordinal, C.score, C.weight]))
+
+
+def q_subset_anti(spark, sf_dir):
+    types = ingest.item_types(_tagged(spark, sf_dir), RULES)
+    return quality.missing_keys(td.fact(spark, sf_dir).select(C.item), types, C.item)
+
+
+def q_key_set_equality(spark, sf_dir):
+    t = _trend(spark, sf_dir)
+    sources = {"kpi": t.frame.select(E), "dim": td.shows(spark, sf_dir).select(E),
+               "selected": td.selected_entities(spark, sf_dir)}
+    return quality.key_set_equality(sources, E)
+
+
+def q_entity_item_counts(spark, sf_dir):
+    sel, n = _selected(spark, sf_dir)
+    items = ingest.clean_items(_tagged(spark, sf_dir))
+    return reconcile.items_per_entity(items, sel.select(F.col(E).cast("string").alias(E)), C, entity_rows=n)
+
+
 QUERIES: dict[str, Query] = {
     "clean_items": q_clean_items,
     "clean_funnel": q_clean_funnel,
@@ -306,4 +350,10 @@ QUERIES: dict[str, Query] = {
     "category_comparison": q_category_comparison,
     "recovery": q_recovery,
     "genre_agg": q_genre_agg,
+    "input_gate": q_input_gate,
+    "extra_duplicates": q_extra_duplicates,
+    "column_profile": q_column_profile,
+    "subset_anti": q_subset_anti,
+    "key_set_equality": q_key_set_equality,
+    "entity_item_counts": q_entity_item_counts,
 }

@@ -27,12 +27,12 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_gate(df: DataFrame, name: str, required: list[str]) -> DataFrame:
-    """One row (input, missing_columns, rows, ok). Missing columns come
-    from the schema (no job); the row count is one aggregate."""
+    """One row (input, missing_columns, row_count, ok). Missing columns
+    come from the schema (no job); the row count is one aggregate."""
     missing = sorted(set(required) - set(df.columns))
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(name).alias("input"),
         F.lit(",".join(missing)).alias("missing_columns"),
-        "rows",
-        ((F.col("rows") > 0) & F.lit(not missing)).alias("ok"),
+        "row_count",
+        ((F.col("row_count") > 0) & F.lit(not missing)).alias("ok"),
     )
