@@ -207,8 +207,8 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
             ("period_zero", period == 0),
             ("ordinal_null", F.col("ordinal").isNull()),
             ("ordinal_invalid", ordinal.isNull()),
-            ("score_null", F.col("score").isNull()),
-            ("weight_null", F.col("weight").isNull()),
+            ("score_null", F.col("score").cast("string").try_cast("double").isNull()),
+            ("weight_null", F.col("weight").cast("string").try_cast("bigint").isNull()),
             ("type_invalid", F.col("_valid").isNull()),
         ]
     )
@@ -217,7 +217,7 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
         "entity_id",
         period.alias("period"),
         ordinal.alias("ordinal"),
-        F.col("score").cast("double").alias("score"),
-        F.col("weight").cast("bigint").alias("weight"),
+        F.col("score").cast("string").try_cast("double").alias("score"),
+        F.col("weight").cast("string").try_cast("bigint").alias("weight"),
         reason.alias("reject_reason"),
     )

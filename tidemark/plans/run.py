@@ -19,6 +19,22 @@ from tidemark.sources import raw
 from tidemark.sources.sinks import write_table
 
 
+# Column layouts of the cleaned CSV files of the pre-joined mode (fixed values).
+PREJOINED_RENAMES = {"episode_tconst": "item_id", "show_tconst": "entity_id", "season_num": "period",
+                     "episode_num": "ordinal", "avg_rating": "score", "num_votes": "weight"}
+METADATA_RENAMES = {"show_tconst": "entity_id", "primary_title": "title"}
+TYPE_RENAMES = {"episode_tconst": "item_id", "title_type": "item_type"}
+CATEGORY_RENAMES = {"show_tconst": "entity_id"}
+
+
+@dataclass
+class PrejoinedPaths:
+    items: str
+    metadata: str
+    types: str
+    categories: str
+
+
 @dataclass
 class RawPaths:
     items: str
@@ -71,9 +87,57 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
         "durability": durable,
         "entity_summary": trend.summary(selected.select(F.col("entity_id").cast("string").alias("entity_id"))),
     }
+    return _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample)
+
+
+def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
+    """Header CSV read as all-string (casts happen in the operators)."""
+    return spark.read.option("header", True).csv(path).withColumnsRenamed(renames)
+
+
+def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
+                  rules: ingest.CleanRules = ingest.CleanRules(), policy: JoinPolicy = JoinPolicy(),
+                  is_sample: bool = True, id_prefix: str | None = None) -> dict[str, DataFrame]:
+    """The pre-joined input mode (cleaned item CSV + metadata + item types):
+    same rules without the parent filter; metadata and types pass through;
+    the expected entities are those of the category table."""
+    out = out_dir.rstrip("/")
+    items = _csv(spark, paths.items, PREJOINED_RENAMES)
+    types = _csv(spark, paths.types, TYPE_RENAMES).select("item_id", "item_type")
+    meta = _csv(spark, paths.metadata, METADATA_RENAMES).select(
+        "entity_id", "title", "start_year", "end_year", "genres")
+    categories = _csv(spark, paths.categories, CATEGORY_RENAMES).select("entity_id", "title", "category")
+    n_categories = categories.count()
+    selected = categories.select("entity_id").distinct()
+
+    tagged = ingest.prejoined_tag(items, types, rules)
+    write_table(tagged, f"{out}/tagged_items")
+    tagged = spark.read.parquet(f"{out}/tagged_items")
+    fact = model.fact_item(ingest.clean_items(tagged))
+    trend = SeriesTrend(fact, policy=policy)
+    titles = categories.select("entity_id", "title")
+    outputs = {
+        "clean_items": ingest.clean_items(tagged),
+        "clean_funnel": ingest.clean_funnel(tagged),
+        "item_types": types,
+        "entity_metadata": meta,
+        "dim_entity": model.dim_entity(meta, categories, category_rows=n_categories),
+        "period_kpis": trend.kpis(),
+        "break_period": trend.break_period(selected),
+        "durability": trend.durability(selected),
+        "entity_summary": trend.summary(selected),
+    }
+    return _finish(spark, out, outputs, trend, titles, selected, n_categories, n_categories, rules, is_sample,
+                   id_prefix)
+
+
+def _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample,
+            id_prefix=None) -> dict[str, DataFrame]:
+    """Write the model/metric outputs, then the reports computed from the written tables."""
     for name, df in outputs.items():
         write_table(df, f"{out}/{name}")
     written = {name: spark.read.parquet(f"{out}/{name}") for name in outputs}
+    expected = selected.select(F.col("entity_id").cast("string").alias("entity_id"))
 
     k, b = written["period_kpis"], written["break_period"]
     counts = reconcile.reconcile_counts(written["clean_items"], k, titles, titles_rows=n_categories)
@@ -89,8 +153,9 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
         "qa_summary": reconcile.qa_summary(counts, spot, dups, sanity, is_sample),
         "dq_checks": quality.dq_checks(
             written["clean_items"], written["entity_metadata"], written["item_types"], k, b,
-            written["durability"], selected.select(F.col("entity_id").cast("string").alias("entity_id")),
-            quality.QualityRules(valid_types=rules.valid_types, rederive_breaks=is_sample), n_selected,
+            written["durability"], expected,
+            quality.QualityRules(valid_types=rules.valid_types, rederive_breaks=is_sample, id_prefix=id_prefix),
+            n_selected,
         ),
     }
     for name, df in reports.items():
