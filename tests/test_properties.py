@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tidemark.operators.dedupe import dedupe_first, duplicate_keys
 from tidemark.operators.metrics import SeriesTrend
-from tidemark.operators.order_stats import element_at_rank
+from tidemark.operators.order_stats import element_at_rank, grouped_quantiles
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -96,3 +96,27 @@ def assert_float_tie(t, e):
         r["rolling_mean"] is not None and r["baseline"] is not None and abs(r["rolling_mean"] - r["baseline"]) < 1e-9
         for r in rows
     ), f"break mismatch for {e} without a float tie"
+
+
+groups = st.lists(st.tuples(st.sampled_from(["g", "h"]), st.integers(0, 9)), min_size=1, max_size=50)
+
+
+def _interp(vals, q):
+    vals = sorted(vals)
+    pos = q * (len(vals) - 1)
+    lo, hi = math.floor(pos), math.ceil(pos)
+    return vals[lo] if lo == hi else (hi - pos) * vals[lo] + (pos - lo) * vals[hi]
+
+
+@SETTINGS
+@given(data=groups, largest=st.sampled_from([None, 10_000]))
+def test_grouped_quantiles_both_paths(spark, data, largest):
+    df = spark.createDataFrame([(g, float(v)) for g, v in data], "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    names = [f"q{i}" for i in range(len(probs))]
+    got = {r["g"]: r for r in grouped_quantiles(df, ["g"], "v", probs, names, largest_group=largest,
+                                                 partitions=3).collect()}
+    for g in {g for g, _ in data}:
+        vals = [float(v) for gg, v in data if gg == g]
+        for name, q in zip(names, probs):
+            assert math.isclose(got[g][name], _interp(vals, q), abs_tol=1e-9)

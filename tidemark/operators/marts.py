@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
 from tidemark.operators.metrics import SeriesTrend
+from tidemark.operators.order_stats import grouped_quantiles
 
 # Fixed values.
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -65,36 +66,17 @@ def period_ranking(t: SeriesTrend) -> DataFrame:
 QUARTILE_NAMES = ["score_min", "score_q1", "score_median", "score_q3", "score_max"]
 
 
-def score_distribution(t: SeriesTrend) -> DataFrame:
+def score_distribution(t: SeriesTrend, partitions: int = 64) -> DataFrame:
     """Exact quartiles of the item scores per (entity, period) (box plot),
-    linear interpolation between ranks like ``percentile``.
-
-    No group buffer: scores are first counted per (entity, period, score)
-    with partial aggregation, then a cumulative window over the distinct
-    scores of each group locates the ranks (sort-based, spills)."""
+    linear interpolation between ranks like ``percentile``. A group is ordered
+    inside one task only when the largest period (item count from the period
+    frame) is within the local bound; otherwise the range-partitioned path of
+    ``order_stats.grouped_quantiles`` is used."""
     c = t.c
-    e, p, s = c.entity, c.period, c.score
-    hist = t.fact.filter(F.col(s).isNotNull()).groupBy(e, p, s).agg(F.count(F.lit(1)).alias("_n"))
-    grp = Window.partitionBy(e, p)
-    upto = grp.orderBy(s).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_tot", F.sum("_n").over(grp))
-    first_rank, last_rank = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
-
-    def value_at(rank):
-        return F.max(F.when((first_rank <= rank) & (rank <= last_rank), F.col(s)))
-
-    aggs = []
-    for i, q in enumerate(QUARTILES):
-        pos = F.lit(q) * (F.col("_tot") - 1)
-        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}"),
-                 F.max(pos).alias(f"_pos{i}")]
-    per = hist.groupBy(e, p).agg(*aggs)
-    outs = []
-    for i, name in enumerate(QUARTILE_NAMES):
-        lo, hi, pos = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
-        frac = pos - F.floor(pos)
-        outs.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(name))
-    return per.select(e, p, *outs)
+    _ = t.rows
+    largest = t.frame.agg(F.max("item_count")).first()[0] or 0  # a scalar bound on every group
+    return grouped_quantiles(t.fact, [c.entity, c.period], c.score, QUARTILES, QUARTILE_NAMES,
+                             largest_group=largest, partitions=partitions)
 
 
 def score_histogram(t: SeriesTrend, width: float = 1.0) -> DataFrame:

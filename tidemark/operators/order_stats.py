@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import attach
 from tidemark.session import materialize
 
 
@@ -127,3 +128,82 @@ def _range_select(df: DataFrame, order: list[str], k: int, partitions: int, weig
     return cand.filter((F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("_m"))).select(
         *order, "_before", "_m"
     )
+
+
+def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
+                      names: Sequence[str], largest_group: int | None = None, partitions: int = 64,
+                      local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation between ranks, like
+    ``percentile``); NULL values are ignored.
+
+    ``largest_group`` is a proven bound on the rows of any group (e.g. the
+    largest item count of the period frame). Within ``local_rows`` each group
+    is ordered by one window over its distinct values; beyond it (or when the
+    bound is unknown) no group is ordered inside one task (range path)."""
+    group = list(group)
+    if largest_group is not None and largest_group <= local_rows:
+        return _quantiles_by_window(df, group, value, probs, names)
+    return _quantiles_by_range(df, group, value, probs, names, partitions)
+
+
+def _pick_quantiles(ranked: DataFrame, group: list[str], value: str, probs: Sequence[float],
+                    names: Sequence[str], first_rank: Column, last_rank: Column) -> DataFrame:
+    """Values at the interpolation ranks of each group, from rows annotated
+    with their rank range and the group size ``_n`` (one partial aggregate)."""
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((first_rank <= rank) & (rank <= last_rank), F.col(value)))
+
+    aggs = []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}"),
+                 F.max(pos).alias(f"_pos{i}")]
+    per = ranked.groupBy(*group).agg(*aggs)
+    outs = []
+    for i, name in enumerate(names):
+        lo, hi, pos = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
+        frac = pos - F.floor(pos)
+        outs.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(name))
+    return per.select(*group, *outs)
+
+
+def _quantiles_by_window(df: DataFrame, group: list[str], value: str, probs: Sequence[float],
+                         names: Sequence[str]) -> DataFrame:
+    """Counts per (group, value) with partial aggregation, then a cumulative
+    window over each group's distinct values (bounded by the caller)."""
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+    grp = Window.partitionBy(*group)
+    upto = grp.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_m").over(upto)).withColumn("_n", F.sum("_m").over(grp))
+    return _pick_quantiles(hist, group, value, probs, names, F.col("_cum") - F.col("_m"), F.col("_cum") - 1)
+
+
+def _quantiles_by_range(df: DataFrame, group: list[str], value: str, probs: Sequence[float],
+                        names: Sequence[str], partitions: int) -> DataFrame:
+    """Values are counted per (group, value) with partial aggregation, the
+    distinct pairs are range-partitioned by (group, value) and written (a hot
+    group spans several balanced partitions), per-(group, partition) sizes
+    give each chunk's offset inside its group (a frame of at most
+    #groups + #partitions rows; its windows are per group and span at most
+    ``partitions`` rows), ranks inside a chunk come from a window over that
+    chunk only, and the values at the needed ranks are picked by one
+    partial-aggregating ``groupBy``. NULL values are ignored."""
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+    ranged = materialize(
+        hist.repartitionByRange(partitions, *[F.col(c).asc_nulls_first() for c in group + [value]]).withColumn(
+            "_pid", F.spark_partition_id()
+        )
+    )
+    chunks = ranged.groupBy(*group, "_pid").agg(F.sum("_m").alias("_s"))
+    by_group = Window.partitionBy(*group)
+    prior = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_s").over(prior), F.lit(0))).withColumn(
+        "_n", F.sum("_s").over(by_group)
+    )
+    inside = Window.partitionBy(*group, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("_local", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+    chunks = materialize(chunks.select(*group, "_pid", "_off", "_n"))
+    ranked = attach(ranked, chunks, group + ["_pid"], "inner", table_rows=chunks.count())
+    first_rank = F.col("_off") + F.col("_local")
+    return _pick_quantiles(ranked, group, value, probs, names, first_rank, first_rank + F.col("_m") - 1)
