@@ -63,8 +63,10 @@ class CleanRules:
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
 
 
-def _lookup(ratings: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per item id: rated flag, first rating, first type."""
+def item_lookup(ratings: DataFrame, types: DataFrame) -> DataFrame:
+    """One row per item id: rated flag, first rating, first type (one partial
+    aggregate over the union of both inputs). Build it once and reuse it with
+    ``tag_with_lookup`` when items arrive in batches."""
     r = ratings.select(
         "item_id",
         F.struct(F.col("score").cast("double").alias("score"), F.col("weight").cast("bigint").alias("weight")).alias("_r"),
@@ -105,8 +107,19 @@ def tag_items(
 ) -> DataFrame:
     """C1 + C3: every raw item row with typed columns and its reject reason.
 
-    ``selected=None`` skips the parent filter. ``selected_rows`` is the exact
-    size of ``selected`` if known (enables the broadcast)."""
+    ``selected=None`` skips the parent filter. ``selected_rows`` is a proven
+    bound on the size of ``selected`` if known (enables the broadcast)."""
+    return tag_with_lookup(items, item_lookup(ratings, types), selected, rules, selected_rows)
+
+
+def tag_with_lookup(
+    items: DataFrame,
+    lookup: DataFrame,
+    selected: DataFrame | None,
+    rules: CleanRules = CleanRules(),
+    selected_rows: int | None = None,
+) -> DataFrame:
+    """``tag_items`` with a prebuilt ``item_lookup``."""
     rows = items
     if selected is not None:
         sel = selected.select(F.col("entity_id").cast("string").alias("parent_id")).distinct().withColumn(
@@ -117,7 +130,7 @@ def tag_items(
     else:
         rows = rows.withColumn("_selected", F.lit(True))
 
-    rows = rows.join(_lookup(ratings, types), "item_id", "left")
+    rows = rows.join(lookup, "item_id", "left")
     period = F.col("period_text").try_cast("int")
     ordinal = F.col("ordinal_text").try_cast("int")
     valid = F.col("item_type").isin(*rules.valid_types)

@@ -1,10 +1,12 @@
 """Clean raw item files as they arrive (``readStream`` → ``foreachBatch``).
 
 Each micro-batch of new tab-separated item files goes through the same
-``ingest.tag_items`` rule chain as the batch job, against the (static)
-ratings, types and selected-entity tables, and is appended to a Parquet
-table of tagged rows. ``clean_items`` / ``clean_funnel`` then read that
-table. The stream's checkpoint location must be in shared storage; the
+rule chain as the batch job (``ingest.tag_with_lookup``). The per-item
+lookup of the static ratings and types is built once, written to the
+shared checkpoint folder before the stream starts, and only joined per
+batch; the tagged rows are appended to a Parquet table that
+``clean_items`` / ``clean_funnel`` then read. The stream's checkpoint
+location must be in shared storage; the
 sink is idempotent per batch id (a batch folder is overwritten on retry),
 so a replayed batch after an executor or driver failure does not
 duplicate rows.
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import ingest
 from tidemark.schemas import RAW_ITEM_SCHEMA
+from tidemark.session import materialize
 from tidemark.sources.raw import ITEM_RENAMES, NULL_TOKEN
 
 
@@ -44,8 +47,10 @@ def ingest_arriving_items(
         .withColumnsRenamed(ITEM_RENAMES)
     )
 
+    lookup = materialize(ingest.item_lookup(ratings, types))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        tagged = ingest.tag_items(batch, ratings, types, selected, rules)
+        tagged = ingest.tag_with_lookup(batch, lookup, selected, rules)
         tagged.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
