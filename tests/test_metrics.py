@@ -118,3 +118,19 @@ def test_golden_sample(spark):
     assert _close(r["value_index"], 45.217639) and _close(r["baseline"], 7.521504)
     r = k[("tt0182576", 3)]
     assert _close(r["pct_high"], 16.666667) and r["period_rank"] == 6
+
+
+def test_hot_entity_is_salted_beyond_the_broadcast_bound(spark):
+    """One entity holds most rows; with broadcasting disabled the item pass
+    joins on (entity, salt) and the results equal the broadcast plan."""
+    data = [(f"h{i}", "hot", 1 + i % 3, i, float(i % 10), 1 + i % 4) for i in range(300)]
+    data += [(f"c{i}", "cold", 1 + i % 3, i, float(i % 7), 2) for i in range(20)]
+    fact = spark.createDataFrame(data, "item_id string, entity_id string, period int, ordinal int, score double, weight bigint")
+    salted = SeriesTrend(fact, policy=JoinPolicy(max_broadcast_rows=0, min_hot_rows=0, hot_share=0.5))
+    plan = salted.high_counts()._jdf.queryExecution().executedPlan().toString()
+    assert "_tm_salt" in plan and "BroadcastNestedLoopJoin" not in plan
+    hot = [r["entity_id"] for r in salted.hot_entities().collect()]
+    assert hot == ["hot"]  # bounded list: only keys above the share
+    plain = SeriesTrend(fact)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(salted.kpis()) == key(plain.kpis())

@@ -33,6 +33,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the input: scan splits and shuffle
+    partitions of about ``partition_bytes`` each (at least two waves of the
+    cluster's cores), AQE coalescing toward the same size, and skew splitting.
+    Pass them to ``SparkSession.builder.config`` (the operators do not depend
+    on them for correctness)."""
+    # Raw-row shuffles (joins) move about the input size; aggregated stages far
+    # less, and AQE coalesces those at runtime toward ``partition_bytes``.
+    shuffle = min(max(2 * total_cores, input_bytes // partition_bytes), 200_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
