@@ -112,7 +112,8 @@ def test_run_prejoined_on_reference_sample(spark):
         types=f"{SAMPLE_DIR}/episodes_basics.csv",
         categories=CATEGORY_FILE,
     )
-    out = run_prejoined(spark, paths, tempfile.mkdtemp(prefix="tidemark-sample-"), id_prefix="tt999")
+    root = tempfile.mkdtemp(prefix="tidemark-sample-")
+    out = run_prejoined(spark, paths, os.path.join(root, "out"), id_prefix="tt999", csv_dir=os.path.join(root, "csv"))
     assert out["clean_items"].count() == 175
     breaks = {r["entity_id"]: r["break_period"] for r in out["break_period"].collect()}
     assert breaks == {"tt0096697": 6, "tt0182576": None, "tt0206512": 5, "tt1520211": 5}
@@ -126,3 +127,8 @@ def test_run_prejoined_on_reference_sample(spark):
                   "break_sanity": "PASS", "weight_check": "SKIP"}
     ext = {r["pick"]: (r["item_id"], r["weight"]) for r in out["weight_extremes"].collect()}
     assert ext == {"lowest": ("tt9990174", 4154), "median": ("tt9990065", 21950), "highest": ("tt9990139", 38643)}
+    # CSV export with a header, rows in (entity, period) order
+    kpi_csv = spark.read.option("header", True).csv(os.path.join(root, "csv", "period_kpis"))
+    assert kpi_csv.count() == 27 and kpi_csv.columns[:2] == ["entity_id", "period"]
+    first = kpi_csv.first()
+    assert (first["entity_id"], first["period"]) == ("tt0096697", "1")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ingest, model, quality, reconcile
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.sources import raw
-from tidemark.sources.sinks import write_table
+from tidemark.sources.sinks import export_csv, write_table
 
 
 # Column layouts of the cleaned CSV files of the pre-joined mode (fixed values).
@@ -45,9 +45,11 @@ class RawPaths:
 
 
 def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.CleanRules = ingest.CleanRules(),
-            policy: JoinPolicy = JoinPolicy(), is_sample: bool = False) -> dict[str, DataFrame]:
-    """Run every stage and write its outputs under ``out_dir``. Returns the
-    written tables re-read as DataFrames."""
+            policy: JoinPolicy = JoinPolicy(), is_sample: bool = False,
+            csv_dir: str | None = None) -> dict[str, DataFrame]:
+    """Run every stage and write its outputs under ``out_dir`` (Parquet). Returns
+    the written tables re-read as DataFrames; ``csv_dir`` also exports them as
+    header CSVs in presentation order."""
     out = out_dir.rstrip("/")
     basics = raw.raw_basics(spark, paths.basics)
     selected = spark.read.option("header", True).csv(paths.selected).select("entity_id")
@@ -87,7 +89,8 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
         "durability": durable,
         "entity_summary": trend.summary(selected.select(F.col("entity_id").cast("string").alias("entity_id"))),
     }
-    return _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample)
+    return _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample,
+                   csv_dir=csv_dir)
 
 
 def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
@@ -97,7 +100,8 @@ def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
 
 def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
                   rules: ingest.CleanRules = ingest.CleanRules(), policy: JoinPolicy = JoinPolicy(),
-                  is_sample: bool = True, id_prefix: str | None = None) -> dict[str, DataFrame]:
+                  is_sample: bool = True, id_prefix: str | None = None,
+                  csv_dir: str | None = None) -> dict[str, DataFrame]:
     """The pre-joined input mode (cleaned item CSV + metadata + item types):
     same rules without the parent filter; metadata and types pass through;
     the expected entities are those of the category table."""
@@ -128,11 +132,11 @@ def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
         "entity_summary": trend.summary(selected),
     }
     return _finish(spark, out, outputs, trend, titles, selected, n_categories, n_categories, rules, is_sample,
-                   id_prefix)
+                   id_prefix, csv_dir)
 
 
 def _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample,
-            id_prefix=None) -> dict[str, DataFrame]:
+            id_prefix=None, csv_dir=None) -> dict[str, DataFrame]:
     """Write the model/metric outputs, then the reports computed from the written tables."""
     for name, df in outputs.items():
         write_table(df, f"{out}/{name}")
@@ -161,4 +165,6 @@ def _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categori
     for name, df in reports.items():
         write_table(df, f"{out}/{name}")
         written[name] = spark.read.parquet(f"{out}/{name}")
+    if csv_dir:
+        export_csv(written, csv_dir)
     return written

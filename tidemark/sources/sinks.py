@@ -36,3 +36,27 @@ def input_gate(df: DataFrame, name: str, required: list[str]) -> DataFrame:
         "row_count",
         ((F.col("row_count") > 0) & F.lit(not missing)).alias("ok"),
     )
+
+
+# Presentation order of the exported files (fixed values, O1/O2).
+EXPORT_ORDER = {
+    "clean_items": ["entity_id", "period", "ordinal", "item_id"],
+    "entity_metadata": ["entity_id"],
+    "item_types": ["item_id"],
+    "dim_entity": ["entity_id"],
+    "period_kpis": ["entity_id", "period"],
+    "break_period": ["entity_id"],
+    "durability": ["entity_id"],
+    "entity_summary": ["entity_id"],
+    "reconcile_counts": ["entity_id", "period"],
+    "duplicate_keys": ["item_id"],
+    "break_sanity": ["entity_id"],
+}
+
+
+def export_csv(tables: dict[str, DataFrame], out_dir: str) -> None:
+    """S9 + O1: write each table as a header CSV folder under ``out_dir``, rows in
+    presentation order (a range-partitioned sort, no single-task sort)."""
+    for name, df in tables.items():
+        keys = [k for k in EXPORT_ORDER.get(name, []) if k in df.columns]
+        write_table(df, f"{out_dir.rstrip('/')}/{name}", fmt="csv", sort_by=keys or None)
