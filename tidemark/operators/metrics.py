@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import share_pct, value_index, weighted_mean
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, SALTS, attach
 from tidemark.schemas import SeriesCols
-from tidemark.session import materialize
+from tidemark.session import materialize_observed
 
 # Label of an entity without a break (fixed value of the run report).
 NO_BREAK_LABEL = "No break detected"
@@ -103,17 +103,17 @@ class SeriesTrend:
 
     @property
     def rows(self) -> int:
-        """Exact row count of the frame (materializes it once)."""
+        """Exact row count of the frame (materializes it once; the count and the
+        item total are observed during the write, no extra pass)."""
         if self._rows is None:
-            self._stored = materialize(self._lazy)
-            self._rows = self._stored.count()
+            self._stored, seen = materialize_observed(self._lazy, items=F.sum("item_count"))
+            self._rows = int(seen["rows"])
+            self._items = int(seen.get("items") or 0)
         return self._rows
 
     @property
     def items(self) -> int:
-        if self._items is None:
-            _ = self.rows
-            self._items = int(self.frame.agg(F.sum("item_count")).first()[0] or 0)
+        _ = self.rows
         return self._items
 
     # -- join helpers -------------------------------------------------

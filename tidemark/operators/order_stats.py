@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import attach
-from tidemark.session import materialize
+from tidemark.session import materialize, materialize_observed
 
 
 def _sort_struct(cols: Sequence[Column | str]) -> Column:
@@ -203,7 +203,7 @@ def _quantiles_by_range(df: DataFrame, group: list[str], value: str, probs: Sequ
     )
     inside = Window.partitionBy(*group, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranged.withColumn("_local", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
-    chunks = materialize(chunks.select(*group, "_pid", "_off", "_n"))
-    ranked = attach(ranked, chunks, group + ["_pid"], "inner", table_rows=chunks.count())
+    chunks, seen = materialize_observed(chunks.select(*group, "_pid", "_off", "_n"))
+    ranked = attach(ranked, chunks, group + ["_pid"], "inner", table_rows=seen["rows"])
     first_rank = F.col("_off") + F.col("_local")
     return _pick_quantiles(ranked, group, value, probs, names, first_rank, first_rank + F.col("_m") - 1)

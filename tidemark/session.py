@@ -6,7 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
@@ -92,3 +93,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base}/tidemark-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` that also returns aggregate metrics gathered while the
+    table is written (``Observation``): no second pass over the data.
+    ``rows`` (the row count) is always included."""
+    obs = Observation(f"tidemark-{uuid.uuid4().hex}")
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()])
+    stored = materialize(observed)
+    return stored, obs.get
