@@ -23,6 +23,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # AQE may replace a sort-merge join by a shuffled hash join when every
         # runtime partition of the build side fits this bound (runtime stats).
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # Broadcasts come from counted bounds (operators.joins.attach) or from AQE's
+        # measured stage sizes, never from plan estimates.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
@@ -52,6 +56,9 @@ def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes),
+        # no broadcast from plan estimates; AQE broadcasts only from measured sizes
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
     }
 
 

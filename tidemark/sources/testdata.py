@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import attach
 from tidemark.schemas import SeriesCols
 
 # Fixed values of the mapping.
@@ -80,8 +81,9 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier rows with nation/region names (small dimension)."""
     s = table(spark, sf_dir, "supplier")
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
+    # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
+    n = F.broadcast(table(spark, sf_dir, "nation"))
+    r = F.broadcast(table(spark, sf_dir, "region"))
     return (
         s.join(n, s.s_nationkey == n.n_nationkey, "left")
         .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
@@ -110,7 +112,7 @@ def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-maintained category table analogue: (entity_id, title, category)."""
     s = table(spark, sf_dir, "supplier")
-    n = table(spark, sf_dir, "nation")
+    n = F.broadcast(table(spark, sf_dir, "nation"))  # fixed size: 25 rows at every scale factor
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         F.col("s_suppkey").alias(COLS.entity), F.col("s_name").alias("title"), F.col("n_name").alias("category")
     )
@@ -158,10 +160,10 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, item_type): the item's part type, possibly several rows per id."""
     li = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part")
-    return li.join(p, li.l_partkey == p.p_partkey, "inner").select(
-        item_id_expr().alias("item_id"), F.col("p_type").alias("item_type")
-    )
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    # the part table is broadcast only under its counted size (a footer-only count)
+    joined = attach(li, p, ["l_partkey"], "inner", table_rows=table(spark, sf_dir, "part").count())
+    return joined.select(item_id_expr().alias("item_id"), F.col("p_type").alias("item_type"))
 
 
 def entity_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
