@@ -33,16 +33,25 @@ def _norm(v):
     return v
 
 
-@needs_data
-@pytest.mark.parametrize("name", ["period_kpis", "clean_funnel", "spot_check", "weight_extremes", "dq_checks",
-                                  "score_distribution", "genre_agg"])
-def test_oracle_agreement(spark, name):
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(se.oracle_sql()))
+def test_oracle_agreement(spark, duck, name):
+    """Every registered query equals its DuckDB oracle: names, types, rows."""
     df = se.queries()[name](spark, SF)
-    res = con.execute(se.oracle_sql()[name])
+    res = duck.execute(se.oracle_sql()[name])
     assert df.columns == [d[0] for d in res.description]
+    assert [SPARK_TO_DUCK.get(t, t) for _, t in df.dtypes] == [str(d[1]) for d in res.description]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     a = sorted((tuple(_norm(v) for v in r) for r in df.collect()), key=key)
     b = sorted((tuple(_norm(v) for v in r) for r in res.fetchall()), key=key)
