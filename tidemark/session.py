@@ -84,6 +84,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of this application's stage tables inside the shared checkpoint
+    folder: one place to delete (or expire) when the application is done."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tidemark-stages/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared checkpoint
     folder and read it back.
@@ -96,8 +103,7 @@ def materialize(df: DataFrame) -> DataFrame:
     loss of any executor.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tidemark-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
