@@ -120,3 +120,55 @@ def test_grouped_quantiles_both_paths(spark, data, largest):
         vals = [float(v) for gg, v in data if gg == g]
         for name, q in zip(names, probs):
             assert math.isclose(got[g][name], _interp(vals, q), abs_tol=1e-9)
+
+
+from tidemark.operators import ingest  # noqa: E402
+
+texts = st.sampled_from([None, "0", "1", "2", "x1"])
+item_rows = st.lists(st.tuples(st.sampled_from(["i1", "i2", "i3", "i4"]), st.sampled_from(["A", "B", None]),
+                               texts, texts), min_size=1, max_size=12)
+rating_rows = st.lists(st.tuples(st.sampled_from(["i1", "i2", "i3", "i4"]),
+                                 st.sampled_from([None, 5.0, 7.0]), st.sampled_from([None, 0, 3])), max_size=8)
+type_rows = st.lists(st.tuples(st.sampled_from(["i1", "i2", "i3", "i4"]),
+                               st.sampled_from([None, "tvEpisode", "tvSpecial"])), max_size=8)
+
+
+def _expected_reason(item, parent, period, ordinal, ratings, types, selected):
+    def to_int(t):
+        try:
+            return int(t)
+        except (TypeError, ValueError):
+            return None
+
+    rs = [(s, w) for i, s, w in ratings if i == item]
+    # smallest (score, weight), NULL before any value
+    chosen = min(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)) if rs else None
+    ts = [t for i, t in types if i == item and t is not None]
+    first_type = min(ts) if ts else None
+    rules = [
+        ("not_selected", parent not in selected),
+        ("period_null", period is None),
+        ("period_invalid", to_int(period) is None),
+        ("period_zero", to_int(period) == 0),
+        ("ordinal_null", ordinal is None),
+        ("ordinal_invalid", to_int(ordinal) is None),
+        ("unrated", chosen is None),
+        ("score_null", chosen is not None and chosen[0] is None),
+        ("weight_null", chosen is not None and chosen[1] is None),
+        ("type_missing", first_type is None),
+        ("type_wrong", first_type is not None and first_type != "tvEpisode"),
+    ]
+    return next((name for name, failed in rules if failed), None)
+
+
+@SETTINGS
+@given(items_=item_rows, ratings=rating_rows, types=type_rows, selected=st.sampled_from([{"A"}, {"A", "B"}, set()]))
+def test_reject_rules_brute_force(spark, items_, ratings, types, selected):
+    items = spark.createDataFrame(items_, "item_id string, parent_id string, period_text string, ordinal_text string")
+    r = spark.createDataFrame(ratings, "item_id string, score double, weight bigint")
+    t = spark.createDataFrame(types, "item_id string, item_type string")
+    sel = spark.createDataFrame([(x,) for x in sorted(selected)], "entity_id string")
+    got = sorted((row["item_id"], row["reject_reason"]) for row in
+                 ingest.tag_items(items, r, t, sel, ingest.CleanRules(), selected_rows=len(selected)).collect())
+    want = sorted((i, _expected_reason(i, p, pt, ot, ratings, types, selected)) for i, p, pt, ot in items_)
+    assert got == want
