@@ -80,3 +80,19 @@ def test_scan_prunes_columns(spark):
     # the item pass of pct_high reads only entity, score and period inputs
     assert "ReadSchema: struct<l_suppkey:bigint,l_discount:double,l_shipdate:timestamp_ntz>" in p
     assert "l_extendedprice" not in p and "l_quantity" not in p
+
+
+@needs_data
+def test_dq_plan_uses_aggregates_not_anti_joins(spark):
+    df = se.queries()["dq_checks"](spark, SF)
+    plan = _plan(df)
+    for bad in ("LeftAnti", "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in plan, bad
+
+
+def test_dedupe_is_a_partial_aggregate_not_a_window(spark):
+    from tidemark.operators.dedupe import dedupe_first
+
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, v int")
+    plan = _plan(dedupe_first(df, ["k"], ["v"]))
+    assert "partial_min" in plan and "Window" not in plan
