@@ -357,3 +357,53 @@ QUERIES: dict[str, Query] = {
     "key_set_equality": q_key_set_equality,
     "entity_item_counts": q_entity_item_counts,
 }
+
+
+# One line per query: what it computes and the survey IDs it covers.
+DESCRIPTIONS: dict[str, str] = {
+    "clean_items": "C1: raw items that pass every rule (P3-P8, J1-J5, K4).",
+    "clean_funnel": "C3: rows per outcome of the ordered reject-rule chain, zero-weight kept rows (A20).",
+    "entity_metadata": "C4: one metadata row per selected entity (J4, W7).",
+    "item_types": "C5: items with a valid type that passed the item-level rules (P20).",
+    "dedupe_first": "W7: first-wins de-duplication by a total order, as a partial aggregate.",
+    "dim_entity": "M1: entity metadata left join category (J7, P7).",
+    "fact_item": "M2: typed item fact (P7).",
+    "period_stats": "A1, A2, A4-A6: count, total weight, mean and sample stddev per (entity, period).",
+    "weighted_mean": "A3: weighted mean per (entity, period), NULL for zero total weight.",
+    "rolling_mean": "W2: 3-period rolling mean of the weighted means.",
+    "series_baseline": "W1: per-entity baseline (mean of period weighted means).",
+    "pct_high": "A7, J8 (K2): share of items at or above the entity baseline.",
+    "period_rank": "W3: rank of periods by weighted mean (ties share, gaps).",
+    "value_index": "Value index: weighted mean x log10(1 + total weight).",
+    "period_kpis": "M3: the 12-column period KPI table.",
+    "below_flags": "W4, W5: below-baseline flag and the previous period's flag.",
+    "break_period": "M4, A8, J9: first break per dimension entity (period - 1 parity).",
+    "break_period_strict": "W6: first break using the real previous existing period.",
+    "durability": "M5, A9, J10: periods with rolling mean >= baseline, 0 default.",
+    "entity_summary": "M6, A17: periods per entity, break with its label, durability.",
+    "reconcile_counts": "R1, A10, J11, J12: item counts two ways, full outer join, -1 sentinel diff.",
+    "spot_check": "R2, W8, A18, U6: weighted mean recomputed for one period per entity, detail + summary.",
+    "duplicate_keys": "R3, A12: item ids seen more than once.",
+    "break_sanity": "R4, A11, P16: breaks at period 1 or 2 flagged, highest period per entity.",
+    "weight_extremes": "R5, O3-O6 (K3): lowest, median and highest item by (weight, id).",
+    "qa_summary": "R6, A19: one PASS/FAIL/MANUAL/SKIP row per reconciliation report.",
+    "dq_checks": "Q1-Q21: the data-quality checks over the whole clean -> metrics chain.",
+    "kpi_card": "D1: baseline, best period, break period, total items per entity.",
+    "break_marker": "D2: period line with the break flag.",
+    "rolling_gap": "D3: rolling mean vs baseline with the gap.",
+    "period_ranking": "D4: periods best to worst.",
+    "score_distribution": "D5: exact quartiles of item scores per (entity, period).",
+    "score_histogram": "D5: items per (entity, period, score bucket).",
+    "volatility": "D6: score spread per period.",
+    "durability_rank": "D7: cross-entity durability rank.",
+    "top_periods": "D8: best 5 periods per entity by value index.",
+    "category_comparison": "D9: entities, mean durability and share broken per category.",
+    "recovery": "D10: first period after the break back at or above the baseline.",
+    "genre_agg": "D11: multi-valued attribute split and aggregated per value.",
+    "input_gate": "S10, Q0: required columns present and non-empty inputs.",
+    "extra_duplicates": "A13: rows beyond the first per item id.",
+    "column_profile": "A15: min, max and NULL count per numeric fact column.",
+    "subset_anti": "J13, U3, U4: fact item ids missing from the valid item types.",
+    "key_set_equality": "U5: entity presence across KPI, dimension and selection.",
+    "entity_item_counts": "A16: clean items per selected entity, 0 default.",
+}
