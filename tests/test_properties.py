@@ -172,3 +172,21 @@ def test_reject_rules_brute_force(spark, items_, ratings, types, selected):
                  ingest.tag_items(items, r, t, sel, ingest.CleanRules(), selected_rows=len(selected)).collect())
     want = sorted((i, _expected_reason(i, p, pt, ot, ratings, types, selected)) for i, p, pt, ot in items_)
     assert got == want
+
+
+from tidemark.operators.joins import attach  # noqa: E402
+
+big_rows = st.lists(st.tuples(st.sampled_from(["h", "h", "h", "a", "b", None]), st.integers(0, 50)),
+                    min_size=1, max_size=60)
+table_rows = st.lists(st.tuples(st.sampled_from(["h", "a", "c", None]), st.integers(0, 3)), max_size=6)
+
+
+@SETTINGS
+@given(big=big_rows, table=table_rows, how=st.sampled_from(["inner", "left", "left_semi", "left_anti"]))
+def test_salted_attach_equals_plain_join(spark, big, table, how):
+    b = spark.createDataFrame(big, "k string, v int")
+    t = spark.createDataFrame(table, "k string, w int")
+    hot = spark.createDataFrame([("h",)], "k string")
+    salted = attach(b, t, ["k"], how, table_rows=None, hot_keys=hot, salt_by=["v"], salts=4)
+    plain = b.join(t, ["k"], how)
+    assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
