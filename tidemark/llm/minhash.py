@@ -10,10 +10,10 @@ are taken over the whole corpus; only the frequent ones matter, and at most
 size, so that list is broadcast.
 
 ``bands * rows`` consistent weighted samples (Ioffe's construction) make the band
-keys. In each bucket the members are compared with the smallest one; where that
-leaves more than one component in a bucket, the members of different components
-are compared as well. So every candidate pair is either verified or already
-connected, and a group of copies costs as many comparisons as it has members.
+keys. In each bucket the members are compared with the smallest one; where that leaves
+several components in a bucket, members of different components are compared with
+each other in blocks. So every candidate pair is either verified or already
+connected, and no pairs are emitted but links.
 Comparison is by the weighted Jaccard similarity of whole texts.
 """
 
@@ -210,8 +210,8 @@ def verify(pairs: DataFrame, texts: DataFrame, model, bands: Bands, block: int =
 
     The pairs of one ``a`` are dealt into blocks of about ``block``; each block gets the text
     of ``a`` once and those of its ``b``. Only texts of documents in a pair are shuffled."""
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     total = pairs.count()
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
     dealt = stage(
         spread_join(pairs, degree, "a", "m", total, F.xxhash64("b")).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).select("a", "b", "part"),
@@ -224,15 +224,7 @@ def verify(pairs: DataFrame, texts: DataFrame, model, bands: Bands, block: int =
     def compare(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
         doc = table.column("doc").to_numpy()
-        column = table.column("text").combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks)
-        sets = {}
-        for i in range(0, len(column), 1000):
-            row, ids, tf = shingles(*string_buffer(column.slice(i, 1000)), bands.words)
-            w = model.value.weights(ids, tf)
-            cuts = np.searchsorted(row, np.arange(min(1000, len(column) - i) + 1))
-            sets |= {int(doc[i + k]): (ids[x:y], w[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))}
+        sets = _sets(doc, pa.concat_arrays(table.column("text").chunks), model.value, bands.words)
         hits = [b for b in sets if b != a and weighted_jaccard(sets[a], sets[b]) >= bands.threshold] if a in sets else []
         return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
@@ -258,6 +250,94 @@ def _only(texts: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
     return src.mapInArrow(keep, "doc long, text string")
 
 
+def _sets(doc: np.ndarray, column: pa.Array, model: Frequent, words: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(sorted shingle ids, weights) of each text by its document."""
+    sets = {}
+    for i in range(0, len(column), 1000):
+        row, ids, tf = shingles(*string_buffer(column.slice(i, 1000)), words)
+        w = model.weights(ids, tf)
+        cuts = np.searchsorted(row, np.arange(min(1000, len(column) - i) + 1))
+        sets |= {int(doc[i + k]): (ids[x:y], w[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))}
+    return sets
+
+
+def _close_pairs(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """(i, j) of all sets of ``left`` and ``right`` whose similarity may reach ``threshold``.
+
+    The product of the roots of two weights is at least the smaller one, so one matrix product
+    over the shingles in several sets bounds every overlap from above."""
+    ids, column, counts = np.unique(np.concatenate([s[0] for s in left + right]), return_inverse=True, return_counts=True)
+    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
+    lens = np.array([len(s[0]) for s in left + right])
+    row = np.repeat(np.arange(len(lens)), lens)
+    weights = np.concatenate([s[1] for s in left + right])
+    x = np.zeros((len(lens), max(1, int((counts > 1).sum()))), np.float32)
+    x[row[place >= 0], place[place >= 0]] = np.sqrt(weights[place >= 0])
+    total = np.bincount(row, weights, minlength=len(lens))
+    n = len(left)
+    need = (total[:n, None] + total[None, n:]) * (threshold / (1 + threshold))
+    return np.argwhere(x[:n] @ x[n:].T >= need * (1 - 1e-4))
+
+
+def compare_buckets(open_: DataFrame, texts: DataFrame, model, bands: Bands, block: int = 256, per_task: int = 2000) -> DataFrame:
+    """Links (``a``, ``b``) that join different components of a bucket: with the components so far they
+    connect whatever all similar pairs of the buckets connect.
+
+    ``open_``: ``bucket``, ``rep``, ``component``. Large buckets are dealt into parts of about
+    ``block`` members and a task compares two parts; small buckets share tasks. A task gets
+    each text once and sends at most one link a member."""
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    tasks = max(1, open_.count() // per_task)
+    dealt = open_.join(sizes, "bucket").select(
+        "bucket", F.col("rep").alias("doc"), "component",
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("slot"),
+        F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "doc", "component", "slot", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rows = dealt.join(_only(texts, open_.select(F.col("rep").alias("doc"))), "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, bucket, part, component = (table.column(c).to_numpy() for c in ("doc", "bucket", "part", "component"))
+        unique, at = np.unique(doc, return_index=True)
+        sets = _sets(unique, pa.concat_arrays(table.column("text").chunks).take(pa.array(at)), model.value, bands.words)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        links = []
+        order = np.lexsort((doc, part, bucket))
+        cuts = np.r_[np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]), len(order)]
+        for i, j in zip(cuts, cuts[1:]):
+            mine = order[i:j]
+            left, right = mine[part[mine] == lo], mine[part[mine] == hi]
+            if len(left) * len(right) > 400:
+                pairs = _close_pairs([sets[int(d)] for d in doc[left]], [sets[int(d)] for d in doc[right]], bands.threshold).tolist()
+            else:
+                pairs = [(x, y) for x in range(len(left)) for y in range(len(right))]
+            for x, y in pairs:
+                if lo == hi and x >= y:
+                    continue
+                a, b = left[x], right[y]
+                ca, cb = find(int(component[a])), find(int(component[b]))
+                if ca != cb and weighted_jaccard(sets[int(doc[a])], sets[int(doc[b])]) >= bands.threshold:
+                    parent[max(ca, cb)] = min(ca, cb)
+                    links.append((int(doc[a]), int(doc[b])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return stage(rows.groupBy("slot", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (``bucket``, ``rep``, ``component``) of buckets with several components."""
+    label = connected_components(links).select(F.col("node").alias("rep"), "component")
+    named = stage(members.join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    return stage(named.join(several, "bucket"), "open")
+
+
 def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): doc_id, class_id and kept.
 
@@ -294,16 +374,8 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     texts = ided.select(F.col("doc_id").alias("doc"), "text")
     star = stage(members.where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "star")
     links = verify(star, texts, model, bands)
-    label = connected_components(links).select(F.col("node").alias("rep"), "component")
-    # buckets that still hold several components: compare across them (all but the one of most members with everybody)
-    named = stage(members.join(label, "rep", "left").select("bucket", "rep", "a", F.coalesce("component", "rep").alias("component")), "named")
-    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    open_ = stage(named.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket"), "open")
-    few = open_.where("component != main").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), "main")
-    cross = few.join(open_.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy")), "bucket").where("cx != cy AND (cy = main OR x < y)")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verify(stage(cross, "cross"), texts, model, bands)
+    open_ = _open_buckets(members, links)
+    more = compare_buckets(open_, texts, model, bands)
     label = connected_components(links.unionAll(more)).select(F.col("node").alias("rep"), "component")
     info = stage(classes.select("text_key", "rep", "n").join(label, "rep", "left").select("text_key", "n", F.coalesce("component", "rep").alias("class_id")), "info")
     total = signed.count()
