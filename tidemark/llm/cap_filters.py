@@ -95,7 +95,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode = CapCode(), block: int = 1024) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode = CapCode(), block: int = 1024, per_task: int = 4000) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id``, ``embedding``, ``label``): vec_id, n_links
     (other rows linked directly), component_id and kept.
 
@@ -134,32 +134,43 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode
     members = stage(classes.select("rep", "n", "v", "l", F.size("v").alias("dim")).mapInArrow(
         caps, f"l {kind}, dim int, code int, filter long, rep {ids}, n long, v array<double>"), "caps")
     # a bucket of m members is dealt into s = ceil(m / block) parts; tasks compare part i with part j >= i
-    bucket = ["l", "dim", "code", "filter"]
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    sizes = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", parts)
-    dealt = members.join(sizes, bucket).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # (small buckets share tasks)
+    bucketed = members.withColumn("bucket", F.xxhash64("l", "dim", "code", "filter"))
+    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    tasks = max(1, members.count() // per_task)
+    dealt = bucketed.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    dealt = dealt.select(
+        "bucket", "l", "dim", "rep", "n", "v", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+        F.when(F.col("parts") == 1, F.pmod("bucket", F.lit(tasks))).otherwise(F.col("bucket")).alias("slot"))
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        unit = _matrix(pa.concat_arrays(table.column("v").chunks))
-        rep, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
+        table = table.sort_by([("bucket", "ascending"), ("l", "ascending"), ("dim", "ascending"), ("rep", "ascending")])
+        rep, n, part, key, dim = (table.column(c).to_numpy() for c in ("rep", "n", "part", "bucket", "dim"))
+        label = table.column("l").to_numpy()
+        vectors = pa.concat_arrays(table.column("v").chunks)
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        a, b = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-9)
-        a, b = left[a], right[b]
-        once = a < b if lo == hi else np.ones(len(a), bool)
-        a, b = a[once], b[once]
-        # the same sum for every bucket that holds the pair
-        fits = np.concatenate([np.zeros(0, bool), *((unit[a[i : i + block]] * unit[b[i : i + block]]).sum(1) >= threshold for i in range(0, len(a), block))])
-        a, b = a[fits], b[fits]
-        swap = rep[a] > rep[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        new = (key[1:] != key[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])  # also parts buckets of one hash
+        cuts = np.r_[0, np.flatnonzero(new) + 1, len(rep)]
+        found = []
+        for i, j in zip(cuts, cuts[1:]):
+            left, right = np.flatnonzero(part[i:j] == lo), np.flatnonzero(part[i:j] == hi)
+            if not len(left) or not len(right):
+                continue
+            unit = _matrix(vectors.slice(i, j - i))
+            a, b = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-9)
+            a, b = left[a], right[b]
+            if lo == hi:
+                a, b = a[a < b], b[a < b]
+            # the same sum for every bucket that holds the pair
+            fits = np.concatenate([np.zeros(0, bool), *((unit[a[k : k + block]] * unit[b[k : k + block]]).sum(1) >= threshold for k in range(0, len(a), block))])
+            a, b = a[fits] + i, b[fits] + i
+            swap = rep[a] > rep[b]
+            found.append(np.stack([np.where(swap, b, a), np.where(swap, a, b)]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": rep[a], "b": rep[b], "na": n[a], "nb": n[b]})
 
-    pairs = stage(dealt.groupBy(*bucket, "lo", "hi").applyInArrow(compare, f"a {ids}, b {ids}, na long, nb long").distinct(), "links")
+    pairs = stage(dealt.groupBy("slot", "lo", "hi").applyInArrow(compare, f"a {ids}, b {ids}, na long, nb long").distinct(), "links")
     degree = (
         pairs.select(F.col("a").alias("rep"), F.col("nb").alias("d")).unionAll(pairs.select(F.col("b").alias("rep"), F.col("na").alias("d")))
         .groupBy("rep").agg(F.sum("d").alias("d"))

@@ -34,6 +34,7 @@ from tidemark.llm.shared import shared_path, spread_join, stage, text_or_empty
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 1 << 30
+LEVEL = 3  # of gzip: half the time of the usual 6 for some percent more bytes
 _STEP = 1 << 20
 _URN = "urn:page:"
 _PLAIN = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
@@ -65,7 +66,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{_id(refers_to)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     body = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return squeeze.compress(body) + squeeze.flush()
 
 
