@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, minhash, packing, pii, quality
 from tidemark.llm.registry import QUALITY_CUT, TOKENIZER, table, train_quality
-from tidemark.llm.shared import ship_package, stage
+from tidemark.llm.shared import free_name, ship_package, stage, text_or_empty
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +23,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     never one that is predicted good."""
     ship_package(spark)
     ranker = train_quality(spark, docs, sf_dir)
-    scored = quality.add_score(docs, ranker, "_lm_score")
-    return scored.where(F.col("_lm_score") >= min(QUALITY_CUT, ranker.cut)).drop("_lm_score")
+    score = free_name(docs, "_lm_score")
+    return quality.add_score(docs, ranker, score).where(F.col(score) >= min(QUALITY_CUT, ranker.cut)).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of every group of near-duplicates; of rows that repeat
     an id one stays."""
     ship_package(spark)
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_lm_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("_lm_kept")).drop("_lm_kept").dropDuplicates(["doc_id"])
+    name = free_name(docs, "_lm_kept")
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    chosen = docs.join(kept, F.col("doc_id") == F.col(name)).drop(name).dropDuplicates(["doc_id"])
     return chosen.unionAll(docs.where("doc_id IS NULL"))
 
 
@@ -45,12 +46,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind (n_chars follows the text)."""
     ship_package(spark)
-    found = pii.add_spans(docs, pii.train(docs))
-    changed = F.size("spans") > 0
+    name = free_name(docs, "_lm_found")
+    found = docs.withColumn(name, pii.span_finder(spark, pii.train(docs))(text_or_empty("text")))
+    changed = F.size(F.col(name)["spans"]) > 0
+    masked = F.col(name)["masked"]
     return found.withColumns({
-        "text": F.when(changed, F.col("masked")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length("masked").cast("long")).otherwise(F.col("n_chars")),
-    }).select(*docs.columns)
+        "text": F.when(changed, masked).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.char_length(masked).cast("long")).otherwise(F.col("n_chars")),
+    }).drop(name)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

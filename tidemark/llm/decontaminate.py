@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices, string_buffer, text_or_empty
+from tidemark.llm.shared import free_name, slices, string_buffer, text_or_empty
 from tidemark.llm.words import mix, word_hashes
 
 SLICE_BYTES = 6 << 20
@@ -340,5 +340,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
                 kept = batch.filter(pa.array(clean))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-        docs = docs.withColumn("_lm_normal", _normal("text")).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(free_name(docs, "_lm_normal"), _normal("text")).mapInArrow(run, docs.schema)
     return docs

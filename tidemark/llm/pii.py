@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,9 +111,10 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
         structure = -1 if after == "." and text[end + 1 : end + 2].isdigit() else 1
         gazetteer = -1 if parts[0] == "0" or set(map(len, parts)) == {1} else 1
     elif name == "card":
-        form = 1 if len(digits) in (15, 16) else -1
-        structure = 1 if luhn(digits) else -1
-        gazetteer = 1 if digits[0] in "3456" else 0
+        valid = luhn(digits)  # a number whose check digit is wrong has neither form nor issuer
+        form = 1 if valid and len(digits) in (15, 16) else -1
+        structure = 1 if valid else -1
+        gazetteer = (1 if digits[0] in "3456" else 0) if valid else -1
     elif name == "phone":
         form = 1 if 10 <= len(digits) <= 13 else -1
         structure = 1 if span[0] == "+" or "(" in span else 0
@@ -217,11 +218,10 @@ def find(text: str, model: SpanModel, threshold: float = 0.5) -> tuple[list, lis
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def add_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` plus ``base_spans``, ``spans`` (arrays of kind, start, end in code points,
-    by kind then start) and ``masked`` (the text with each span replaced by its kind
-    in angle brackets). NULL texts have no spans and an empty masked text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def span_finder(spark: SparkSession, model: SpanModel) -> Callable[[Column], Column]:
+    """A function from a text column (no NULLs) to a struct of ``base_spans``, ``spans`` (arrays of kind, start,
+    end in code points, by kind then start) and ``masked`` (each span replaced by its kind in angle brackets)."""
+    shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("base_spans", SPANS), T.StructField("spans", SPANS), T.StructField("masked", T.StringType())])
 
     @F.pandas_udf(kind)
@@ -233,10 +233,14 @@ def add_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
             out.append((as_rows(base), as_rows(spans), mask(text, spans)))
         return pd.DataFrame(out, columns=["base_spans", "spans", "masked"])
 
-    names = docs.columns
-    made = docs.withColumn("_lm_found", run(text_or_empty("text")))
-    return made.select(*[F.col(f"`{c}`") for c in names], F.col("_lm_found.base_spans").alias("base_spans"),
-                       F.col("_lm_found.spans").alias("spans"), F.col("_lm_found.masked").alias("masked"))
+    return run
+
+
+def add_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
+    """``doc_id`` and ``text`` of ``docs`` plus the fields of ``span_finder``. NULL texts have no spans
+    and an empty masked text."""
+    found = span_finder(docs.sparkSession, model)(text_or_empty("text"))
+    return docs.select("doc_id", "text", found.alias("f")).select("doc_id", "text", "f.base_spans", "f.spans", "f.masked")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -38,6 +38,14 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the application's folder in ``spark.checkpoint.dir``."""
     return f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
