@@ -9,7 +9,7 @@ from tidemark.sources.sinks import input_gate
 
 def test_cluster_conf_sizes_partitions():
     c = cluster_conf(input_bytes=100 * 2**40, total_cores=8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 200_000  # capped
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
     assert c["spark.sql.autoBroadcastJoinThreshold"] == "-1"
     small = cluster_conf(input_bytes=2**30, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) == 128  # at least two waves of the cores

@@ -82,6 +82,39 @@ def test_prejoined_mode(spark):
     assert got == {"e1": None, "e2": "period_zero", "e3": "ordinal_null", "e4": "score_null", "e5": "type_invalid"}
 
 
+def test_prejoined_mode_accepts_whole_decimals(spark):
+    items = spark.createDataFrame([("e1", 1.0, "2.0", 8.0, "10.0"), ("e2", 1.5, "1", 8.0, "1"), ("e3", 2.0, "x", 8.0, "1"), ("e4", 2.0, "3", 8.0, "1.5")],
+                                  "item_id string, period double, ordinal string, score double, weight string")
+    items = items.selectExpr("item_id", "'A' AS entity_id", "period", "ordinal", "score", "weight")
+    types = spark.createDataFrame([(f"e{i}", "tvEpisode") for i in range(1, 5)], "item_id string, item_type string")
+    got = {r["item_id"]: (r["period"], r["ordinal"], r["weight"], r["reject_reason"]) for r in ingest.prejoined_tag(items, types).collect()}
+    assert got["e1"] == (1, 2, 10, None)
+    assert [got[f"e{i}"][3] for i in (2, 3, 4)] == ["period_invalid", "ordinal_invalid", "weight_null"]
+
+
+def test_a_complete_rating_beats_an_incomplete_one(spark):
+    items = spark.createDataFrame([("a", "A", "1", "1"), ("b", "A", "1", "2"), (None, "A", "1", "3")],
+                                  "item_id string, parent_id string, period_text string, ordinal_text string")
+    ratings = spark.createDataFrame([("a", None, 5), ("a", 7.0, 10), ("b", None, 5)], "item_id string, score double, weight long")
+    types = spark.createDataFrame([("a", "tvEpisode"), ("b", "tvEpisode")], "item_id string, item_type string")
+    got = {r["item_id"]: (r["score"], r["reject_reason"]) for r in ingest.tag_items(items, ratings, types, None).collect()}
+    assert got == {"a": (7.0, None), "b": (None, "score_null"), None: (None, "unrated")}
+
+
+def test_items_are_filtered_before_the_join(spark):
+    items = spark.createDataFrame([("a", "A", "1", "1")], "item_id string, parent_id string, period_text string, ordinal_text string")
+    ratings = spark.createDataFrame([("a", 7.0, 10)], "item_id string, score double, weight long")
+    types = spark.createDataFrame([("a", "tvEpisode")], "item_id string, item_type string")
+    plan = ingest.clean_items(ingest.tag_items(items, ratings, types, None))._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "Filter" in plan[join:] and "isnotnull(period_text" in plan[join:]
+
+
+def test_dedupe_prefers_complete_rows(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "t", 2)], "k string, title string, v int")
+    assert dedupe_first(df, ["k"], ["title"]).first()["title"] == "t"
+
+
 def test_dedupe_and_duplicates(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 1), (None, 2)], "k string, v int")
     assert {r["k"]: r["v"] for r in dedupe_first(df, ["k"], ["v"]).collect()} == {"a": 1, "b": 2, None: 1}

@@ -15,12 +15,14 @@ pairs = st.lists(st.tuples(st.integers(0, 6), st.sampled_from(["a", "b", "c", "d
 
 
 @SETTINGS
-@given(data=pairs, fraction=st.sampled_from([0.0, 0.25, 0.5, 0.99]), local_rows=st.sampled_from([1_000_000, 0]))
-def test_element_at_rank_is_sorted_index(spark, data, fraction, local_rows):
-    """Both the bounded-window path and the range-partitioned path (local_rows=0)."""
+@given(data=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.sampled_from(["a", "b", "c", "d"])), min_size=1, max_size=60),
+       fraction=st.sampled_from([0.0, 0.25, 0.5, 0.99]), rows_per_task=st.sampled_from([200_000, 2]))
+def test_element_at_rank_is_sorted_index(spark, data, fraction, rows_per_task):
+    """One range and many; NULLs sort last."""
     df = spark.createDataFrame(data, "w int, k string")
-    got = element_at_rank(df, ["w", "k"], fraction, partitions=3, local_rows=local_rows).collect()
-    assert [(r["w"], r["k"]) for r in got] == [sorted(data)[math.floor(len(data) * fraction)]]
+    got = element_at_rank(df, ["w", "k"], fraction, rows_per_task=rows_per_task).collect()
+    want = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[math.floor(len(data) * fraction)]
+    assert [(r["w"], r["k"]) for r in got] == [want]
 
 
 @SETTINGS
@@ -98,7 +100,7 @@ def assert_float_tie(t, e):
     ), f"break mismatch for {e} without a float tie"
 
 
-groups = st.lists(st.tuples(st.sampled_from(["g", "h"]), st.integers(0, 9)), min_size=1, max_size=50)
+groups = st.lists(st.tuples(st.sampled_from(["g", "h", None]), st.integers(0, 9)), min_size=1, max_size=50)
 
 
 def _interp(vals, q):
@@ -109,13 +111,13 @@ def _interp(vals, q):
 
 
 @SETTINGS
-@given(data=groups, largest=st.sampled_from([None, 10_000]))
-def test_grouped_quantiles_both_paths(spark, data, largest):
+@given(data=groups, rows_per_task=st.sampled_from([200_000, 2]))
+def test_grouped_quantiles_one_range_and_many(spark, data, rows_per_task):
     df = spark.createDataFrame([(g, float(v)) for g, v in data], "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = {r["g"]: r for r in grouped_quantiles(df, ["g"], "v", probs, names, largest_group=largest,
-                                                 partitions=3).collect()}
+    got = {r["g"]: r for r in grouped_quantiles(df, ["g"], "v", probs, names, rows_per_task).collect()}
+    assert set(got) == {g for g, _ in data}
     for g in {g for g, _ in data}:
         vals = [float(v) for gg, v in data if gg == g]
         for name, q in zip(names, probs):
@@ -141,8 +143,9 @@ def _expected_reason(item, parent, period, ordinal, ratings, types, selected):
             return None
 
     rs = [(s, w) for i, s, w in ratings if i == item]
-    # smallest (score, weight), NULL before any value
-    chosen = min(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)) if rs else None
+    # the smallest complete rating; an incomplete one only where there is no other
+    complete = [r for r in rs if None not in r]
+    chosen = min(complete or rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)) if rs else None
     ts = [t for i, t in types if i == item and t is not None]
     first_type = min(ts) if ts else None
     rules = [

@@ -48,7 +48,7 @@ def test_element_at_rank_matches_sort(spark):
     for n in (1, 2, 15, 400):
         data = [(rnd.randint(0, 5), f"id{rnd.randint(0, 30):03d}") for _ in range(n)]
         df = spark.createDataFrame(data, "w int, k string")
-        got = element_at_rank(df, ["w", "k"], 0.5, partitions=4).collect()
+        got = element_at_rank(df, ["w", "k"], 0.5, rows_per_task=4).collect()
         want = sorted(data)[n // 2]
         assert [(r["w"], r["k"]) for r in got] == [want]
 
@@ -89,3 +89,13 @@ def test_spot_check_salted_path_matches_broadcast(spark):
     salted = reconcile.spot_check(items, kpis, titles, kpi_rows=2, titles_rows=2, max_broadcast_rows=0, hot_rows=10)
     assert sorted(map(tuple, fast.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     assert len(salted.collect()) == 203
+
+
+def test_weight_extremes_ignore_missing_weights(spark):
+    from tidemark.operators.reconcile import weight_extremes
+
+    items = spark.createDataFrame([("a", None), ("b", 3), ("c", 9)], "item_id string, weight long").selectExpr(
+        "item_id", "'E' AS entity_id", "1 AS period", "1 AS ordinal", "1.0D AS score", "weight")
+    titles = spark.createDataFrame([("E", "t")], "entity_id string, title string")
+    got = {r["pick"]: r["weight"] for r in weight_extremes(items, titles).collect()}
+    assert got == {"lowest": 3, "median": 9, "highest": 9}

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row per key; the row that sorts first by ``order`` then by the
-    remaining columns wins (a total, file-order-free rule)."""
+    remaining columns wins, NULLs last (a total, file-order-free rule)."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys and c not in order]
     ordered = list(order) + rest
     if not ordered:
         return df.select(*keys).distinct()
-    first = F.min(F.struct(*[F.col(c) for c in ordered])).alias("_first")
+    # NULLs last, so a complete row beats one with gaps
+    keyed = [x for i, c in enumerate(ordered) for x in (F.col(c).isNull().alias(f"_null{i}"), F.col(c))]
+    first = F.min(F.struct(*keyed)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in ordered]).select(
         *df.columns
     )

@@ -31,7 +31,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import first_reason
@@ -82,7 +82,9 @@ def item_lookup(ratings: DataFrame, types: DataFrame) -> DataFrame:
         .filter(F.col("item_id").isNotNull())
         .groupBy("item_id")
         .agg(
-            F.min("_r").alias("_r"),
+            # an incomplete rating counts only where an item has no complete one
+            F.coalesce(F.min(F.when(F.col("_r.score").isNotNull() & F.col("_r.weight").isNotNull(), F.col("_r"))),
+                       F.min("_r")).alias("_r"),
             F.min("_t").alias("item_type"),
             F.max(F.col("_t").isNotNull()).alias("_typed"),
         )
@@ -130,11 +132,10 @@ def tag_with_lookup(
     else:
         rows = rows.withColumn("_selected", F.lit(True))
 
-    rows = rows.join(lookup, "item_id", "left")
     period = F.col("period_text").try_cast("int")
     ordinal = F.col("ordinal_text").try_cast("int")
-    valid = F.col("item_type").isin(*rules.valid_types)
-    reason = first_reason(
+    # The item-stage rules need no rating or type: rows that fail one never reach the join.
+    item_reason = first_reason(
         [
             ("not_selected", F.col("_selected").isNull()),
             ("period_null", F.col("period_text").isNull()),
@@ -142,6 +143,19 @@ def tag_with_lookup(
             ("period_zero", period == 0),
             ("ordinal_null", F.col("ordinal_text").isNull()),
             ("ordinal_invalid", ordinal.isNull()),
+            # a missing id matches no rating (and would send all such rows to one task)
+            ("unrated", F.col("item_id").isNull()),
+        ]
+    )
+    rows = rows.select("item_id", F.col("parent_id").alias("entity_id"), period.alias("period"),
+                       ordinal.alias("ordinal"), item_reason.alias("_item_reason"))
+    rejected = rows.filter(F.col("_item_reason").isNotNull()).select(
+        "item_id", "entity_id", "period", "ordinal", F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("item_type"),
+        F.col("_item_reason").alias("reject_reason"))
+    valid = F.col("item_type").isin(*rules.valid_types)
+    reason = first_reason(
+        [
             ("unrated", F.col("_rated").isNull() | ~F.col("_rated")),
             ("score_null", F.col("score").isNull()),
             ("weight_null", F.col("weight").isNull()),
@@ -149,16 +163,9 @@ def tag_with_lookup(
             ("type_wrong", ~valid),
         ]
     )
-    return rows.select(
-        "item_id",
-        F.col("parent_id").alias("entity_id"),
-        period.alias("period"),
-        ordinal.alias("ordinal"),
-        "score",
-        "weight",
-        "item_type",
-        reason.alias("reject_reason"),
-    )
+    checked = rows.filter(F.col("_item_reason").isNull()).join(lookup, "item_id", "left").select(
+        "item_id", "entity_id", "period", "ordinal", "score", "weight", "item_type", reason.alias("reject_reason"))
+    return checked.unionByName(rejected)
 
 
 def clean_items(tagged: DataFrame) -> DataFrame:
@@ -199,6 +206,14 @@ def entity_metadata(basics: DataFrame, selected: DataFrame | None, selected_rows
     )
 
 
+def _whole(column: str) -> Column:
+    """A whole number that may be written as a decimal (a column with blanks often is): 1.0 is 1,
+    1.5 and other text are NULL."""
+    text = F.col(column).cast("string")
+    as_double = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), F.when(as_double == F.floor(as_double), as_double.try_cast("bigint")))
+
+
 def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanRules(),
                   types_rows: int | None = None) -> DataFrame:
     """Pre-joined input (item, entity, period, ordinal, score, weight): same
@@ -211,8 +226,9 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
     )
     rows = attach(items, valid, ["item_id"], "left", table_rows=types_rows,
                   max_broadcast_rows=rules.max_broadcast_rows)
-    period = F.col("period").cast("string").try_cast("int")
-    ordinal = F.col("ordinal").cast("string").try_cast("int")
+    period = _whole("period").try_cast("int")
+    ordinal = _whole("ordinal").try_cast("int")
+    weight = _whole("weight")
     reason = first_reason(
         [
             ("period_null", F.col("period").isNull()),
@@ -221,7 +237,7 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
             ("ordinal_null", F.col("ordinal").isNull()),
             ("ordinal_invalid", ordinal.isNull()),
             ("score_null", F.col("score").cast("string").try_cast("double").isNull()),
-            ("weight_null", F.col("weight").cast("string").try_cast("bigint").isNull()),
+            ("weight_null", weight.isNull()),
             ("type_invalid", F.col("_valid").isNull()),
         ]
     )
@@ -231,6 +247,6 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
         period.alias("period"),
         ordinal.alias("ordinal"),
         F.col("score").cast("string").try_cast("double").alias("score"),
-        F.col("weight").cast("string").try_cast("bigint").alias("weight"),
+        weight.alias("weight"),
         reason.alias("reject_reason"),
     )

@@ -66,17 +66,11 @@ def period_ranking(t: SeriesTrend) -> DataFrame:
 QUARTILE_NAMES = ["score_min", "score_q1", "score_median", "score_q3", "score_max"]
 
 
-def score_distribution(t: SeriesTrend, partitions: int = 64) -> DataFrame:
+def score_distribution(t: SeriesTrend) -> DataFrame:
     """Exact quartiles of the item scores per (entity, period) (box plot),
-    linear interpolation between ranks like ``percentile``. A group is ordered
-    inside one task only when the largest period (item count from the period
-    frame) is within the local bound; otherwise the range-partitioned path of
-    ``order_stats.grouped_quantiles`` is used."""
+    linear interpolation between ranks like ``percentile``."""
     c = t.c
-    _ = t.rows
-    largest = t.frame.agg(F.max("item_count")).first()[0] or 0  # a scalar bound on every group
-    return grouped_quantiles(t.fact, [c.entity, c.period], c.score, QUARTILES, QUARTILE_NAMES,
-                             largest_group=largest, partitions=partitions)
+    return grouped_quantiles(t.fact, [c.entity, c.period], c.score, QUARTILES, QUARTILE_NAMES)
 
 
 def score_histogram(t: SeriesTrend, width: float = 1.0) -> DataFrame:

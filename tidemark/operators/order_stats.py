@@ -2,15 +2,11 @@
 
 * ``first_by`` / ``last_by``: one global aggregate of ``min(struct(...))``;
   partial aggregation keeps one candidate per map task.
-* ``element_at_rank``: the exact row at index ``floor(n * fraction)`` of a
-  total order, in two levels (distinct values of the first order column,
-  then the rows of the one value holding the index). A level runs as one
-  cumulative window only when its frame is proven small (``local_rows``);
-  otherwise identical keys collapse with a multiplicity (a hot key is one
-  row), distinct keys are range-partitioned (sampled bounds) and written
-  to the shared checkpoint folder so partition ids are stable,
-  per-partition sizes give offsets, and only the partition that holds the
-  target index is ordered.
+* ``element_at_rank``, ``grouped_quantiles``: identical keys collapse with a
+  multiplicity (a hot key is one row), distinct keys are range-partitioned
+  (sampled bounds, as many ranges as the counted rows need) and written to the
+  shared checkpoint folder so partition ids are stable, per-range sizes give
+  offsets, and ranks are taken inside ranges. One path at every size.
 """
 
 from __future__ import annotations
@@ -20,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import attach
 from tidemark.session import materialize, materialize_observed
 
 
@@ -53,77 +48,59 @@ def first_by_each(df: DataFrame, orders: dict[str, Sequence[str | Column]], colu
     return best.filter(F.col("_n") > 0).select(F.explode(picks).alias("_p")).select("_p.*")
 
 
-# A window without partitioning may run over at most this many rows (one task).
-LOCAL_ROWS = 1_000_000
+# Target rows of one range partition; the number of partitions follows the counted rows.
+ROWS_PER_TASK = 200_000
 
 
-def element_at_rank(
-    df: DataFrame,
-    order: Sequence[str],
-    fraction: float = 0.5,
-    partitions: int = 64,
-    local_rows: int = LOCAL_ROWS,
-) -> DataFrame:
+def _ordered(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
+def element_at_rank(df: DataFrame, order: Sequence[str], fraction: float = 0.5,
+                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Row at 0-based index ``floor(n * fraction)`` of ``df`` sorted by ``order``
-    (ascending, NULLs first). ``order`` should be a total order of the output
+    (ascending, NULLs last). ``order`` should be a total order of the output
     columns; identical rows are interchangeable. Returns 0 or 1 row.
 
     Level 1 counts rows per distinct value of the first order column (partial
-    aggregation) and locates the value that holds the target index: a
-    cumulative window when there are at most ``local_rows`` distinct values,
-    else the range-partitioned selection. Level 2 orders only the rows of that
-    value the same way. Two scalar results reach the driver; no data does."""
+    aggregation, written once) and selects the value that holds the target
+    index by ranges; level 2 does the same with the rows of that value only.
+    Two scalar results reach the driver; no data does."""
     order = list(order)
     first, rest = order[0], order[1:]
-    dist = df.groupBy(first).agg(F.count(F.lit(1)).alias("_m"))
-    stats = dist.agg(F.count(F.lit(1)).alias("w"), F.sum("_m").alias("n")).first()
-    n = int(stats["n"] or 0)
+    dist, seen = materialize_observed(df.groupBy(first).agg(F.count(F.lit(1)).alias("_m")), n=F.sum("_m"))
+    n = int(seen["n"] or 0)
     if n == 0:
         return df.select(*order).filter(F.lit(False))
     k = int(n * fraction)
-    if stats["w"] <= local_rows:
-        before = Window.orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-        hit = (
-            dist.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-            .filter((F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("_m")))
-            .first()
-        )
-    else:
-        hit = _range_select(dist, [first], k, partitions, weight="_m").first()
-    value, offset, size = hit[first], int(hit["_before"]), int(hit["_m"])
-    subset = df.filter(F.col(first).eqNullSafe(F.lit(value)))
+    hit = _range_select(dist, [first], k, seen["rows"], rows_per_task).first()
+    at_value = F.col(first).eqNullSafe(F.lit(hit[first]))
     if not rest:
-        return dist.filter(F.col(first).eqNullSafe(F.lit(value))).select(first)
-    k2 = k - offset
-    if size <= local_rows:
-        w2 = Window.orderBy(*[F.col(c).asc_nulls_first() for c in rest])
-        return subset.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") == k2 + 1).select(*order)
-    return _range_select(subset, order, k2, partitions).select(*order)
-
-
-def _range_select(df: DataFrame, order: list[str], k: int, partitions: int, weight: str | None = None) -> DataFrame:
-    """Rows covering index ``k`` of ``df`` by ``order`` without a single-task sort.
-
-    Identical keys collapse with a multiplicity (or use ``weight``), distinct
-    keys are range-partitioned (sampled bounds) and written so partition ids
-    are stable, per-partition sizes give offsets (a window over at most
-    ``partitions`` rows), and only the partition holding ``k`` is ordered.
-    Output columns: ``order`` + ``_before`` (rows before the key) + ``_m``."""
-    keyed = df.groupBy(*order).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m"))
-    ranged = materialize(
-        keyed.repartitionByRange(partitions, *[F.col(c).asc_nulls_first() for c in order]).withColumn(
-            "_pid", F.spark_partition_id()
-        )
-    )
+        return dist.filter(at_value).select(first)
+    keyed, seen = materialize_observed(df.filter(at_value).groupBy(*order).agg(F.count(F.lit(1)).alias("_m")))
+    return _range_select(keyed, order, k - int(hit["_before"]), seen["rows"], rows_per_task).select(*order)
+
+
+def _by_range(keyed: DataFrame, order: Sequence[str], rows: int, rows_per_task: int) -> DataFrame:
+    """``keyed`` (``rows`` distinct keys) dealt into ranges of ``order`` and written, so that the
+    partition numbers ``_pid`` are stable."""
+    partitions = max(1, -(-rows // rows_per_task))
+    return materialize(keyed.repartitionByRange(partitions, *_ordered(order)).withColumn("_pid", F.spark_partition_id()))
+
+
+def _range_select(keyed: DataFrame, order: list[str], k: int, rows: int, rows_per_task: int) -> DataFrame:
+    """The key covering index ``k`` of ``keyed`` (distinct ``order`` keys with multiplicity
+    ``_m``): range sizes give offsets (a window over as many rows as ranges) and only the
+    range holding ``k`` is ordered. Output: ``order``, ``_before`` (rows before it), ``_m``."""
+    ranged = _by_range(keyed, order, rows, rows_per_task)
     sizes = ranged.groupBy("_pid").agg(F.sum("_m").alias("_size"))
-    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # at most `partitions` rows
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(prior), F.lit(0))).filter(
         (F.col("_start") <= k) & (F.lit(k) < F.col("_start") + F.col("_size"))
     )
-    inside = Window.partitionBy("_pid").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    cand = ranged.join(F.broadcast(offsets), "_pid").withColumn(
-        "_before",
-        F.col("_start") + F.coalesce(F.sum("_m").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    inside = Window.partitionBy("_pid").orderBy(*_ordered(order)).rowsBetween(Window.unboundedPreceding, -1)
+    cand = ranged.join(F.broadcast(offsets), "_pid").withColumn(  # offsets: one row
+        "_before", F.col("_start") + F.coalesce(F.sum("_m").over(inside), F.lit(0))
     )
     return cand.filter((F.col("_before") <= k) & (F.lit(k) < F.col("_before") + F.col("_m"))).select(
         *order, "_before", "_m"
@@ -131,19 +108,38 @@ def _range_select(df: DataFrame, order: list[str], k: int, partitions: int, weig
 
 
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], largest_group: int | None = None, partitions: int = 64,
-                      local_rows: int = LOCAL_ROWS) -> DataFrame:
+                      names: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Exact per-group quantiles (linear interpolation between ranks, like
-    ``percentile``); NULL values are ignored.
-
-    ``largest_group`` is a proven bound on the rows of any group (e.g. the
-    largest item count of the period frame). Within ``local_rows`` each group
-    is ordered by one window over its distinct values; beyond it (or when the
-    bound is unknown) no group is ordered inside one task (range path)."""
+    ``percentile``). NULL values are ignored; NULL group keys form groups.
+
+    Values are counted per (group, value) with partial aggregation; the
+    distinct pairs are range-partitioned by (group, value) and written, so a
+    hot group spans several balanced ranges. Per-(group, range) sizes give each
+    chunk's offset inside its group, ranks inside a chunk come from a window
+    over that chunk only, and the values at the needed ranks are picked by one
+    partial-aggregating ``groupBy``."""
     group = list(group)
-    if largest_group is not None and largest_group <= local_rows:
-        return _quantiles_by_window(df, group, value, probs, names)
-    return _quantiles_by_range(df, group, value, probs, names, partitions)
+    hist, seen = materialize_observed(
+        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+    )
+    ranged = _by_range(hist, [*group, value], seen["rows"], rows_per_task)
+    chunks = ranged.groupBy(*group, "_pid").agg(F.sum("_m").alias("_s"))
+    by_group = Window.partitionBy(*group)
+    prior = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        *[F.col(g).alias(f"_c{i}") for i, g in enumerate(group)],
+        F.col("_pid").alias("_chunk"),
+        F.coalesce(F.sum("_s").over(prior), F.lit(0)).alias("_off"),
+        F.sum("_s").over(by_group).alias("_n"),
+    )
+    inside = Window.partitionBy(*group, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("_local", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+    same = F.col("_pid") == F.col("_chunk")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_c{i}"))
+    first_rank = F.col("_off") + F.col("_local")
+    return _pick_quantiles(ranked.join(chunks, same), group, value, probs, names, first_rank,
+                           first_rank + F.col("_m") - 1)
 
 
 def _pick_quantiles(ranked: DataFrame, group: list[str], value: str, probs: Sequence[float],
@@ -166,44 +162,3 @@ def _pick_quantiles(ranked: DataFrame, group: list[str], value: str, probs: Sequ
         frac = pos - F.floor(pos)
         outs.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(name))
     return per.select(*group, *outs)
-
-
-def _quantiles_by_window(df: DataFrame, group: list[str], value: str, probs: Sequence[float],
-                         names: Sequence[str]) -> DataFrame:
-    """Counts per (group, value) with partial aggregation, then a cumulative
-    window over each group's distinct values (bounded by the caller)."""
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
-    grp = Window.partitionBy(*group)
-    upto = grp.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_m").over(upto)).withColumn("_n", F.sum("_m").over(grp))
-    return _pick_quantiles(hist, group, value, probs, names, F.col("_cum") - F.col("_m"), F.col("_cum") - 1)
-
-
-def _quantiles_by_range(df: DataFrame, group: list[str], value: str, probs: Sequence[float],
-                        names: Sequence[str], partitions: int) -> DataFrame:
-    """Values are counted per (group, value) with partial aggregation, the
-    distinct pairs are range-partitioned by (group, value) and written (a hot
-    group spans several balanced partitions), per-(group, partition) sizes
-    give each chunk's offset inside its group (a frame of at most
-    #groups + #partitions rows; its windows are per group and span at most
-    ``partitions`` rows), ranks inside a chunk come from a window over that
-    chunk only, and the values at the needed ranks are picked by one
-    partial-aggregating ``groupBy``. NULL values are ignored."""
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
-    ranged = materialize(
-        hist.repartitionByRange(partitions, *[F.col(c).asc_nulls_first() for c in group + [value]]).withColumn(
-            "_pid", F.spark_partition_id()
-        )
-    )
-    chunks = ranged.groupBy(*group, "_pid").agg(F.sum("_m").alias("_s"))
-    by_group = Window.partitionBy(*group)
-    prior = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_s").over(prior), F.lit(0))).withColumn(
-        "_n", F.sum("_s").over(by_group)
-    )
-    inside = Window.partitionBy(*group, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumn("_local", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
-    chunks, seen = materialize_observed(chunks.select(*group, "_pid", "_off", "_n"))
-    ranked = attach(ranked, chunks, group + ["_pid"], "inner", table_rows=seen["rows"])
-    first_rank = F.col("_off") + F.col("_local")
-    return _pick_quantiles(ranked, group, value, probs, names, first_rank, first_rank + F.col("_m") - 1)

@@ -145,8 +145,10 @@ def weight_extremes(items: DataFrame, titles: DataFrame, c: SeriesCols = SeriesC
     ties on the highest weight go to the lowest id. The same item may appear
     twice when n <= 2. Blank columns are left for a manual check."""
     cols = [c.weight, c.item, c.entity, c.period, c.ordinal, c.score]
-    highest_order = [(-F.col(c.weight)).alias("_w")] + [F.col(x) for x in cols[1:]]
-    ends = first_by_each(items, {"lowest": cols, "highest": highest_order}, cols)
+    unknown = F.col(c.weight).isNull()  # a missing weight is neither lowest nor highest
+    lowest_order = [unknown.alias("_null"), *[F.col(x) for x in cols]]
+    highest_order = [unknown.alias("_null"), (-F.col(c.weight)).alias("_w"), *[F.col(x) for x in cols[1:]]]
+    ends = first_by_each(items, {"lowest": lowest_order, "highest": highest_order}, cols)
     median = element_at_rank(items.select(*cols), cols, 0.5).withColumn("pick", F.lit("median"))
     picks = ends.unionByName(median)
     out = _titled(picks, titles, c.entity, titles_rows)

@@ -19,6 +19,7 @@ from tidemark.session import materialize
 from tidemark.operators.dedupe import dedupe_first, extra_duplicates
 from tidemark.sources.sinks import input_gate
 from tidemark.operators.metrics import SeriesTrend
+from tidemark.operators.order_stats import grouped_quantiles
 from tidemark.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,8 +206,9 @@ def q_dq_checks(spark, sf_dir):
     tr = SeriesTrend(items)
     # The KPI table (period frame + an item pass) feeds four checks: written once.
     kpis = materialize(tr.kpis())
-    breaks = tr.break_period(expected)
-    durable = tr.durability(expected)
+    entities = meta.select(E).distinct()  # the dimension drives the results, the selection checks them
+    breaks = tr.break_period(entities)
+    durable = tr.durability(entities)
     rules = quality.QualityRules(valid_types=td.VALID_TYPES, rederive_breaks=True)
     return quality.dq_checks(items, meta, types, kpis, breaks, durable, expected, rules, expected_rows=n)
 
@@ -237,6 +239,33 @@ def q_score_distribution(spark, sf_dir):
     return rounded(marts.score_distribution(_trend(spark, sf_dir)))
 
 
+def q_price_quartiles(spark, sf_dir):
+    """Quartiles of a high-cardinality value over groups with a NULL period."""
+    li = td.table(spark, sf_dir, "lineitem")
+    year = F.year("l_shipdate")
+    rows = li.select(F.col("l_suppkey").alias(E), F.when(year != td.CLEAN_MISSING_YEAR, year).alias(P),
+                     (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return rounded(grouped_quantiles(rows, [E, P], "price", [0.0, 0.25, 0.5, 0.75, 1.0],
+                                     ["price_min", "price_q1", "price_median", "price_q3", "price_max"]))
+
+
+def q_clean_prejoined(spark, sf_dir):
+    """Line items as pre-joined rows whose numbers are written as decimals."""
+    li = td.table(spark, sf_dir, "lineitem")
+    year = F.year("l_shipdate")
+    items = li.select(
+        td.item_id_expr().alias("item_id"),
+        F.col("l_suppkey").cast("string").alias(E),
+        F.when(year != td.CLEAN_MISSING_YEAR, (year - F.lit(td.CLEAN_FIRST_YEAR)).cast("double")).alias(P),
+        F.col("l_linenumber").cast("double").alias("ordinal"),
+        td.score_expr().alias("score"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0")).alias("weight"),
+    )
+    tagged = ingest.prejoined_tag(items, td.raw_types(spark, sf_dir), RULES)
+    return rounded(tagged.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("outcome"), P).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("weight").alias("total_weight"), F.avg("score").alias("mean_score")))
+
+
 def q_score_histogram(spark, sf_dir):
     return rounded(marts.score_histogram(_trend(spark, sf_dir)))
 
@@ -343,6 +372,8 @@ QUERIES: dict[str, Query] = {
     "rolling_gap": q_rolling_gap,
     "period_ranking": q_period_ranking,
     "score_distribution": q_score_distribution,
+    "price_quartiles": q_price_quartiles,
+    "clean_prejoined": q_clean_prejoined,
     "score_histogram": q_score_histogram,
     "volatility": q_volatility,
     "durability_rank": q_durability_rank,
@@ -393,6 +424,8 @@ DESCRIPTIONS: dict[str, str] = {
     "rolling_gap": "D3: rolling mean vs baseline with the gap.",
     "period_ranking": "D4: periods best to worst.",
     "score_distribution": "D5: exact quartiles of item scores per (entity, period).",
+    "price_quartiles": "D5: exact quartiles of a high-cardinality value, with groups of a NULL period.",
+    "clean_prejoined": "C2, J6: outcomes of the pre-joined mode with numbers written as decimals.",
     "score_histogram": "D5: items per (entity, period, score bucket).",
     "volatility": "D6: score spread per period.",
     "durability_rank": "D7: cross-entity durability rank.",

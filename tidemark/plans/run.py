@@ -74,8 +74,9 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
 
     trend = SeriesTrend(fact, policy=policy)
     kpis = trend.kpis()
-    breaks = trend.break_period(selected.select(F.col("entity_id").cast("string").alias("entity_id")))
-    durable = trend.durability(selected.select(F.col("entity_id").cast("string").alias("entity_id")))
+    entities = dim.select("entity_id").distinct()  # entities without metadata get no break row
+    breaks = trend.break_period(entities)
+    durable = trend.durability(entities)
     titles = categories.select("entity_id", "title")
 
     outputs = {
@@ -87,7 +88,7 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
         "period_kpis": kpis,
         "break_period": breaks,
         "durability": durable,
-        "entity_summary": trend.summary(selected.select(F.col("entity_id").cast("string").alias("entity_id"))),
+        "entity_summary": trend.summary(entities),
     }
     return _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample,
                    csv_dir=csv_dir)
@@ -120,16 +121,18 @@ def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
     fact = model.fact_item(ingest.clean_items(tagged))
     trend = SeriesTrend(fact, policy=policy)
     titles = categories.select("entity_id", "title")
+    dim = model.dim_entity(meta, categories, category_rows=n_categories)
+    entities = dim.select("entity_id").distinct()
     outputs = {
         "clean_items": ingest.clean_items(tagged),
         "clean_funnel": ingest.clean_funnel(tagged),
         "item_types": types,
         "entity_metadata": meta,
-        "dim_entity": model.dim_entity(meta, categories, category_rows=n_categories),
+        "dim_entity": dim,
         "period_kpis": trend.kpis(),
-        "break_period": trend.break_period(selected),
-        "durability": trend.durability(selected),
-        "entity_summary": trend.summary(selected),
+        "break_period": trend.break_period(entities),
+        "durability": trend.durability(entities),
+        "entity_summary": trend.summary(entities),
     }
     return _finish(spark, out, outputs, trend, titles, selected, n_categories, n_categories, rules, is_sample,
                    id_prefix, csv_dir)

@@ -46,7 +46,7 @@ def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256
     on them for correctness)."""
     # Raw-row shuffles (joins) move about the input size; aggregated stages far
     # less, and AQE coalesces those at runtime toward ``partition_bytes``.
-    shuffle = min(max(2 * total_cores, input_bytes // partition_bytes), 200_000)
+    shuffle = max(2 * total_cores, input_bytes // partition_bytes)
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),

@@ -44,17 +44,9 @@ ITEM_LINK_PREFIX = "https://example.org/item/"
 COLS = SeriesCols()
 
 
-_READS: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name``; one reader per (session, path), so the file
-    listing and footer read happen once however many queries use it."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)  # a new context never sees old readers
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
+    """The parquet table ``name`` (a new reader each time, so a rewritten table is seen)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def item_id_expr() -> F.Column:
