@@ -34,6 +34,7 @@ from tidemark.llm.words import mix, word_hashes
 RARE = 1000
 SLICE_BYTES = 4 << 20
 GATHER = 2_000_000  # shingles that a counting task gathers before it sends them on
+SIGN_BLOCK = 128_000  # shingles that one step of the sampling handles at a time
 SHARD_BYTES = 24 << 20  # text whose shingles one counting group gets
 
 
@@ -165,33 +166,71 @@ def frequent_shingles(docs: DataFrame, words: int = 5) -> Frequent:
     return Frequent(ids[order], idf(df[order], max(1, n_docs)))
 
 
+_FIELD = np.uint64((1 << 23) - 1)
+
+
+def _uniform(field: np.ndarray) -> np.ndarray:
+    """Numbers inside (0, 1) from 23 bits each: exact in single precision, never 0 or 1."""
+    out = field.view(np.int64).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-23)
+    return out
+
+
+def _log_product(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the product of two uniform numbers (minus a gamma(2, 1) variable) from the top 46 bits."""
+    u = _uniform(x >> np.uint64(41))
+    u *= _uniform((x >> np.uint64(18)) & _FIELD)
+    return np.log(u, out=u)
+
+
 def signatures(row: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with shingles, and their band keys ``[row, band]``, by improved consistent weighted sampling."""
+    """Rows with shingles, and their band keys ``[row, band]``, by improved consistent weighted sampling.
+
+    Works on runs of rows with about ``SIGN_BLOCK`` shingles, so that the arrays of a step stay in the cache."""
     have = np.flatnonzero(np.bincount(row, minlength=n))
     if not len(have):
         return have, np.empty((0, bands.bands), np.int64)
-    starts = np.searchsorted(row, have)
-    lens = np.diff(np.r_[starts, len(row)])
-    log_w = np.log(weights)
-    keys = np.zeros((len(have), bands.bands), np.uint64)
+    starts = np.r_[np.searchsorted(row, have), len(row)]
+    log_w = np.log(weights).astype(np.float32)
     rng = np.random.default_rng(bands.seed)
-    low, scale = np.uint64(0xFFFFFFFF), 2.0**-32
-    for k in range(bands.bands * bands.rows):
-        a, b, c = (rng.integers(1, 2**63, 3, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    draws = [(rng.integers(1, 2**63, 3, dtype=np.uint64) << np.uint64(1)) | np.uint64(1) for _ in range(bands.bands * bands.rows)]
+    keys = np.zeros((len(have), bands.bands), np.uint64)
+    first = 0
+    while first < len(have):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + SIGN_BLOCK, "right")) - 1)
+        a, b = starts[first], starts[last]
+        for k, sample in enumerate(_samples(ids[a:b], log_w[a:b], starts[first:last] - a, draws)):
+            band = k // bands.rows
+            keys[first:last, band] = mix(keys[first:last, band] * np.uint64(0x100000001B3) + sample)
+        first = last
+    return have, keys.view(np.int64)
+
+
+def _samples(ids: np.ndarray, log_w: np.ndarray, starts: np.ndarray, draws: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each draw the sample (a hash of shingle and level) of every set; sets begin at ``starts``."""
+    lens = np.diff(np.r_[starts, len(ids)])
+    uneven = np.flatnonzero(log_w)  # a weight of 1 has t = 0 on every draw
+    t = np.zeros(len(ids), np.float32)
+    for a, b, c in draws:
         x = mix(ids * a + b)
-        y = mix(x + c)
-        r = -np.log(((x & low) + 0.5) * scale * (((x >> np.uint64(32)) + 0.5) * scale))
-        gamma = -np.log(((y & low) + 0.5) * scale * (((y >> np.uint64(32)) + 0.5) * scale))
-        beta = ((x * a) >> np.uint64(40)) * 2.0**-24
-        t = np.floor(log_w / r + beta)
-        value = np.log(gamma) - r * (t - beta) - r
+        y = x >> np.uint64(31)
+        y ^= x
+        y *= c
+        r = _log_product(x)  # minus the scale
+        gamma = _log_product(y)
+        beta = (x & np.uint64((1 << 18) - 1)).view(np.int64).astype(np.float32)
+        beta *= np.float32(2.0**-18)
+        t[uneven] = np.floor(beta[uneven] - log_w[uneven] / r[uneven])
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        value = np.log(np.negative(gamma, out=gamma), out=gamma)
+        value -= beta
         lowest = np.minimum.reduceat(value, starts)
         hit = np.flatnonzero(value == np.repeat(lowest, lens))
         at = hit[np.searchsorted(hit, starts)]
-        sample = mix(ids[at] * c + t[at].astype(np.int64).astype(np.uint64))
-        band = k // bands.rows
-        keys[:, band] = mix(keys[:, band] * np.uint64(0x100000001B3) + sample)
-    return have, keys.view(np.int64)
+        yield mix(ids[at] * c + t[at].astype(np.int64).astype(np.uint64))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
