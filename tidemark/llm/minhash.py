@@ -326,8 +326,9 @@ def compare_buckets(open_: DataFrame, texts: DataFrame, model, bands: Bands, blo
     ``block`` members and a task compares two parts; small buckets share tasks. A task gets
     each text once and sends at most one link a member."""
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    tasks = max(1, open_.count() // per_task)
-    dealt = open_.join(sizes, "bucket").select(
+    total = open_.count()
+    tasks = max(1, total // per_task)
+    dealt = spread_join(open_, sizes, "bucket", "m", total, F.xxhash64("rep")).select(
         "bucket", F.col("rep").alias("doc"), "component",
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("slot"),
         F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
