@@ -211,6 +211,41 @@ def test_vectors(spark):
     assert cap_filters.link_vectors(empty).collect() == []
 
 
+def test_a_group_of_near_copies_sends_rows_not_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 0.03 * rng.standard_normal(16)).tolist(), 1) for i in range(300)]
+    staged, stage = {}, cap_filters.stage
+    monkeypatch.setattr(cap_filters, "stage", lambda df, label: staged.setdefault(label, stage(df, label)))
+    got = {r["vec_id"]: r for r in cap_filters.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert [got[i]["n_links"] for i in range(300)] == (near.sum(1) - 1).tolist() and near.sum() > 40_000
+    assert staged["links"].count() <= staged["caps"].count() < near.sum() / 4
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_pairs_count_in_their_first_shared_filter():
+    rng = np.random.default_rng(2)
+    sets = [sorted(rng.choice(12, rng.integers(1, 5), replace=False).tolist()) for _ in range(40)]
+    filters = cap_filters._padded(pa.array(sets, pa.list_(pa.int64())))
+    seen = Counter()
+    for place in range(12):
+        here = [i for i, x in enumerate(sets) if place in x]
+        a, b = (np.array(x, np.int64) for x in zip(*[(i, j) for i in here for j in here if i < j]))
+        first = cap_filters._first_shared(a, b, filters, place)
+        seen.update(zip(a[first].tolist(), b[first].tolist()))
+    assert seen == Counter((i, j) for i in range(40) for j in range(i + 1, 40) if set(sets[i]) & set(sets[j]))
+
+
+def test_lowest_node_reached():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 200, (2, 130))
+    label = components_of(range(200), list(zip(a.tolist(), b.tolist())))
+    assert cap_filters._lowest_reached(a, b, 200).tolist() == [label[i] for i in range(200)]
+
+
 def test_list_decoding_finds_all_filters_above_the_cap():
     code = cap_filters.CapCode(codes=1, blocks=3, words=6, lists=8)
     unit = np.random.default_rng(1).standard_normal((50, 20))

@@ -11,6 +11,8 @@ double precision. Several independent codes raise the recall.
 
 Equal directions are joined first (rows of one label and one vector are a class),
 so copies never form pairs; filter buckets are compared in blocks of bounded size.
+A pair counts in the first filter that both vectors share (every vector carries its
+filters), so tasks add up link numbers and send one row a vector, never pairs.
 """
 
 from __future__ import annotations
@@ -82,6 +84,40 @@ def decode(unit: np.ndarray, code: CapCode, k: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([rows, missing]), np.concatenate([ids, top])
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray, filters: np.ndarray, place: int) -> np.ndarray:
+    """Whether the rows ``a[i]`` and ``b[i]`` share no filter below ``place`` (rows of ``filters`` are padded with -1)."""
+    alone = np.ones(len(a), bool)
+    early = np.where(filters < place, filters, -1)
+    step = max(1, (1 << 20) // filters.shape[1])
+    for k in range(0, len(a), step):
+        left = np.arange(k, min(k + step, len(a)))
+        for j in range(filters.shape[1]):
+            mine = early[a[left], j]
+            met = ((filters[b[left]] == mine[:, None]) & (mine >= 0)[:, None]).any(1)
+            alone[left[met]] = False
+            left = left[~met]
+            if not len(left):
+                break
+    return alone
+
+
+def _lowest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that links (``a[i]``, ``b[i]``) reach."""
+    low = np.arange(n)
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        open_ = low[a] != low[b]
+        if not open_.any():
+            # every link now lies within one label; a label is its own label
+            while (low[low] != low).any():
+                low = low[low]
+            break
+    return low
+
+
 def valid_vector(name: str) -> Column:
     """Whether a vector has a direction: not NULL or empty, all components finite, not all zero."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -95,6 +131,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of numbers as the rows of a matrix, padded with -1."""
+    lens = lists.value_lengths().to_numpy()
+    out = np.full((len(lens), max(1, lens.max())), -1, np.int64)
+    out[np.arange(out.shape[1]) < lens[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode = CapCode(), block: int = 1024, per_task: int = 4000) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id``, ``embedding``, ``label``): vec_id, n_links
     (other rows linked directly), component_id and kept.
@@ -121,37 +165,48 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode
                 at = np.flatnonzero(sizes == dim)
                 part = batch.take(pa.array(at))
                 unit = _matrix(part.column("v"))
+                rows_of, places = [], []
                 for k in range(sized.codes):
                     row, found = decode(unit, sized, k)
-                    who = pa.array(row)
+                    rows_of.append(row)
+                    places.append(found + k * sized.words**sized.blocks)
+                row, place = np.concatenate(rows_of), np.concatenate(places)
+                order = np.lexsort((place, row))
+                row, place = row[order], place[order]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(unit) + 1)).astype(np.int32)), pa.array(place))
+                for i in range(0, len(row), 10_000):
+                    who = pa.array(row[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("l").take(who), part.column("dim").take(who), pa.array(np.full(len(row), k, np.int32)), pa.array(found),
+                        [part.column("l").take(who), part.column("dim").take(who), pa.array(place[i : i + 10_000]), lists.take(who),
                          part.column("rep").take(who), part.column("n").take(who), part.column("v").take(who)],
-                        names=["l", "dim", "code", "filter", "rep", "n", "v"])
+                        names=["l", "dim", "place", "filters", "rep", "n", "v"])
 
     kind = classes.schema["l"].dataType.simpleString()
     ids = classes.schema["rep"].dataType.simpleString()
     members = stage(classes.select("rep", "n", "v", "l", F.size("v").alias("dim")).mapInArrow(
-        caps, f"l {kind}, dim int, code int, filter long, rep {ids}, n long, v array<double>"), "caps")
+        caps, f"l {kind}, dim int, place long, filters array<long>, rep {ids}, n long, v array<double>"), "caps")
     # a bucket of m members is dealt into s = ceil(m / block) parts; tasks compare part i with part j >= i
     # (small buckets share tasks)
-    bucketed = members.withColumn("bucket", F.xxhash64("l", "dim", "code", "filter"))
+    bucketed = members.withColumn("bucket", F.xxhash64("l", "dim", "place"))
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    tasks = max(1, members.count() // per_task)
-    dealt = bucketed.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    total = members.count()
+    tasks = max(1, total // per_task)
+    dealt = spread_join(bucketed, sizes, "bucket", "m", total, F.xxhash64("rep")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
-        "bucket", "l", "dim", "rep", "n", "v", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+        "bucket", "l", "dim", "place", "filters", "rep", "n", "v", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
         F.when(F.col("parts") == 1, F.pmod("bucket", F.lit(tasks))).otherwise(F.col("bucket")).alias("slot"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("l", "ascending"), ("dim", "ascending"), ("rep", "ascending")])
-        rep, n, part, key, dim = (table.column(c).to_numpy() for c in ("rep", "n", "part", "bucket", "dim"))
+        table = table.sort_by([(c, "ascending") for c in ("bucket", "l", "dim", "place", "rep")])
+        rep, n, part, key, dim, place = (table.column(c).to_numpy() for c in ("rep", "n", "part", "bucket", "dim", "place"))
         label = table.column("l").to_numpy()
-        vectors = pa.concat_arrays(table.column("v").chunks)
+        vectors, filters = (pa.concat_arrays(table.column(c).chunks) for c in ("v", "filters"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        new = (key[1:] != key[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])  # also parts buckets of one hash
+        new = (key[1:] != key[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1]) | (place[1:] != place[:-1])  # also parts buckets of one hash
         cuts = np.r_[0, np.flatnonzero(new) + 1, len(rep)]
+        doc, node = np.unique(rep, return_inverse=True)
+        links = np.zeros(len(doc), np.int64)
         found = []
         for i, j in zip(cuts, cuts[1:]):
             left, right = np.flatnonzero(part[i:j] == lo), np.flatnonzero(part[i:j] == hi)
@@ -162,20 +217,24 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, code: CapCode
             a, b = left[a], right[b]
             if lo == hi:
                 a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
             # the same sum for every bucket that holds the pair
-            fits = np.concatenate([np.zeros(0, bool), *((unit[a[k : k + block]] * unit[b[k : k + block]]).sum(1) >= threshold for k in range(0, len(a), block))])
-            a, b = a[fits] + i, b[fits] + i
-            swap = rep[a] > rep[b]
-            found.append(np.stack([np.where(swap, b, a), np.where(swap, a, b)]))
+            fits = np.concatenate([(unit[a[k : k + block]] * unit[b[k : k + block]]).sum(1) >= threshold for k in range(0, len(a), block)])
+            a, b = a[fits], b[fits]
+            first = _first_shared(a, b, _padded(filters.slice(i, j - i)), place[i])
+            a, b = a[first] + i, b[first] + i
+            np.add.at(links, node[a], n[b])
+            np.add.at(links, node[b], n[a])
+            found.append(np.stack([node[a], node[b]]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": rep[a], "b": rep[b], "na": n[a], "nb": n[b]})
+        low = _lowest_reached(a, b, len(doc))
+        have = np.flatnonzero(links)
+        return pa.table({"rep": doc[have], "d": links[have], "low": doc[low[have]]})
 
-    pairs = stage(dealt.groupBy("slot", "lo", "hi").applyInArrow(compare, f"a {ids}, b {ids}, na long, nb long").distinct(), "links")
-    degree = (
-        pairs.select(F.col("a").alias("rep"), F.col("nb").alias("d")).unionAll(pairs.select(F.col("b").alias("rep"), F.col("na").alias("d")))
-        .groupBy("rep").agg(F.sum("d").alias("d"))
-    )
-    labels = connected_components(pairs.select("a", "b"))
+    met = stage(dealt.groupBy("slot", "lo", "hi").applyInArrow(compare, f"rep {ids}, d long, low {ids}"), "links")
+    degree = met.groupBy("rep").agg(F.sum("d").alias("d"))
+    labels = connected_components(met.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     info = (
         classes.select("key", "rep", "n").join(degree, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
         .select("key", "n", (F.col("n") - 1 + F.coalesce("d", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
