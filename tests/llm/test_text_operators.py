@@ -62,6 +62,18 @@ def test_url_model_separates_held_out_urls(spark):
     assert len(got) > 100 and right / len(got) > 0.95
 
 
+def test_url_model_reads_the_whole_url(spark):
+    urls = ["HTTP://A.org/X?Q=1#F", "http://a.org?q", "http://A.org#F", "No Scheme?x=Y", None, "http://ä.org/é?ü", "A?u=http://B.org/C"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    want = ["http://a.org/X?Q=1#F", "http://a.org?q", "http://a.org#F", "No Scheme?x=Y", "", "http://ä.org/é?ü", "a?u=http://b.org/C"]
+    assert [r["t"] for r in df.select(url_filter.model_text("url").alias("t")).collect()] == want
+    made = [(i, f"http://{'good' if i % 2 else 'bad'}.org/p{i}?ref={'page' if i % 2 else 'casino-win'}{i}") for i in range(300)]
+    asked = [(1000, "http://new.com/a?ref=casino-win"), (1001, "http://new.com/a?ref=page2"), (1002, "ref=casino-win"), (1003, "ref=page2")]
+    rules = [url_filter.Rule(True, "good.org", "/"), url_filter.Rule(False, "bad.org", "/")]
+    got = {r["page_id"]: r["score"] for r in url_filter.judge_urls(spark.createDataFrame(made + asked, "page_id long, url string"), rules).collect()}
+    assert got[1000] < got[1001] and got[1002] < got[1003]
+
+
 def _base_by_regex(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", text) if all(int(p) <= 255 for p in m[0].split("."))]
