@@ -19,12 +19,12 @@ from tidemark.llm.shared import free_name, ship_package, stage, text_or_empty
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranker doesn't reject: a score below the quantile cut, and
-    never one that is predicted good."""
+    """Documents that the pairwise ranker predicts good, by the decision of op9; with labels
+    of one class the score is that class's constant, so all stay or all go."""
     ship_package(spark)
     ranker = train_quality(spark, docs, sf_dir)
     score = free_name(docs, "_lm_score")
-    return quality.add_score(docs, ranker, score).where(F.col(score) >= min(QUALITY_CUT, ranker.cut)).drop(score)
+    return quality.add_score(docs, ranker, score).where(F.col(score) >= QUALITY_CUT).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,6 +313,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sum(r["length"] for r in out) == sum(len(encode(t or "")) + 1 for t in seen[3].values())
 
 
+@pytest.mark.parametrize("share", [0, 0.05, 0.5, 1])
+def test_the_quality_stage_keeps_what_op9_predicts_good(spark, tmp_path, share):
+    rng = random.Random(5)
+    bad = [" ".join(w + "$$$" * (i % 4 > 0) for w in prose(20 + i % 40, rng).split()) for i in range(60)]
+    texts = [prose(60, rng) + ". " + prose(30, rng) + "." for _ in range(60)] + bad
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(500, None, "en", "s", 0), (None, texts[0], "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < 60 or i % 40 >= 40 * share)) if share < 1 else (i, 0) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r["doc_id"] for r in corpus_pipeline.good_quality(spark, registry.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()]
+    good = [r["doc_id"] for r in registry.op9_quality_ranker(spark, str(tmp_path)).where("predicted = 1").collect()]
+    assert Counter(kept) == Counter(good) and (share > 0 or len(kept) == len(docs)) and (share < 1 or not kept)
+
+
 def test_shingles_of_short_texts():
     row, ids, tf = minhash.shingles(*string_buffer(pa.array(["", "a b", "a b", "a b c d e f", "x x x x x x x"])), 5)
     assert row.tolist() == [1, 2, 3, 3, 4] and ids[0] == ids[1] and tf.tolist() == [1, 1, 1, 1, 3]
