@@ -95,6 +95,33 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.where("item_id = -1")).collect() == []
 
 
+def test_items_beyond_the_tables_are_searched_without_loss():
+    rng = np.random.default_rng(6)
+    for _ in range(20):  # few different words: many hits that are no occurrence
+        words = [rng.integers(1, 4, 12).astype(np.uint64), rng.integers(1, 4, 17).astype(np.uint64)]
+        texts = [rng.integers(1, 4, n).astype(np.uint64) for n in (40, 3, 25)]
+        index = decontaminate.build_index([0, 1], words, decontaminate.Search(recall=1.1))
+        assert not index.classes
+        got = decontaminate.matches(np.concatenate(texts), np.repeat(np.arange(3), [40, 3, 25]), index)
+        want = []
+        for r, text in enumerate(texts):
+            for i, item in enumerate(words):
+                k = int(decontaminate.allowed_edits(len(item), 0.8))
+                at = np.arange(len(text))
+                d, end = decontaminate.distances(text, at, np.full(len(text), len(text)), np.tile(item, (len(text), 1)), k)
+                best = min(zip(d.tolist(), at.tolist(), end.tolist()))
+                want += [(r, i, *best)] * (best[0] <= k)
+        assert got == want
+    # long items with all edits allowed, in texts of their own vocabulary
+    words = [rng.integers(1, 3000, n).astype(np.uint64) for n in (30, 400, 900)]
+    index = decontaminate.build_index([7, 8, 9], words, decontaminate.Search(max_tables=20))
+    edited = [decontaminate._edited(w, len(w) // 5, rng) for _ in range(8) for w in words[1:]]
+    texts = [np.concatenate([rng.integers(1, 3000, 100).astype(np.uint64), e, rng.integers(1, 3000, 100).astype(np.uint64)]) for e in edited]
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = decontaminate.matches(np.concatenate(texts), rows, index)
+    assert [g[:2] for g in got] == [(r, 1 + r % 2) for r in range(len(texts))]
+
+
 def test_elias_fano_sequence():
     rng = np.random.default_rng(5)
     for n, universe in ((0, 10), (1, 1), (50, 60), (5000, 1 << 44), (3000, 1 << 63)):

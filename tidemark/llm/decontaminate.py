@@ -14,7 +14,12 @@ words into at most ``k + 1`` stretches, so an occurrence holds an unchanged stre
 ``m // (k + 1)`` words, at most ``k`` words from its place. Only windows with such a
 stretch are walked; the rest can't be occurrences.
 
-The benchmark is taken in blocks of a bounded number of items, each block as one
+Lengths for which ``max_tables`` tables don't reach ``recall`` (long items) are searched
+without walks and without loss: ``k`` edits spoil at most ``k * q`` of an item's runs
+of ``q`` words, so where the others lie near one diagonal, all windows are aligned
+with the item in one pass (``best_window``).
+
+The benchmark is taken in blocks of a bounded number of items and characters, each block as one
 map over the documents; only matches are shuffled.
 """
 
@@ -33,6 +38,7 @@ from tidemark.llm.words import mix, word_hashes
 
 SLICE_BYTES = 6 << 20
 ITEMS_PER_BLOCK = 20_000
+CHARS_PER_BLOCK = 16 << 20  # long items make more blocks, not larger ones
 MIN_WORDS = 5  # shorter items say nothing about a leak and are not searched
 _SHIFT = 1 << 20  # keeps positions before a text's begin above zero; more than any item's words
 _STEP_KEY = 0x9E3779B97F4A7C15
@@ -93,6 +99,7 @@ class Index(NamedTuple):
     similarity: float
     seeds: list[Seeds]
     classes: list[LengthClass]
+    exact: list[Seeds]  # of the items that are searched without walks
 
 
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -105,10 +112,10 @@ def _runs(words: np.ndarray, size: int) -> np.ndarray:
     return mix(key)
 
 
-def _seeds(words: list[np.ndarray], edits: np.ndarray) -> list[Seeds]:
+def _seeds(words: list[np.ndarray], edits: np.ndarray, chosen: np.ndarray) -> list[Seeds]:
     by_size: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_size.setdefault(len(w) // (int(edits[i]) + 1), []).append(i)
+    for i in chosen.tolist():
+        by_size.setdefault(len(words[i]) // (int(edits[i]) + 1), []).append(i)
     out = []
     for size, mine in sorted(by_size.items()):
         counts = [len(words[i]) - size + 1 for i in mine]
@@ -152,17 +159,22 @@ def build_index(ids: list, words: list[np.ndarray], search: Search) -> Index:
     sizes = np.array([len(w) for w in words], np.int64)
     edits = allowed_edits(sizes, search.similarity)
     classes, least = [], MIN_WORDS
+    exact, missed = np.zeros(len(words), bool), False
     while len(words) and least <= sizes.max():
         above = max(least + 1, -(-least * 3 // 2))
         mine = np.flatnonzero((sizes >= least) & (sizes < above))
-        if len(mine):
+        if len(mine) and not missed:
             reach = 2 * least - 1  # the pointer has gone over about ``least`` words by then
             trial = mine[rng.integers(0, len(mine), 300)]
             edited = [_edited(words[i], int(edits[i]), rng) for i in trial]
             every = np.arange(reach)
             same = walk(*_pack([words[i] for i in trial]), every) == walk(*_pack(edited), every)
             hit = same.mean(0) ** search.samples
-            n = next((n for n in range(1, search.max_tables) if (1 - (1 - hit) ** n).mean() >= search.recall), search.max_tables)
+            n = next((n for n in range(1, search.max_tables + 1) if (1 - (1 - hit) ** n).mean() >= search.recall), 0)
+            missed = not n  # and so do longer items
+        if missed:
+            exact[mine] = True
+        elif len(mine):
             picked = np.sort(np.array([rng.choice(reach, search.samples, replace=reach < search.samples) for _ in range(n)]), axis=1)
             steps, flat = np.unique(picked, return_inverse=True)
             tables = flat.reshape(picked.shape)
@@ -170,7 +182,8 @@ def build_index(ids: list, words: list[np.ndarray], search: Search) -> Index:
             order = np.argsort(keys, axis=1)
             classes.append(LengthClass(tables, steps, [k[o] for k, o in zip(keys, order)], [mine[o] for o in order]))
         least = above
-    return Index(ids, words, sizes, edits, search.similarity, _seeds(words, edits), classes)
+    walked, rest = np.flatnonzero(~exact), np.flatnonzero(exact)
+    return Index(ids, words, sizes, edits, search.similarity, _seeds(words, edits, walked), classes, _seeds(words, edits, rest))
 
 
 def _lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,9 +258,74 @@ def distances(words: np.ndarray, at: np.ndarray, stops: np.ndarray, item: np.nda
     return best, end
 
 
+def best_window(words: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """The least edit distance of ``item`` to a window of ``words``, the first begin with it and
+    the first end with both: one pass for all windows, cells are (distance, begin) in one number."""
+    unit = 1 << 40
+    steps = np.arange(len(item) + 1) * unit
+    row, best, end = steps, int(steps[-1]), 0
+    for j, word in enumerate(words):
+        new = np.empty_like(row)
+        new[0] = j + 1
+        new[1:] = np.minimum(row[:-1] + (item != word) * unit, row[1:] + unit)
+        row = np.minimum.accumulate(new - steps) + steps
+        if row[-1] < best:
+            best, end = int(row[-1]), j + 1
+    return best // unit, best % unit, end
+
+
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of ``keys`` in order, and their summed counts."""
+    order = np.lexsort(keys[::-1])
+    keys = keys[:, order]
+    first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)][: keys.shape[1]])
+    return keys[:, first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def exact_matches(words: np.ndarray, firsts: np.ndarray, ends: np.ndarray, text: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, text, distance, begin, end) of the occurrences of the items that aren't walked, the
+    best one among them. ``firsts``, ``ends``: of every text; ``text``: of every word."""
+    for seeds in index.exact:
+        run = _runs(words, seeds.size)
+        at = np.flatnonzero(seeds.present[(run >> np.uint64(42)).astype(np.int64)])
+        at = at[at + seeds.size <= ends[text[at]]]
+        many = np.cumsum(np.searchsorted(seeds.keys, run[at], "right") - np.searchsorted(seeds.keys, run[at], "left"))
+        keys, counts = np.empty((3, 0), np.int64), np.empty(0, np.int64)
+        for part in np.split(at, np.flatnonzero(np.diff(many >> 21)) + 1):  # bounds the pairs held at a time
+            which, seed = _lookup(seeds.keys, run[part])
+            found = np.stack([seeds.items[seed], text[part[which]], part[which] - seeds.places[seed]])
+            keys, counts = _added_up(np.concatenate([keys, found], 1), np.r_[counts, np.ones(len(seed), np.int64)])
+        groups = np.flatnonzero(np.r_[True, (keys[:2, 1:] != keys[:2, :-1]).any(0)][: keys.shape[1]])
+        for low, high in zip(groups, np.r_[groups[1:], keys.shape[1]]):
+            item, t, diagonal, hits = int(keys[0, low]), int(keys[1, low]), keys[2, low:high], counts[low:high]
+            wanted, k, first, end = index.words[item], int(index.edits[item]), int(firsts[t]), int(ends[t])
+            m = len(wanted)
+            runs = m - seeds.size + 1
+            whole = diagonal[(hits >= runs) & (diagonal >= first) & (diagonal + m <= end)].tolist()
+            copy = next((s for s in whole if np.array_equal(words[s : s + m], wanted)), None)
+            if copy is not None:
+                yield item, t, 0, copy, copy + m
+                continue
+            # begins with ``runs - k * size`` hits (one at least) on diagonals at most k away
+            total = np.cumsum(hits)
+            last = np.searchsorted(total, total - hits + runs - k * seeds.size)
+            one = np.flatnonzero(last < len(total))
+            one = one[diagonal[last[one]] - diagonal[one] <= 2 * k]
+            spans: list[list[int]] = []
+            for a, b in zip(np.maximum(diagonal[last[one]] - k, first).tolist(), np.minimum(diagonal[one] + k, end - 1).tolist()):
+                if a <= b and spans and a <= spans[-1][1] + m + k:
+                    spans[-1][1] = max(spans[-1][1], b)
+                elif a <= b:
+                    spans.append([a, b])
+            for a, b in spans if k else []:
+                distance, begin, stop = best_window(words[a : min(end, b + m + k)], wanted)
+                if distance <= k:
+                    yield item, t, distance, a + begin, a + stop
+
+
 def matches(words: np.ndarray, rows: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, first word, end word) of the best occurrence of each item in each row."""
-    if not len(words) or not index.classes:
+    if not len(words) or not index.ids:
         return []
     ends = np.r_[np.flatnonzero(rows[1:] != rows[:-1]) + 1, len(rows)]
     firsts = np.r_[0, ends[:-1]]
@@ -262,6 +340,10 @@ def matches(words: np.ndarray, rows: np.ndarray, index: Index) -> list[tuple[int
             key = (int(rows[s]), i)
             best[key] = min(best.get(key, found), found)
 
+    for i, t, d, s, e in exact_matches(words, firsts, ends, text, index):
+        found, key = (d, s - int(firsts[t]), e - int(firsts[t])), (int(rows[s]), i)
+        best[key] = min(best.get(key, found), found)
+
     sizes = index.sizes[items]
     for m in np.unique(sizes):
         mine = np.flatnonzero(sizes == m)
@@ -289,7 +371,8 @@ def _normal(column: str) -> Column:
 def _indexes(docs: DataFrame, benchmark: DataFrame, search: Search, per_block: int) -> Iterator:
     """Broadcast indexes of the benchmark, each of at most about ``per_block`` items."""
     items = benchmark.select("item_id", _normal("text").alias("t"))
-    blocks = max(1, -(-items.count() // per_block))
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-total["n"] // per_block), -(-total["chars"] // CHARS_PER_BLOCK))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).toArrow()
         column = pa.concat_arrays([*part.column("t").chunks, pa.array([], pa.string())])
