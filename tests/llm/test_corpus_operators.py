@@ -122,6 +122,18 @@ def test_items_beyond_the_tables_are_searched_without_loss():
     assert [g[:2] for g in got] == [(r, 1 + r % 2) for r in range(len(texts))]
 
 
+def test_short_items_and_unspaced_scripts(spark):
+    items = [(1, "Treaty of Utrecht"), (2, "quux"), (3, "长江是亚洲最长的河流,全长约六千三百公里。"), (4, "東京タワーは一九五八年に建てられました"), (5, "กรุงเทพมหานครเป็นเมืองหลวง"), (6, "!?"), (7, "大象")]
+    docs = [(1, "After the treaty (of) UTRECHT, peace."), (2, "treaty at Utrecht; quuxes"), (3, "a Quux."), (4, "我们知道:长江是亚洲最长的河流,全长约六千三百公里!大家都知道。"),
+            (5, "昔、東京タワーは一九五八年に作られました。"), (6, "ว่ากรุงเทพมหานครเป็นเมืองหลวงของ"), (7, "黄河是中国第二长的河流。"), (8, "看大象吧"), (9, "quux quux treaty of utrecht"), (10, "!?"), (11, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(df, bench).collect()}
+    assert sorted(got) == [(1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (8, 7), (9, 1), (9, 2)]
+    assert got[4, 3]["distance"] == 0 and got[4, 3]["first_word"] == 4 and 0 < got[5, 4]["distance"] <= 3
+    assert (got[9, 2]["first_word"], got[9, 2]["end_word"], got[9, 2]["item_words"], got[9, 1]["first_word"]) == (0, 1, 1, 2)
+    assert {r["doc_id"] for r in decontaminate.drop_leaking(df, bench).collect()} == {2, 7, 10, 11}
+
+
 def test_elias_fano_sequence():
     rng = np.random.default_rng(5)
     for n, universe in ((0, 10), (1, 1), (50, 60), (5000, 1 << 44), (3000, 1 << 63)):

@@ -1,6 +1,7 @@
 """Benchmark decontamination by the CGK embedding.
 
-Texts and benchmark items are sequences of words (lower case, without marks). The
+Texts and benchmark items are sequences of words (lower case, without marks; each
+character of a script without spaces is a word). The
 CGK random walk copies the word under a pointer at each step and moves the
 pointer on by a random bit that depends on the step and the word; two sequences
 at a small edit distance walk in step again after each edit, so their walks have a
@@ -14,7 +15,7 @@ words into at most ``k + 1`` stretches, so an occurrence holds an unchanged stre
 ``m // (k + 1)`` words, at most ``k`` words from its place. Only windows with such a
 stretch are walked; the rest can't be occurrences.
 
-Lengths for which ``max_tables`` tables don't reach ``recall`` (long items) are searched
+Short items, of which no word may differ, and lengths for which ``max_tables`` tables don't reach ``recall`` (long items) are searched
 without walks and without loss: ``k`` edits spoil at most ``k * q`` of an item's runs
 of ``q`` words, so where the others lie near one diagonal, all windows are aligned
 with the item in one pass (``best_window``).
@@ -39,7 +40,10 @@ from tidemark.llm.words import mix, word_hashes
 SLICE_BYTES = 6 << 20
 ITEMS_PER_BLOCK = 20_000
 CHARS_PER_BLOCK = 16 << 20  # long items make more blocks, not larger ones
-MIN_WORDS = 5  # shorter items say nothing about a leak and are not searched
+MIN_WORDS = 5  # shorter items allow no edit and are found by their words alone
+# Scripts without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Tai, kana, bopomofo, Han): a character is a word
+_UNSPACED = r"\u0E01-\u0EFF\u0F00-\u109F\u1780-\u17FF\u1950-\u19FF\u1A20-\u1AAF\u3005-\u3007\u3021-\u302F\u3031-\u303C\u3041-\u30FA\u30FC-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA9E0-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+_WIDE_MARKS = r"\u3000-\u3004\u3008-\u3020\u3030\u303D-\u303F\u30FB\uFE10-\uFE1F\uFE30-\uFE6F\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65\uFFE0-\uFFEE"
 _SHIFT = 1 << 20  # keeps positions before a text's begin above zero; more than any item's words
 _STEP_KEY = 0x9E3779B97F4A7C15
 
@@ -154,12 +158,12 @@ def _pack(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def build_index(ids: list, words: list[np.ndarray], search: Search) -> Index:
-    """The tables for items given as word hashes (each of ``MIN_WORDS`` or more)."""
+    """The tables for items given as word hashes (each of one or more)."""
     rng = np.random.default_rng(search.seed)
     sizes = np.array([len(w) for w in words], np.int64)
     edits = allowed_edits(sizes, search.similarity)
     classes, least = [], MIN_WORDS
-    exact, missed = np.zeros(len(words), bool), False
+    exact, missed = sizes < MIN_WORDS, False
     while len(words) and least <= sizes.max():
         above = max(least + 1, -(-least * 3 // 2))
         mine = np.flatnonzero((sizes >= least) & (sizes < above))
@@ -365,7 +369,10 @@ def matches(words: np.ndarray, rows: np.ndarray, index: Index) -> list[tuple[int
 
 
 def _normal(column: str) -> Column:
-    return F.lower(text_or_empty(column))
+    """The text in lower case, with spaces round the characters of unspaced scripts and for wide marks."""
+    text = F.lower(text_or_empty(column))
+    apart = F.regexp_replace(F.regexp_replace(text, f"[{_WIDE_MARKS}]", " "), f"([{_UNSPACED}])", " $1 ")
+    return F.when(text.rlike(f"[{_WIDE_MARKS}{_UNSPACED}]"), apart).otherwise(text)
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, search: Search, per_block: int) -> Iterator:
@@ -378,7 +385,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, search: Search, per_block: i
         column = pa.concat_arrays([*part.column("t").chunks, pa.array([], pa.string())])
         hashes, rows = word_hashes(*string_buffer(column), marks=True)
         cuts = np.searchsorted(rows, np.arange(len(column) + 1))
-        use = [i for i in range(len(column)) if cuts[i + 1] - cuts[i] >= MIN_WORDS]
+        use = [i for i in range(len(column)) if cuts[i + 1] > cuts[i]]
         names = part.column("item_id").to_pylist()
         index = build_index([names[i] for i in use], [hashes[cuts[i] : cuts[i + 1]] for i in use], search)
         yield docs.sparkSession.sparkContext.broadcast(index)
@@ -388,8 +395,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search(),
     """One row per (document, item) with an occurrence: doc_id, item_id, distance,
     item_words, first_word and end_word (of the best occurrence, counted in words).
 
-    NULL texts are empty and match nothing; items with fewer than ``MIN_WORDS`` words
-    are not searched; repeated documents and items match each on their own. Rows with
+    NULL texts are empty and match nothing, like items without a word; items with fewer
+    than ``MIN_WORDS`` words match where all their words stand in a run; repeated documents and items match each on their own. Rows with
     NULL ids match like others and carry the NULL."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _normal("text").alias("_lm_text"))
     out = None
