@@ -1,6 +1,6 @@
 """Cleaning rules in order (FIXTURES.md section 3), first failing rule wins."""
 
-from conftest import rows
+from helpers import rows
 from tidemark.operators import ingest, model
 from tidemark.operators.dedupe import dedupe_first, duplicate_keys, extra_duplicates
 

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend, period_base
 
 # (entity, period, score, weight), one item each.

@@ -1,6 +1,6 @@
 """Data-quality job and marts on small literal inputs."""
 
-from conftest import rows
+from helpers import rows
 from tidemark.operators import marts, quality
 from tidemark.operators.metrics import SeriesTrend
 

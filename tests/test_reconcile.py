@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import rows
+from helpers import rows
 from tidemark.operators import reconcile
 from tidemark.operators.order_stats import element_at_rank, first_by
 
