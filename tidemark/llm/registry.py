@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, decontaminate, html_paths, minhash, ngram_trie, packing, pii, quality, url_filter, warc
+from tidemark.llm import cap_filters, decontaminate, html_paths, line_dedup, minhash, ngram_trie, packing, pii, quality, url_filter, warc
 from tidemark.llm.shared import ship_package
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,6 +106,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many documents share (the last holder keeps them)."""
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM d),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+f AS (
+  SELECT k.r, k.doc_id, k.line, k.at, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone
+  FROM k LEFT JOIN c ON c.key = k.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r
+"""
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +142,6 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing)
+    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing, op12_line_dedup)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_line_dedup": OP12_SQL}
