@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, decontaminate, html_paths, line_dedup, minhash, ngram_trie, packing, pii, quality, url_filter, warc
+from tidemark.llm import cap_filters, decontaminate, html_paths, line_dedup, minhash, ngram_trie, packing, pii, quality, run_catcher, url_filter, warc
 from tidemark.llm.shared import ship_package
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -131,6 +131,38 @@ FROM f GROUP BY r
 """
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text); in a tenth of them (by a checksum of the id) the words from some
+    place on repeat a stretch of themselves. A NULL id has no checksum: its text stays."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.where(h % 10 == 0).withColumn("_w", words).withColumns({"_g": F.floor(h / 10), "_n": F.size("_w").cast("long")})
+    a = chosen.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    p = a.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    i, start, period = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), F.col("_a"), F.col("_p")
+    source = lambda k: F.when(k < start, k).otherwise(start + (k - start) % period).cast("int")
+    repeated = F.array_join(F.transform(i, lambda k: F.get(F.col("_w"), source(k))), " ")
+    return p.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.lit("")).alias("text")).unionAll(
+        docs.where(h.isNull() | (h % 10 != 0)).select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of every document: the one of greatest exponent, digests of all runs and of the collapsed text."""
+    found = run_catcher.find_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # exponents compare exactly: a / p > b / q when a * q > b * p
+    ahead = lambda r, s: (r["length"] * s["period"] > s["length"] * r["period"]) | (
+        (r["length"] * s["period"] == s["length"] * r["period"]) & ((r["start"] < s["start"]) | ((r["start"] == s["start"]) & (r["period"] < s["period"]))))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda s, r: F.when(ahead(r, s), r).otherwise(s))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +174,6 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing, op12_line_dedup)
+    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing, op12_line_dedup, op13_periodic_runs)
 }
 ORACLE: dict[str, str] = {"op12_line_dedup": OP12_SQL}

@@ -16,8 +16,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BYTE[65:91] = _BYTE[97:123]
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_WS = np.zeros(256, bool)
-_WS[[0x20, *range(0x09, 0x0E)]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 # bytes that are no ASCII letter or digit and no part of a longer UTF-8 character
 _MARKS = np.array([not (b >= 0x80 or chr(b).isalnum()) for b in range(256)])
 _BLOCK = 1 << 20
@@ -53,7 +53,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tu
     if len(data) == 0:
         e = np.empty(0, np.int64)
         return e, e, e
-    ws = (_MARKS if marks else _WS)[data]
+    ws = (_MARKS if marks else WHITE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     word = ~ws
