@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, decontaminate, html_paths, line_dedup, minhash, ngram_trie, packing, pii, quality, run_catcher, url_filter, warc
+from tidemark.llm import cap_filters, decontaminate, html_paths, line_dedup, minhash, ngram_trie, packing, pii, quality, run_catcher, url_filter, warc, whitening
 from tidemark.llm.shared import ship_package
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,6 +106,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of every vector, by contour integration."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many documents share (the last holder keeps them)."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -174,6 +179,6 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
-    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing, op12_line_dedup, op13_periodic_runs)
+    for f in (op1_html_paths, op2_cgk_decontamination, op3_elias_fano_lm, op4_url_filter, op5_minhash_near_dedup, op6_warc_records, op7_cap_filters, op8_pii_spans, op9_quality_ranker, op10_best_fit_packing, op11_feast_whitening, op12_line_dedup, op13_periodic_runs)
 }
 ORACLE: dict[str, str] = {"op12_line_dedup": OP12_SQL}
