@@ -135,33 +135,35 @@ type_rows = st.lists(st.tuples(st.sampled_from(["i1", "i2", "i3", "i4"]),
                                st.sampled_from([None, "tvEpisode", "tvSpecial"])), max_size=8)
 
 
-def _expected_reason(item, parent, period, ordinal, ratings, types, selected):
+def _expected(item, parent, period, ordinal, ratings, types, selected):
+    """(score, weight, reason) rows of one item row: one, or one per matching rating."""
     def to_int(t):
         try:
             return int(t)
         except (TypeError, ValueError):
             return None
 
-    rs = [(s, w) for i, s, w in ratings if i == item]
-    # the smallest complete rating; an incomplete one only where there is no other
-    complete = [r for r in rs if None not in r]
-    chosen = min(complete or rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)) if rs else None
-    ts = [t for i, t in types if i == item and t is not None]
-    first_type = min(ts) if ts else None
-    rules = [
+    def first(rules):
+        return next((name for name, failed in rules if failed), None)
+
+    reason = first([
         ("not_selected", parent not in selected),
         ("period_null", period is None),
         ("period_invalid", to_int(period) is None),
         ("period_zero", to_int(period) == 0),
         ("ordinal_null", ordinal is None),
         ("ordinal_invalid", to_int(ordinal) is None),
-        ("unrated", chosen is None),
-        ("score_null", chosen is not None and chosen[0] is None),
-        ("weight_null", chosen is not None and chosen[1] is None),
+    ])
+    if reason:
+        return [(None, None, reason)]
+    ts = [t for i, t in types if i == item and t is not None]
+    first_type = min(ts) if ts else None
+    return [(s, w, first([
+        ("score_null", s is None),
+        ("weight_null", w is None),
         ("type_missing", first_type is None),
-        ("type_wrong", first_type is not None and first_type != "tvEpisode"),
-    ]
-    return next((name for name, failed in rules if failed), None)
+        ("type_wrong", first_type != "tvEpisode"),
+    ])) for i, s, w in ratings if i == item and item is not None] or [(None, None, "unrated")]
 
 
 @SETTINGS
@@ -171,10 +173,11 @@ def test_reject_rules_brute_force(spark, items_, ratings, types, selected):
     r = spark.createDataFrame(ratings, "item_id string, score double, weight bigint")
     t = spark.createDataFrame(types, "item_id string, item_type string")
     sel = spark.createDataFrame([(x,) for x in sorted(selected)], "entity_id string")
-    got = sorted(((row["item_id"], row["reject_reason"]) for row in
-                  ingest.tag_items(items, r, t, sel, ingest.CleanRules(), selected_rows=len(selected)).collect()),
+    rules = ingest.CleanRules(min_part_rows=1)  # every repeated id counts as hot
+    cols = ("item_id", "score", "weight", "reject_reason")
+    got = sorted((tuple(row[c] for c in cols) for row in ingest.tag_items(items, r, t, sel, rules, selected_rows=len(selected)).collect()),
                  key=str)  # reasons mix None and text
-    want = sorted(((i, _expected_reason(i, p, pt, ot, ratings, types, selected)) for i, p, pt, ot in items_), key=str)
+    want = sorted(((i, *x) for i, p, pt, ot in items_ for x in _expected(i, p, pt, ot, ratings, types, selected)), key=str)
     assert got == want
 
 

@@ -14,16 +14,26 @@ Raw input layouts (rename dump columns with ``sources.raw`` first):
 
 Rule order (first failing rule wins): not_selected, period_null,
 period_invalid, period_zero, ordinal_null, ordinal_invalid, unrated,
-score_null, weight_null, type_missing, type_wrong.
+score_null, weight_null, type_missing, type_wrong. The first six need the
+item alone. The rest are checked on the inner join of items and ratings: an item
+with several rating rows counts once per rating, incomplete ratings go
+after the join.
+
+Plan of ``check_items``:
+
+1. Items that pass the item-stage rules are written once, with their count and a
+   frequent-items sketch of their ids observed on the way.
+2. A Bloom filter of these ids, sized from the count, reduces the ratings and
+   types in their scans; what is left of the ratings is written with its
+   own sketch, what is left of the types becomes one number per item
+   (a hash aggregate without string states).
+3. Items, ratings and types meet on the item id; ids that the sketches
+   found hot are dealt over a grid (``skew.split_join``).
 
-Plan: ratings and types are unioned and reduced to one lookup row per item
-with a single partial-aggregating ``groupBy`` (hot ids collapse map-side),
-then joined once to the items (left join, so AQE may split a hot item key).
 The selected-entity list is broadcast only when its counted size is small.
 
-Documented deviations: duplicate rating rows for one id do not multiply
-items (the smallest (score, weight) wins); first-wins de-duplication of
-types is "smallest type" instead of file order.
+Documented deviation: first-wins de-duplication of types is "smallest type"
+instead of file order.
 """
 
 from __future__ import annotations
@@ -33,10 +43,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exprs import first_reason
+from tidemark.operators.bloom import MAX_BYTES, keep_known, key_filter
 from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
+from tidemark.operators.skew import MIN_PART_ROWS, Split, heavy_hitters, salts, split_join
+from tidemark.session import materialize_observed
 
 # Reject reasons in rule order (fixed values).
 REASONS = (
@@ -61,67 +75,13 @@ CLEAN_COLUMNS = ["item_id", "entity_id", "period", "ordinal", "score", "weight"]
 class CleanRules:
     valid_types: Sequence[str] = ("tvEpisode",)
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    max_filter_bytes: int = MAX_BYTES  # no Bloom filter beyond
+    min_part_rows: int = MIN_PART_ROWS  # no splitting of keys with fewer rows
 
 
-def item_lookup(ratings: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per item id: rated flag, first rating, first type (one partial
-    aggregate over the union of both inputs). Build it once and reuse it with
-    ``tag_with_lookup`` when items arrive in batches."""
-    r = ratings.select(
-        "item_id",
-        F.struct(F.col("score").cast("double").alias("score"), F.col("weight").cast("bigint").alias("weight")).alias("_r"),
-        F.lit(None).cast("string").alias("_t"),
-    )
-    t = types.select(
-        "item_id",
-        F.lit(None).cast("struct<score:double,weight:bigint>").alias("_r"),
-        F.col("item_type").cast("string").alias("_t"),
-    )
-    return (
-        r.unionByName(t)
-        .filter(F.col("item_id").isNotNull())
-        .groupBy("item_id")
-        .agg(
-            # an incomplete rating counts only where an item has no complete one
-            F.coalesce(F.min(F.when(F.col("_r.score").isNotNull() & F.col("_r.weight").isNotNull(), F.col("_r"))),
-                       F.min("_r")).alias("_r"),
-            F.min("_t").alias("item_type"),
-            F.max(F.col("_t").isNotNull()).alias("_typed"),
-        )
-        .select(
-            "item_id",
-            F.col("_r").isNotNull().alias("_rated"),
-            F.col("_r.score").alias("score"),
-            F.col("_r.weight").alias("weight"),
-            "item_type",
-            "_typed",
-        )
-    )
-
-
-def tag_items(
-    items: DataFrame,
-    ratings: DataFrame,
-    types: DataFrame,
-    selected: DataFrame | None,
-    rules: CleanRules = CleanRules(),
-    selected_rows: int | None = None,
-) -> DataFrame:
-    """C1 + C3: every raw item row with typed columns and its reject reason.
-
-    ``selected=None`` skips the parent filter. ``selected_rows`` is a proven
-    bound on the size of ``selected`` if known (enables the broadcast)."""
-    return tag_with_lookup(items, item_lookup(ratings, types), selected, rules, selected_rows)
-
-
-def tag_with_lookup(
-    items: DataFrame,
-    lookup: DataFrame,
-    selected: DataFrame | None,
-    rules: CleanRules = CleanRules(),
-    selected_rows: int | None = None,
-) -> DataFrame:
-    """``tag_items`` with a prebuilt ``item_lookup``."""
+def item_stage(items: DataFrame, selected: DataFrame | None, rules: CleanRules = CleanRules(),
+               selected_rows: int | None = None) -> DataFrame:
+    """Every raw item row with typed columns and the first item-stage rule it fails (``_item_reason``)."""
     rows = items
     if selected is not None:
         sel = selected.select(F.col("entity_id").cast("string").alias("parent_id")).distinct().withColumn(
@@ -134,7 +94,6 @@ def tag_with_lookup(
 
     period = F.col("period_text").try_cast("int")
     ordinal = F.col("ordinal_text").try_cast("int")
-    # The item-stage rules need no rating or type: rows that fail one never reach the join.
     item_reason = first_reason(
         [
             ("not_selected", F.col("_selected").isNull()),
@@ -147,25 +106,88 @@ def tag_with_lookup(
             ("unrated", F.col("item_id").isNull()),
         ]
     )
-    rows = rows.select("item_id", F.col("parent_id").alias("entity_id"), period.alias("period"),
+    return rows.select("item_id", F.col("parent_id").alias("entity_id"), period.alias("period"),
                        ordinal.alias("ordinal"), item_reason.alias("_item_reason"))
-    rejected = rows.filter(F.col("_item_reason").isNotNull()).select(
-        "item_id", "entity_id", "period", "ordinal", F.lit(None).cast("double").alias("score"),
-        F.lit(None).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("item_type"),
-        F.col("_item_reason").alias("reject_reason"))
-    valid = F.col("item_type").isin(*rules.valid_types)
+
+
+def type_codes(types: DataFrame, rules: CleanRules) -> DataFrame:
+    """(item_id, type_code): the smallest type of each item as a number. Codes follow the order of the
+    types: odd = the valid type at ``code // 2`` of the sorted list, even = one between them."""
+    t, valid = F.col("item_type").cast("string"), sorted(set(rules.valid_types))
+    below = sum(((t > v).cast("int") for v in valid), F.lit(0))
+    code = 2 * below + t.isin(*valid).cast("int")
+    return types.filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min(code).alias("type_code"))
+
+
+def _valid_type(rules: CleanRules) -> Column:
+    valid = F.array(*[F.lit(v) for v in sorted(set(rules.valid_types))])
+    return F.when(F.col("type_code") % 2 == 1, F.get(valid, F.floor(F.col("type_code") / 2).cast("int")))
+
+
+def typed_ratings(ratings: DataFrame) -> DataFrame:
+    return ratings.select("item_id", F.col("score").cast("double").alias("score"),
+                          F.col("weight").cast("bigint").alias("weight"), F.lit(True).alias("_rated"))
+
+
+def _checked(joined: DataFrame, rules: CleanRules) -> DataFrame:
+    """Reasons of the rules that need a rating or a type."""
     reason = first_reason(
         [
-            ("unrated", F.col("_rated").isNull() | ~F.col("_rated")),
+            ("unrated", F.col("_rated").isNull()),
             ("score_null", F.col("score").isNull()),
             ("weight_null", F.col("weight").isNull()),
-            ("type_missing", F.col("item_type").isNull()),
-            ("type_wrong", ~valid),
+            ("type_missing", F.col("type_code").isNull()),
+            ("type_wrong", F.col("type_code") % 2 == 0),
         ]
     )
-    checked = rows.filter(F.col("_item_reason").isNull()).join(lookup, "item_id", "left").select(
-        "item_id", "entity_id", "period", "ordinal", "score", "weight", "item_type", reason.alias("reject_reason"))
-    return checked.unionByName(rejected)
+    return joined.select("item_id", "entity_id", "period", "ordinal", "score", "weight",
+                         _valid_type(rules).alias("item_type"), reason.alias("reject_reason"))
+
+
+def check_items(stage: DataFrame, ratings: DataFrame, types: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
+    """Rows of an ``item_stage`` that passed it, once per matching rating (once if there is none), with their reason."""
+    passed, seen = materialize_observed(
+        stage.filter(F.col("_item_reason").isNull()).drop("_item_reason"), hot=heavy_hitters("item_id"))
+    known = key_filter(passed, "item_id", seen["rows"], rules.max_filter_bytes)
+    near, met = materialize_observed(
+        keep_known(typed_ratings(ratings), "item_id", known).filter(F.col("item_id").isNotNull()), hot=heavy_hitters("item_id"))
+    split = Split(salts(seen["hot"], seen["rows"], rules.min_part_rows), salts(met["hot"], met["rows"], rules.min_part_rows))
+    codes = type_codes(keep_known(types.select("item_id", "item_type"), "item_id", known), rules)
+    return _checked(split_join(passed, near, "item_id", split, "left", "_rated", per_key=codes), rules)
+
+
+def rejected_items(stage: DataFrame) -> DataFrame:
+    """Rows of an ``item_stage`` that failed it, in the layout of ``check_items``."""
+    return stage.filter(F.col("_item_reason").isNotNull()).select(
+        "item_id", "entity_id", "period", "ordinal", F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("item_type"),
+        F.col("_item_reason").alias("reject_reason"))
+
+
+def tag_items(
+    items: DataFrame,
+    ratings: DataFrame,
+    types: DataFrame,
+    selected: DataFrame | None,
+    rules: CleanRules = CleanRules(),
+    selected_rows: int | None = None,
+) -> DataFrame:
+    """C1 + C3: every raw item row (once per matching rating) with typed columns and its reject reason;
+    ``item_type`` is the valid type, NULL for other types.
+
+    ``selected=None`` skips the parent filter. ``selected_rows`` is a proven
+    bound on the size of ``selected`` if known (enables the broadcast)."""
+    stage = item_stage(items, selected, rules, selected_rows)
+    return check_items(stage, ratings, types, rules).unionByName(rejected_items(stage))
+
+
+def tag_batch(items: DataFrame, ratings: DataFrame, codes: DataFrame, selected: DataFrame | None,
+              rules: CleanRules = CleanRules()) -> DataFrame:
+    """``tag_items`` of one arriving batch against ``typed_ratings`` and ``type_codes`` written before."""
+    stage = item_stage(items, selected, rules)
+    passed = stage.filter(F.col("_item_reason").isNull()).drop("_item_reason")
+    joined = passed.join(ratings, "item_id", "left").join(codes, "item_id", "left")
+    return _checked(joined, rules).unionByName(rejected_items(stage))
 
 
 def clean_items(tagged: DataFrame) -> DataFrame:
@@ -206,47 +228,53 @@ def entity_metadata(basics: DataFrame, selected: DataFrame | None, selected_rows
     )
 
 
-def _whole(column: str) -> Column:
+def _whole(items: DataFrame, column: str) -> Column:
     """A whole number that may be written as a decimal (a column with blanks often is): 1.0 is 1,
-    1.5 and other text are NULL."""
-    text = F.col(column).cast("string")
-    as_double = text.try_cast("double")
-    return F.coalesce(text.try_cast("bigint"), F.when(as_double == F.floor(as_double), as_double.try_cast("bigint")))
-
-
-def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanRules(),
-                  types_rows: int | None = None) -> DataFrame:
+    1.5 and other text are NULL. No cast fails on text that is a number."""
+    kind, c = items.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.IntegralType):
+        return c.cast("bigint")
+    if isinstance(kind, T.FractionalType):
+        return F.when((c == F.floor(c)) & (F.abs(c) < F.lit(2.0**63)), c.try_cast("bigint"))
+    text = F.trim(c.cast("string"))
+    number = text.try_cast("double")
+    return F.when(text.rlike(r"^[+-]?[0-9]{1,18}(\.0*)?$"), F.substring_index(text, ".", 1).try_cast("bigint")).when(
+        text.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$") & (number == F.floor(number)) & (F.abs(number) < F.lit(2.0**63)),
+        number.try_cast("bigint"))
+
+
+def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     """Pre-joined input (item, entity, period, ordinal, score, weight): same
-    rules, no parent filter; type check = membership in the valid-type item set."""
-    valid = (
-        types.filter(F.col("item_type").isin(*rules.valid_types))
-        .select(F.col("item_id").cast("string").alias("item_id"))
-        .distinct()
-        .withColumn("_valid", F.lit(True))
+    rules, no parent filter; type check = membership in the valid-type item set.
+
+    The type check comes last, so only rows that pass the others meet the types, reduced by a
+    Bloom filter of their ids; hot ids are split."""
+    period = _whole(items, "period").try_cast("int")
+    ordinal = _whole(items, "ordinal").try_cast("int")
+    typed = items.select(
+        "item_id", "entity_id", period.alias("period"), ordinal.alias("ordinal"),
+        F.col("score").try_cast("double").alias("score"), _whole(items, "weight").alias("weight"),
+        F.col("period").isNull().alias("_no_period"), F.col("ordinal").isNull().alias("_no_ordinal"),
     )
-    rows = attach(items, valid, ["item_id"], "left", table_rows=types_rows,
-                  max_broadcast_rows=rules.max_broadcast_rows)
-    period = _whole("period").try_cast("int")
-    ordinal = _whole("ordinal").try_cast("int")
-    weight = _whole("weight")
     reason = first_reason(
         [
-            ("period_null", F.col("period").isNull()),
-            ("period_invalid", period.isNull()),
-            ("period_zero", period == 0),
-            ("ordinal_null", F.col("ordinal").isNull()),
-            ("ordinal_invalid", ordinal.isNull()),
-            ("score_null", F.col("score").cast("string").try_cast("double").isNull()),
-            ("weight_null", weight.isNull()),
-            ("type_invalid", F.col("_valid").isNull()),
+            ("period_null", F.col("_no_period")),
+            ("period_invalid", F.col("period").isNull()),
+            ("period_zero", F.col("period") == 0),
+            ("ordinal_null", F.col("_no_ordinal")),
+            ("ordinal_invalid", F.col("ordinal").isNull()),
+            ("score_null", F.col("score").isNull()),
+            ("weight_null", F.col("weight").isNull()),
+            ("type_invalid", F.col("item_id").isNull()),  # a missing id is in no set
         ]
     )
-    return rows.select(
-        "item_id",
-        "entity_id",
-        period.alias("period"),
-        ordinal.alias("ordinal"),
-        F.col("score").cast("string").try_cast("double").alias("score"),
-        weight.alias("weight"),
-        reason.alias("reject_reason"),
-    )
+    stage = typed.select(*[c for c in typed.columns if not c.startswith("_no_")], reason.alias("reject_reason"))
+    passed, seen = materialize_observed(
+        stage.filter(F.col("reject_reason").isNull()).drop("reject_reason"), hot=heavy_hitters("item_id"))
+    known = key_filter(passed, "item_id", seen["rows"], rules.max_filter_bytes)
+    valid = types.filter(F.col("item_type").isin(*rules.valid_types)).select(F.col("item_id").cast("string").alias("item_id"))
+    valid = keep_known(valid, "item_id", known).distinct().withColumn("_valid", F.lit(True))
+    split = Split(salts(seen["hot"], seen["rows"], rules.min_part_rows), {})
+    checked = split_join(passed, valid, "item_id", split, "left", "_valid").select(
+        *passed.columns, F.when(F.col("_valid").isNull(), "type_invalid").alias("reject_reason"))
+    return checked.unionByName(stage.filter(F.col("reject_reason").isNotNull()))

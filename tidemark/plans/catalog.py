@@ -52,24 +52,28 @@ def _selected(spark, sf_dir):
     return td.selected_entities(spark, sf_dir), td.entity_rows_bound(spark, sf_dir)
 
 
-def _tagged(spark, sf_dir):
+def _stage(spark, sf_dir):
     sel, n = _selected(spark, sf_dir)
-    return ingest.tag_items(
-        td.raw_items(spark, sf_dir), td.raw_ratings(spark, sf_dir), td.raw_types(spark, sf_dir),
-        sel, RULES, selected_rows=n,
-    )
+    return ingest.item_stage(td.raw_items(spark, sf_dir), sel, RULES, selected_rows=n)
+
+
+def _checked(spark, sf_dir, stage=None):
+    """Items that pass the item-stage rules, with the reasons of the other rules."""
+    return ingest.check_items(_stage(spark, sf_dir) if stage is None else stage, td.raw_ratings(spark, sf_dir),
+                              td.raw_types(spark, sf_dir), RULES)
 
 
 def q_clean_items(spark, sf_dir):
-    return rounded(ingest.clean_items(_tagged(spark, sf_dir)))
+    return rounded(ingest.clean_items(_checked(spark, sf_dir)))
 
 
 def q_clean_funnel(spark, sf_dir):
-    return ingest.clean_funnel(_tagged(spark, sf_dir))
+    stage = _stage(spark, sf_dir)
+    return ingest.clean_funnel(_checked(spark, sf_dir, stage).unionByName(ingest.rejected_items(stage)))
 
 
 def q_item_types(spark, sf_dir):
-    return ingest.item_types(_tagged(spark, sf_dir), RULES)
+    return ingest.item_types(_checked(spark, sf_dir), RULES)
 
 
 def _metadata(spark, sf_dir):
@@ -195,10 +199,7 @@ def q_qa_summary(spark, sf_dir):
 # -- data quality (whole chain: clean -> metrics -> checks) -------------------
 def q_dq_checks(spark, sf_dir):
     sel, n = _selected(spark, sf_dir)
-    tagged = materialize(ingest.tag_items(
-        td.raw_items(spark, sf_dir), td.raw_ratings(spark, sf_dir), td.raw_types(spark, sf_dir),
-        sel, RULES, selected_rows=n,
-    ))
+    tagged = materialize(_checked(spark, sf_dir))
     items = ingest.clean_items(tagged)
     types = ingest.item_types(tagged, RULES)
     meta = ingest.entity_metadata(td.entity_basics(spark, sf_dir), sel, n, RULES)
@@ -322,7 +323,7 @@ def q_column_profile(spark, sf_dir):
 
 
 def q_subset_anti(spark, sf_dir):
-    types = ingest.item_types(_tagged(spark, sf_dir), RULES)
+    types = ingest.item_types(_checked(spark, sf_dir), RULES)
     return quality.missing_keys(td.fact(spark, sf_dir).select(C.item), types, C.item)
 
 
@@ -335,7 +336,7 @@ def q_key_set_equality(spark, sf_dir):
 
 def q_entity_item_counts(spark, sf_dir):
     sel, n = _selected(spark, sf_dir)
-    items = ingest.clean_items(_tagged(spark, sf_dir))
+    items = ingest.clean_items(_checked(spark, sf_dir))
     return reconcile.items_per_entity(items, sel.select(F.col(E).cast("string").alias(E)), C, entity_rows=n)
 
 

@@ -140,7 +140,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, score, weight) for every lineitem row: an id can have several
-    rating rows; the cleaning operator keeps the smallest (score, weight)."""
+    rating rows, and every one of them joins its items."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         item_id_expr().alias("item_id"),

@@ -1,10 +1,9 @@
 """Clean raw item files as they arrive (``readStream`` → ``foreachBatch``).
 
 Each micro-batch of new tab-separated item files goes through the same
-rule chain as the batch job (``ingest.tag_with_lookup``). The per-item
-lookup of the static ratings and types is built once, written to the
-shared checkpoint folder before the stream starts, and only joined per
-batch; the tagged rows are appended to a Parquet table that
+rule chain as the batch job (``ingest.tag_batch``). The typed static ratings
+and one type code per item are written once to the shared checkpoint
+folder before the stream starts, and only joined per batch; the tagged rows are appended to a Parquet table that
 ``clean_items`` / ``clean_funnel`` then read. The stream's checkpoint
 location must be in shared storage; the
 sink is idempotent per batch id (a batch folder is overwritten on retry),
@@ -47,10 +46,11 @@ def ingest_arriving_items(
         .withColumnsRenamed(ITEM_RENAMES)
     )
 
-    lookup = materialize(ingest.item_lookup(ratings, types))
+    rated = materialize(ingest.typed_ratings(ratings).filter("item_id IS NOT NULL"))
+    codes = materialize(ingest.type_codes(types, rules))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        tagged = ingest.tag_with_lookup(batch, lookup, selected, rules)
+        tagged = ingest.tag_batch(batch, rated, codes, selected, rules)
         tagged.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
