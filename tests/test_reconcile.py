@@ -1,10 +1,15 @@
 """Reconciliation reports and exact order statistics."""
 
 import random
+from datetime import date
+from decimal import Decimal
 
 from helpers import rows
-from tidemark.operators import reconcile
+from pyspark.sql import functions as F
+
+from tidemark.operators import order_stats, reconcile
 from tidemark.operators.order_stats import element_at_rank, first_by
+from tidemark.session import materialize
 
 
 def _items(spark, data):
@@ -99,3 +104,30 @@ def test_weight_extremes_ignore_missing_weights(spark):
     titles = spark.createDataFrame([("E", "t")], "entity_id string, title string")
     got = {r["pick"]: r["weight"] for r in weight_extremes(items, titles).collect()}
     assert got == {"lowest": 3, "median": 9, "highest": 9}
+
+
+def test_element_at_rank_of_every_type_and_heavy_ties(spark):
+    """Small task limits force every round: ties, text with common starts, NULL, not-a-number, decimals, dates."""
+    rnd = random.Random(3)
+    nan = float("nan")
+    texts = ["", "a", "a\x00", "abcdefg", "abcdefgh", "abcdefghijklmnop", "abcdefghijklmnoq", "é", None]
+    rows_ = [(rnd.choice([1, 1, 1, 2, None]), rnd.choice([0.5, 0.5, -1e300, nan, None]), rnd.choice(texts), Decimal(rnd.randint(0, 3)) / 10**20,
+              date(2000, 1, rnd.randint(1, 3)), i) for i in range(300)]
+    df = spark.createDataFrame(rows_, "w int, d double, s string, p decimal(38,20), t date, i long").repartition(3)
+    last = lambda v, k=0: (v is None, v != v, k if v is None or v != v else v)
+    want = sorted(rows_, key=lambda r: (last(r[0]), last(r[1]), last(r[2] and r[2].encode(), b"") if r[2] != "" else (False, False, b""), r[3], r[4], r[5]))
+    for fraction in (0.0, 0.35, 0.8):
+        got = element_at_rank(df, ["w", "d", "s", "p", "t", "i"], fraction, rows_per_task=9).collect()
+        assert [r["i"] for r in got] == [want[int(300 * fraction)][5]]
+    assert element_at_rank(df.filter("i < 0"), ["w", "i"]).collect() == []
+    same = spark.createDataFrame([("x", 1)] * 20, "s string, w int")
+    assert [tuple(r) for r in element_at_rank(same, ["s", "w"], 0.5, rows_per_task=2).collect()] == [("x", 1)]
+
+
+def test_element_at_rank_writes_only_the_bracket(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(order_stats, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("w"))
+    want = sorted(i * 7919 % 200_003 for i in range(200_000))[100_000]
+    assert element_at_rank(df, ["w"], 0.5, rows_per_task=10_000).first()["w"] == want
+    assert [w.count() < 5000 for w in written] == [True]

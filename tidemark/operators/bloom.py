@@ -7,6 +7,7 @@ and applied by one lookup of the key's block, a broadcast hash join on a long, f
 eight bit tests. A key that was added always passes; about one other key in a hundred passes too
 (``BITS_PER_KEY`` bits a key), so results don't change, only fewer rows travel.
 
+``pays`` says whether a filter is worth its pass: not where most rows would pass it.
 The size follows the counted keys. A filter beyond ``max_bytes`` isn't built:
 ``keep_known`` then returns its input, and the join that follows does all the work.
 """
@@ -24,8 +25,9 @@ WORDS = 8
 BITS_PER_KEY = 12
 BLOCK_BYTES = 96  # a row of the broadcast relation: key, eight words, row header
 MAX_BYTES = 256 << 20
+MIN_REDUCTION = 4  # a filter that lets more than a quarter pass isn't built
 
-_BLOCK = "_tm_block"
+_BLOCK, _HASH = "_tm_block", "_tm_hash"
 _BITS = [f"_tm_w{i}" for i in range(WORDS)]
 
 
@@ -37,14 +39,16 @@ class KeyFilter:
     blocks: int
 
 
-def _block_and_bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    place = F.xxhash64(key)
-    bits = F.xxhash64(place, F.lit(1))  # independent of the block's number
-    one = F.lit(1).cast("bigint")
-    return F.pmod(place, F.lit(blocks).cast("bigint")), [
-        F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
-        for i in range(WORDS)
-    ]
+def _placed(df: DataFrame, column: str, blocks: int) -> DataFrame:
+    """Rows with a key, its block and a hash that is independent of the block and names the bits."""
+    place = F.xxhash64(column)
+    return df.filter(F.col(column).isNotNull()).withColumns({
+        _BLOCK: F.pmod(place, F.lit(blocks).cast("bigint")), _HASH: F.xxhash64(place, F.lit(1))})
+
+
+def _masks() -> list[Column]:
+    one, low = F.lit(1).cast("bigint"), F.lit(63).cast("bigint")
+    return [F.call_function("shiftleft", one, F.shiftrightunsigned(_HASH, 6 * i).bitwiseAND(low).cast("int")) for i in range(WORDS)]
 
 
 def key_filter(keys: DataFrame, column: str, rows: int, max_bytes: int = MAX_BYTES) -> KeyFilter:
@@ -53,19 +57,22 @@ def key_filter(keys: DataFrame, column: str, rows: int, max_bytes: int = MAX_BYT
     blocks = max(1, -(-rows * BITS_PER_KEY // (64 * WORDS)))
     if blocks * BLOCK_BYTES > max_bytes:
         return KeyFilter(None, blocks)
-    block, bits = _block_and_bits(F.col(column), blocks)
-    marked = keys.filter(F.col(column).isNotNull()).select(block.alias(_BLOCK), *[b.alias(n) for b, n in zip(bits, _BITS)])
-    return KeyFilter(materialize(marked.groupBy(_BLOCK).agg(*[F.bit_or(n).alias(n) for n in _BITS])), blocks)
+    marks = [F.bit_or(mask).alias(name) for mask, name in zip(_masks(), _BITS)]
+    return KeyFilter(materialize(_placed(keys.select(column), column, blocks).groupBy(_BLOCK).agg(*marks)), blocks)
+
+
+def pays(keys: int, rows: int) -> bool:
+    """Whether ``keys`` of ``rows`` rows are few enough for a filter to spare more than it costs."""
+    return keys * MIN_REDUCTION <= rows
 
 
 def keep_known(df: DataFrame, column: str, known: KeyFilter) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be a key of the filter (all that are, about one in a hundred that isn't)."""
     if known.table is None:
         return df
-    block, bits = _block_and_bits(F.col(column), known.blocks)
-    found = df.filter(F.col(column).isNotNull()).withColumn(_BLOCK, block).join(F.broadcast(known.table), _BLOCK)
+    found = _placed(df, column, known.blocks).join(F.broadcast(known.table), _BLOCK)
     hit = None
-    for bit, name in zip(bits, _BITS):
-        test = F.col(name).bitwiseAND(bit) != 0
+    for mask, name in zip(_masks(), _BITS):
+        test = F.col(name).bitwiseAND(mask) != 0
         hit = test if hit is None else hit & test
-    return found.filter(hit).select(*[df[c] for c in df.columns])
+    return found.filter(hit).select(*df.columns)

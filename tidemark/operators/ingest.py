@@ -23,10 +23,10 @@ Plan of ``check_items``:
 
 1. Items that pass the item-stage rules are written once, with their count and a
    frequent-items sketch of their ids observed on the way.
-2. A Bloom filter of these ids, sized from the count, reduces the ratings and
-   types in their scans; what is left of the ratings is written with its
-   own sketch, what is left of the types becomes one number per item
-   (a hash aggregate without string states).
+2. Where the counts say that it pays, a Bloom filter of these ids reduces the ratings
+   and types in their scans, and what is left of the ratings is written with its
+   own sketch. The types become one number per item (a hash aggregate
+   without string states).
 3. Items, ratings and types meet on the item id; ids that the sketches
    found hot are dealt over a grid (``skew.split_join``).
 
@@ -41,12 +41,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import first_reason
-from tidemark.operators.bloom import MAX_BYTES, keep_known, key_filter
+from tidemark.operators.bloom import MAX_BYTES, keep_known, key_filter, pays
 from tidemark.operators.dedupe import dedupe_first
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
 from tidemark.operators.skew import MIN_PART_ROWS, Split, heavy_hitters, salts, split_join
@@ -144,16 +144,26 @@ def _checked(joined: DataFrame, rules: CleanRules) -> DataFrame:
                          _valid_type(rules).alias("item_type"), reason.alias("reject_reason"))
 
 
+def _passed(stage: DataFrame, ok: Column, reason: str) -> tuple[DataFrame, dict, int]:
+    """The rows of ``stage`` that are ``ok``, written once; their count and frequent ids; the rows of ``stage``."""
+    all_rows = Observation()
+    counted = stage.observe(all_rows, F.count(F.lit(1)).alias("rows"))
+    passed, seen = materialize_observed(counted.filter(ok).drop(reason), hot=heavy_hitters(F.col("item_id")))
+    return passed, seen, all_rows.get["rows"]
+
+
 def check_items(stage: DataFrame, ratings: DataFrame, types: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     """Rows of an ``item_stage`` that passed it, once per matching rating (once if there is none), with their reason."""
-    passed, seen = materialize_observed(
-        stage.filter(F.col("_item_reason").isNull()).drop("_item_reason"), hot=heavy_hitters("item_id"))
-    known = key_filter(passed, "item_id", seen["rows"], rules.max_filter_bytes)
-    near, met = materialize_observed(
-        keep_known(typed_ratings(ratings), "item_id", known).filter(F.col("item_id").isNotNull()), hot=heavy_hitters("item_id"))
+    passed, seen, total = _passed(stage, F.col("_item_reason").isNull(), "_item_reason")
+    rated, types = typed_ratings(ratings).filter(F.col("item_id").isNotNull()), types.select("item_id", "item_type")
+    if pays(seen["rows"], total):
+        known = key_filter(passed, "item_id", seen["rows"], rules.max_filter_bytes)
+        near, met = materialize_observed(keep_known(rated, "item_id", known), hot=heavy_hitters(F.col("item_id")))
+        types = keep_known(types, "item_id", known)
+    else:  # most ratings match: they are counted in a pass over their ids instead of being written
+        near, met = rated, rated.agg(F.count(F.lit(1)).alias("rows"), heavy_hitters(F.col("item_id")).alias("hot")).first()
     split = Split(salts(seen["hot"], seen["rows"], rules.min_part_rows), salts(met["hot"], met["rows"], rules.min_part_rows))
-    codes = type_codes(keep_known(types.select("item_id", "item_type"), "item_id", known), rules)
-    return _checked(split_join(passed, near, "item_id", split, "left", "_rated", per_key=codes), rules)
+    return _checked(split_join(passed, near, "item_id", split, "left", "_rated", per_key=type_codes(types, rules)), rules)
 
 
 def rejected_items(stage: DataFrame) -> DataFrame:
@@ -269,12 +279,15 @@ def prejoined_tag(items: DataFrame, types: DataFrame, rules: CleanRules = CleanR
         ]
     )
     stage = typed.select(*[c for c in typed.columns if not c.startswith("_no_")], reason.alias("reject_reason"))
-    passed, seen = materialize_observed(
-        stage.filter(F.col("reject_reason").isNull()).drop("reject_reason"), hot=heavy_hitters("item_id"))
-    known = key_filter(passed, "item_id", seen["rows"], rules.max_filter_bytes)
+    # all rows are results here: they are written once, typed, and the checks aren't repeated in filters
+    ok = F.col("reject_reason").isNull()
+    stored, seen = materialize_observed(stage, ok=F.count_if(ok), hot=heavy_hitters(F.when(ok, F.col("item_id"))))
+    passed = stored.filter(ok).drop("reject_reason")
     valid = types.filter(F.col("item_type").isin(*rules.valid_types)).select(F.col("item_id").cast("string").alias("item_id"))
-    valid = keep_known(valid, "item_id", known).distinct().withColumn("_valid", F.lit(True))
-    split = Split(salts(seen["hot"], seen["rows"], rules.min_part_rows), {})
+    if pays(seen["ok"], seen["rows"]):
+        valid = keep_known(valid, "item_id", key_filter(passed, "item_id", seen["ok"], rules.max_filter_bytes))
+    valid = valid.filter(F.col("item_id").isNotNull()).distinct().withColumn("_valid", F.lit(True))
+    split = Split(salts(seen["hot"], seen["ok"], rules.min_part_rows), {})
     checked = split_join(passed, valid, "item_id", split, "left", "_valid").select(
         *passed.columns, F.when(F.col("_valid").isNull(), "type_invalid").alias("reject_reason"))
-    return checked.unionByName(stage.filter(F.col("reject_reason").isNotNull()))
+    return checked.unionByName(stored.filter(~ok))

@@ -26,9 +26,9 @@ _TRACKED = 8192  # counters of the sketch: counts are wrong by less than 1/4000
 _ROW, _LEFT, _RIGHT, _I, _J = "_tm_row", "_tm_left", "_tm_right", "_tm_i", "_tm_j"
 
 
-def heavy_hitters(column: str) -> Column:
-    """Frequent values of ``column`` with their (slightly low) counts: array of (item, count)."""
-    return F.expr(f"approx_top_k(`{column}`, {HOT_SHARES}, {_TRACKED})")
+def heavy_hitters(key: Column) -> Column:
+    """Frequent values of ``key`` with their (slightly low) counts: array of (item, count)."""
+    return F.call_function("approx_top_k", key, F.lit(HOT_SHARES), F.lit(_TRACKED))
 
 
 def salts(hitters, rows: int, min_part_rows: int = MIN_PART_ROWS) -> dict:
