@@ -122,6 +122,21 @@ def test_items_beyond_the_tables_are_searched_without_loss():
     assert [g[:2] for g in got] == [(r, 1 + r % 2) for r in range(len(texts))]
 
 
+def test_each_length_class_decides_on_its_own():
+    rng = np.random.default_rng(2)
+    groups = [[rng.integers(1, 2**62, n).astype(np.uint64) for n in rng.integers(low, high + 1, 40)] for low, high in ((5, 7), (12, 17), (27, 40), (62, 92))]
+    walks = lambda index: {int(i) for c in index.classes for i in c.items[0]}
+    alone = [len(walks(decontaminate.build_index(list(range(40)), g, decontaminate.Search()))) for g in groups]
+    words = [w for g in groups for w in g]
+    index = decontaminate.build_index(list(range(160)), words, decontaminate.Search())
+    assert walks(index) == {40 * k + i for k, n in enumerate(alone) for i in range(n)}
+    missed = alone.index(0)
+    assert any(alone[missed + 1 :])  # a class that misses the recall doesn't take longer items off the walks
+    texts = [np.concatenate([rng.integers(1, 2**62, 50).astype(np.uint64), w, rng.integers(1, 2**62, 50).astype(np.uint64)]) for w in words]
+    got = decontaminate.matches(np.concatenate(texts), np.repeat(np.arange(160), [len(t) for t in texts]), index)
+    assert [g[:3] for g in got] == [(i, i, 0) for i in range(160)]
+
+
 def test_short_items_and_unspaced_scripts(spark):
     items = [(1, "Treaty of Utrecht"), (2, "quux"), (3, "长江是亚洲最长的河流,全长约六千三百公里。"), (4, "東京タワーは一九五八年に建てられました"), (5, "กรุงเทพมหานครเป็นเมืองหลวง"), (6, "!?"), (7, "大象")]
     docs = [(1, "After the treaty (of) UTRECHT, peace."), (2, "treaty at Utrecht; quuxes"), (3, "a Quux."), (4, "我们知道:长江是亚洲最长的河流,全长约六千三百公里!大家都知道。"),
@@ -328,6 +343,24 @@ def test_every_split_owns_each_record_once(spark, tmp_path):
             assert [x for s in range(0, len(data), step) for x in warc.scan(f, len(data), s, min(s + step, len(data)))] == whole
 
 
+def test_damaged_archives_are_errors(spark, tmp_path):
+    records = [warc.record_bytes(i, "u", bytes([65 + i]) * 500 + RNG.randbytes(300), None, False, "d") for i in range(5)]
+    data = b"".join(records)
+    broken = bytearray(data)
+    broken[len(data) - len(records[-1]) // 2] ^= 255
+    for name, content in (("cut", data[:-9]), ("broken", bytes(broken))):
+        (tmp_path / name).write_bytes(content)
+        with pa.OSFile(str(tmp_path / name)) as f, pytest.raises(ValueError, match="cut off|damaged"):
+            list(warc.scan(f, len(content), 0, len(content)))
+    df = spark.createDataFrame([(i, "u", "text %d" % i) for i in range(20)], "page_id long, url string, html string")
+    path = shared_path(spark, "warc-test")
+    manifest = warc.write_archives(warc.with_revisits(df, 0), path)
+    longer = manifest.withColumn("bytes", F.col("bytes") + 1)
+    with pytest.raises(Exception, match="manifest says"):
+        warc.read_archives(spark, path, longer).collect()
+    assert warc.read_archives(spark, path, manifest).count() == 20
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = random.Random(12)
     item = prose(30, rng)

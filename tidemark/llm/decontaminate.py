@@ -159,15 +159,15 @@ def _pack(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def build_index(ids: list, words: list[np.ndarray], search: Search) -> Index:
     """The tables for items given as word hashes (each of one or more)."""
-    rng = np.random.default_rng(search.seed)
     sizes = np.array([len(w) for w in words], np.int64)
     edits = allowed_edits(sizes, search.similarity)
     classes, least = [], MIN_WORDS
-    exact, missed = sizes < MIN_WORDS, False
+    exact = sizes < MIN_WORDS
     while len(words) and least <= sizes.max():
         above = max(least + 1, -(-least * 3 // 2))
         mine = np.flatnonzero((sizes >= least) & (sizes < above))
-        if len(mine) and not missed:
+        n, rng = 0, np.random.default_rng([search.seed, least])  # no class depends on another
+        if len(mine):
             reach = 2 * least - 1  # the pointer has gone over about ``least`` words by then
             trial = mine[rng.integers(0, len(mine), 300)]
             edited = [_edited(words[i], int(edits[i]), rng) for i in trial]
@@ -175,10 +175,9 @@ def build_index(ids: list, words: list[np.ndarray], search: Search) -> Index:
             same = walk(*_pack([words[i] for i in trial]), every) == walk(*_pack(edited), every)
             hit = same.mean(0) ** search.samples
             n = next((n for n in range(1, search.max_tables + 1) if (1 - (1 - hit) ** n).mean() >= search.recall), 0)
-            missed = not n  # and so do longer items
-        if missed:
+        if not n:  # this class only: others may reach the recall
             exact[mine] = True
-        elif len(mine):
+        else:
             picked = np.sort(np.array([rng.choice(reach, search.samples, replace=reach < search.samples) for _ in range(n)]), axis=1)
             steps, flat = np.unique(picked, return_inverse=True)
             tables = flat.reshape(picked.shape)

@@ -12,6 +12,7 @@ their length, which comes from per-partition counts (no window over a length).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,9 @@ def encoder(path: str):
     if path not in _ENCODERS:
         import os
 
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
         ranks_file = path.removesuffix(".json") + ".tiktoken"
         if path.endswith(".json") and os.path.exists(ranks_file):
             import base64
@@ -45,14 +49,12 @@ def encoder(path: str):
 
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            made = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[path] = made.encode_ordinary
+            plain = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
+            # strings of added tokens are tokens of their own, which the ranks don't know
+            _ENCODERS[path] = lambda text: whole.encode(text, add_special_tokens=False).ids if added.search(text) else plain.encode_ordinary(text)
         else:
-            from tokenizers import Tokenizer
-
-            made = Tokenizer.from_file(path)
-            made.encode_special_tokens = True
-            _ENCODERS[path] = lambda text: made.encode(text, add_special_tokens=False).ids
+            _ENCODERS[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
     return _ENCODERS[path]
 
 

@@ -33,6 +33,7 @@ from tidemark.llm.shared import shared_path, spread_join, stage, text_or_empty
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+TASK_BYTES = 256 << 20  # of archives that one task reads
 FILE_BYTES = 1 << 30
 LEVEL = 3  # of gzip: half the time of the usual 6 for some percent more bytes
 _STEP = 1 << 20
@@ -119,6 +120,8 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
     manifest = records.select("page_id", "url", "payload", "revisit", "refers_to").mapInArrow(run, "path string, bytes long, records long")
     return stage(manifest, "manifest")
 
+_BEGIN = b"WARC/"
+
 
 class _Window:
     """Bytes of a file from ``start`` on, fetched as far as they are asked for."""
@@ -136,24 +139,34 @@ class _Window:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The WARC record in the gzip member at ``at`` and the member's end; None if there is none."""
-    inflate, out, pos, checked, step = zlib.decompressobj(31), [], at, False, 1 << 13
+    """The WARC record in the gzip member at ``at`` and the member's end; None if there is none. A member whose
+    content begins like a record but is cut off or damaged is an error, never left out."""
+    # the first bytes alone: damage further on must not hide that a record begins here
+    probe, head, pos = zlib.decompressobj(31), b"", at
+    while len(head) < len(_BEGIN) and not probe.eof:
+        if pos >= len(window.data) and not window.grow():
+            return None
+        piece = bytes(window.data[pos : pos + 512])
+        try:
+            head += probe.decompress(piece, len(_BEGIN) - len(head))
+        except zlib.error:
+            return None
+        pos += len(piece)
+    if head != _BEGIN:
+        return None
+    inflate, out, pos, step = zlib.decompressobj(31), [], at, 1 << 13
     while not inflate.eof:
         if pos >= len(window.data) and not window.grow():
-            return None  # cut off
+            raise ValueError(f"record at byte {window.start + at} is cut off")
         piece = bytes(window.data[pos : pos + step])
         step = min(2 * step, _STEP)
         try:
             out.append(inflate.decompress(piece))
-        except zlib.error:
-            return None
+        except zlib.error as damage:
+            raise ValueError(f"record at byte {window.start + at} is damaged") from damage
         pos += len(piece)
-        if not checked and sum(map(len, out)) >= 5:
-            checked = True
-            if not b"".join(out).startswith(b"WARC/"):
-                return None
     whole = b"".join(out)
-    if not whole.startswith(b"WARC/") or b"\r\n\r\n" not in whole:
+    if b"\r\n\r\n" not in whole:
         return None
     return whole, pos - len(inflate.unused_data)
 
@@ -200,7 +213,9 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
     splits = manifest.where("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     )
-    n = splits.count()
+    seen = splits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.least("bytes", F.lit(split_bytes))), F.lit(0)).alias("bytes")).first()
+    # a task reads several splits once there are more than the cores are worth
+    tasks = min(seen["n"], max(2 * spark.sparkContext.defaultParallelism, seen["bytes"] // TASK_BYTES))
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
     def number(value: str | None) -> int | None:
@@ -215,6 +230,8 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with store.open_input_file(f"{root}/{name}") as file:
+                    if file.size() != size:
+                        raise ValueError(f"{name} has {file.size()} bytes, its manifest says {size}")
                     for _, record in scan(file, size, start, min(start + split_bytes, size)):
                         warc, http, payload = parse(record)
                         kind, mark = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
@@ -231,7 +248,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return splits.select("path", "bytes", "start").repartition(max(1, n)).mapInArrow(run, schema + (", payload binary" if keep_payload else ""))
+    return splits.select("path", "bytes", "start").repartition(max(1, tasks)).mapInArrow(run, schema + (", payload binary" if keep_payload else ""))
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int = SPLIT_BYTES, keep_payload: bool = True) -> DataFrame:
