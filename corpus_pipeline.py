@@ -28,13 +28,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of every group of near-duplicates; of rows that repeat
-    an id one stays."""
+    """One document (the smallest id) of every group of near-duplicates; rows that repeat an id
+    are one group, too: of its texts the one of the smallest hash stays, in every run."""
     ship_package(spark)
     name = free_name(docs, "_lm_kept")
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col(name)).drop(name).dropDuplicates(["doc_id"])
-    return chosen.unionAll(docs.where("doc_id IS NULL"))
+    chosen = docs.join(kept, F.col("doc_id") == F.col(name)).drop(name)
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias(name))
+    return one.select(f"{name}.*").unionAll(docs.where("doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
