@@ -2,11 +2,14 @@
 
 import math
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
-from tidemark.operators.metrics import JoinPolicy, SeriesTrend, period_base
+from tidemark.operators.joins import attach
+from tidemark.operators.metrics import JoinPolicy, SeriesTrend, period_base, period_base_of_counts, score_counts
 
 # (entity, period, score, weight), one item each.
 EDGE = [
@@ -48,7 +51,7 @@ def _close(a, b):
     return math.isclose(a, b, abs_tol=1e-6)
 
 
-@pytest.mark.parametrize("policy", [JoinPolicy(), JoinPolicy(max_broadcast_rows=0, min_hot_rows=0, hot_share=0.0)])
+@pytest.mark.parametrize("policy", [JoinPolicy(), JoinPolicy(max_broadcast_rows=0)])
 def test_kpis_edge_cases(spark, policy):
     t = SeriesTrend(_fact(spark), policy=policy)
     k = rows(t.kpis(), "entity_id", "period")
@@ -121,17 +124,41 @@ def test_golden_sample(spark):
     assert _close(r["pct_high"], 16.666667) and r["period_rank"] == 6
 
 
-def test_hot_entity_is_salted_beyond_the_broadcast_bound(spark):
-    """One entity holds most rows; with broadcasting disabled the item pass
-    joins on (entity, salt) and the results equal the broadcast plan."""
+FACT = "item_id string, entity_id string, period int, ordinal int, score double, weight bigint"
+
+
+def test_kpis_scan_the_fact_once_and_need_no_salts(spark, tmp_path):
+    """One entity holds most rows; with broadcasting disabled the baseline meets counted scores, not items."""
     data = [(f"h{i}", "hot", 1 + i % 3, i, float(i % 10), 1 + i % 4) for i in range(300)]
     data += [(f"c{i}", "cold", 1 + i % 3, i, float(i % 7), 2) for i in range(20)]
-    fact = spark.createDataFrame(data, "item_id string, entity_id string, period int, ordinal int, score double, weight bigint")
-    salted = SeriesTrend(fact, policy=JoinPolicy(max_broadcast_rows=0, min_hot_rows=0, hot_share=0.5))
-    plan = salted.high_counts()._jdf.queryExecution().executedPlan().toString()
-    assert "_tm_salt" in plan and "BroadcastNestedLoopJoin" not in plan
-    hot = [r["entity_id"] for r in salted.hot_entities().collect()]
-    assert hot == ["hot"]  # bounded list: only keys above the share
+    spark.createDataFrame(data, FACT).write.parquet(f"{tmp_path}/fact")
+    fact = spark.read.parquet(f"{tmp_path}/fact")
+    wide = SeriesTrend(fact, policy=JoinPolicy(max_broadcast_rows=0))
+    assert wide.counts.count() == 30 + 20 and wide.counts.filter("entity_id = 'hot'").count() == 30
+    plan = wide.kpis()._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and "_tm_salt" not in plan and "BroadcastNestedLoopJoin" not in plan
     plain = SeriesTrend(fact)
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
-    assert key(salted.kpis()) == key(plain.kpis())
+    assert key(wide.kpis()) == key(plain.kpis())
+
+
+def test_period_base_from_counted_scores(spark):
+    rnd = random.Random(4)
+    data = [(f"i{i}", rnd.choice(["A", "B", None]), rnd.choice([1, 2, 3, None]), i, rnd.choice([None, 7.1, 7.1, 8.3, 9.0]), rnd.choice([None, 0, 3, 5])) for i in range(200)]
+    data += [("x", "one", 1, 1, 9.1, 4), ("y", "none", 1, 1, None, None)] + [(f"z{i}", "same", 1, i, 8.7, 10**6) for i in range(1000)]
+    fact = spark.createDataFrame(data, FACT)
+    order = ["entity_id", "period"]
+    direct = period_base(fact).orderBy(*order).collect()
+    counted = period_base_of_counts(score_counts(fact)).orderBy(*order).collect()
+    assert len(direct) == len(counted)
+    for a, b in zip(direct, counted):
+        a, b = a.asDict(), b.asDict()
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k] == b[k] or math.isclose(a[k], b[k], rel_tol=1e-12, abs_tol=1e-9), (k, a, b)
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    big, table = spark.range(100).withColumn("k", F.col("id")), spark.range(50).select(F.col("id").alias("k"), F.lit("x").alias("t"))
+    plan = lambda **k: attach(big, table, ["k"], table_rows=50, **k)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan() and "broadcast" not in plan(max_broadcast_bytes=1000) and "broadcast" not in plan(max_broadcast_rows=10)

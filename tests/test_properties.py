@@ -181,7 +181,7 @@ def test_reject_rules_brute_force(spark, items_, ratings, types, selected):
     assert got == want
 
 
-from tidemark.operators.joins import attach  # noqa: E402
+from tidemark.operators.joins import SALTS_COLUMN, attach  # noqa: E402
 
 big_rows = st.lists(st.tuples(st.sampled_from(["h", "h", "h", "a", "b", None]), st.integers(0, 50)),
                     min_size=1, max_size=60)
@@ -193,7 +193,7 @@ table_rows = st.lists(st.tuples(st.sampled_from(["h", "a", "c", None]), st.integ
 def test_salted_attach_equals_plain_join(spark, big, table, how):
     b = spark.createDataFrame(big, "k string, v int")
     t = spark.createDataFrame(table, "k string, w int")
-    hot = spark.createDataFrame([("h",)], "k string")
-    salted = attach(b, t, ["k"], how, table_rows=None, hot_keys=hot, salt_by=["v"], salts=4)
+    hot = spark.createDataFrame([("h", 4)], f"k string, {SALTS_COLUMN} int")
+    salted = attach(b, t, ["k"], how, table_rows=None, hot_keys=hot, salt_by=["v"])
     plain = b.join(t, ["k"], how)
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

@@ -70,14 +70,14 @@ def score_distribution(t: SeriesTrend) -> DataFrame:
     """Exact quartiles of the item scores per (entity, period) (box plot),
     linear interpolation between ranks like ``percentile``."""
     c = t.c
-    return grouped_quantiles(t.fact, [c.entity, c.period], c.score, QUARTILES, QUARTILE_NAMES)
+    return grouped_quantiles(t.counts, [c.entity, c.period], c.score, QUARTILES, QUARTILE_NAMES, times="items")
 
 
 def score_histogram(t: SeriesTrend, width: float = 1.0) -> DataFrame:
     """Items per (entity, period, floor(score / width) bucket)."""
     c = t.c
     bucket = (F.floor(F.col(c.score) / F.lit(width)) * F.lit(width)).alias("bucket")
-    return t.fact.groupBy(c.entity, c.period, bucket).agg(F.count(F.lit(1)).alias("items"))
+    return t.counts.groupBy(c.entity, c.period, bucket).agg(F.sum("items").alias("items"))
 
 
 def volatility(t: SeriesTrend) -> DataFrame:

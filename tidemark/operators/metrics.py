@@ -15,9 +15,14 @@ Plan shape (see README "Plans"):
   (KPIs, break, durability, marts) reads the stored copy. Its exact row
   count drives the broadcast decisions. Outputs that only select from the
   frame stay one lazy plan.
-* ``pct_high`` needs item-level rows against the entity baseline: the
-  baseline table (one row per entity) is broadcast when its size is within
-  bound, otherwise hot entities are salted (``operators.joins.attach``).
+* ``pct_high`` compares items with a baseline that is known only after all of
+  them were read. ``score_counts`` (one row per entity, period and distinct
+  score) is written in one scan of the fact; the period frame, the share at or
+  above the baseline, histograms and quartiles all come from that table. An
+  entity with a third of all items has no more rows there than it has
+  periods times scores, so the join with its baseline needs no salting.
+  Scores are on a scale of steps; a fact of continuous scores gives a table as
+  long as itself, which costs what a second scan would.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import share_pct, value_index, weighted_mean
-from tidemark.operators.joins import MAX_BROADCAST_ROWS, SALTS, attach
+from tidemark.functions.exprs import safe_ratio, share_pct, value_index, weighted_mean
+from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
 from tidemark.schemas import SeriesCols
-from tidemark.session import materialize_observed
+from tidemark.session import materialize, materialize_observed
 
 # Label of an entity without a break (fixed value of the run report).
 NO_BREAK_LABEL = "No break detected"
@@ -39,9 +44,29 @@ NO_BREAK_LABEL = "No break detected"
 @dataclass(frozen=True)
 class JoinPolicy:
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
-    salts: int = SALTS
-    hot_share: float = 1.0 / 256  # a key holding more than this share of rows is hot
-    min_hot_rows: int = 1_000_000
+
+
+def score_counts(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """One row per (entity, period, score): items and their total weight."""
+    return fact.groupBy(c.entity, c.period, c.score).agg(
+        F.count(F.lit(1)).alias("items"), F.sum(c.weight).alias("weight_sum"))
+
+
+def period_base_of_counts(counts: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """``period_base`` from ``score_counts``. The spread is taken around the mean (a second look at
+    the few scores of a period), not from sums of squares."""
+    s, n, w = F.col(c.score), F.col("items"), F.col("weight_sum")
+    period = Window.partitionBy(c.entity, c.period)
+    scored = F.when(s.isNotNull(), n)
+    centred = counts.withColumn("_mean", F.sum(s * n).over(period) / F.sum(scored).over(period))
+    total = F.sum(scored)
+    return centred.groupBy(c.entity, c.period).agg(
+        F.sum(n).alias("item_count"),
+        F.sum(w).alias("total_weight"),
+        safe_ratio(F.sum(s * w), F.sum(w)).alias("weighted_score"),
+        F.max("_mean").alias("mean_score"),
+        F.when(total > 1, F.sqrt(F.sum(n * (s - F.col("_mean")) * (s - F.col("_mean"))) / (total - 1))).alias("score_stddev"),
+    )
 
 
 def period_base(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
@@ -93,53 +118,37 @@ class SeriesTrend:
         self.c = c
         self.policy = policy
         self._lazy = with_trend(period_base(fact, c), c, window)
+        self._window = window
+        self._counts: DataFrame | None = None
         self._stored: DataFrame | None = None
         self._rows: int | None = None
-        self._items: int | None = None
 
     @property
     def frame(self) -> DataFrame:
         return self._stored if self._stored is not None else self._lazy
 
+    @property
+    def counts(self) -> DataFrame:
+        """``score_counts``, written by one scan of the fact; a frame that isn't written yet is derived from it."""
+        if self._counts is None:
+            self._counts = materialize(score_counts(self.fact, self.c))
+            self._lazy = with_trend(period_base_of_counts(self._counts, self.c), self.c, self._window)
+        return self._counts
+
     @property
     def rows(self) -> int:
-        """Exact row count of the frame (materializes it once; the count and the
-        item total are observed during the write, no extra pass)."""
+        """Exact row count of the frame (materializes it once; the count is
+        observed during the write, no extra pass)."""
         if self._rows is None:
-            self._stored, seen = materialize_observed(self._lazy, items=F.sum("item_count"))
+            self._stored, seen = materialize_observed(self._lazy)
             self._rows = int(seen["rows"])
-            self._items = int(seen.get("items") or 0)
         return self._rows
 
-    @property
-    def items(self) -> int:
-        _ = self.rows
-        return self._items
-
     # -- join helpers -------------------------------------------------
-    def hot_entities(self) -> DataFrame:
-        """Entities holding a large share of the items (bounded: <= 1/hot_share keys)."""
-        limit = max(self.policy.min_hot_rows, int(self.items * self.policy.hot_share))
-        return (
-            self.frame.groupBy(self.c.entity)
-            .agg(F.sum("item_count").alias("_items"))
-            .filter(F.col("_items") > F.lit(limit))
-            .select(self.c.entity)
-        )
-
-    def attach_per_entity(self, big: DataFrame, table: DataFrame, how: str = "inner",
-                          salt_by: list[str] | None = None) -> DataFrame:
+    def attach_per_entity(self, big: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         """Join ``big`` to a table with at most one row per trend row on entity."""
-        rows = self.rows
-        hot = self.hot_entities() if (salt_by and rows > self.policy.max_broadcast_rows) else None
-        return attach(
-            big, table, [self.c.entity], how,
-            table_rows=rows,
-            max_broadcast_rows=self.policy.max_broadcast_rows,
-            hot_keys=hot,
-            salt_by=salt_by,
-            salts=self.policy.salts,
-        )
+        return attach(big, table, [self.c.entity], how,
+                      table_rows=self.rows, max_broadcast_rows=self.policy.max_broadcast_rows)
 
     def attach_per_period(self, big: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         """Join ``big`` to a table keyed by (entity, period) with <= trend rows."""
@@ -149,20 +158,19 @@ class SeriesTrend:
 
     # -- outputs ------------------------------------------------------
     def high_counts(self) -> DataFrame:
-        """A7 numerator: items per (entity, period) with score >= entity baseline."""
+        """A7 numerator: items per (entity, period) with score >= entity baseline, from the counted scores."""
         c = self.c
+        counts = self.counts
         _ = self.rows  # materialize first so every branch reads the stored frame
         base = self.frame.groupBy(c.entity).agg(F.max("baseline").alias("_baseline"))
-        narrow = self.fact.select(c.entity, c.period, c.score, c.item)
-        joined = self.attach_per_entity(narrow, base, "inner", salt_by=[c.period, c.score, c.item])
-        return joined.groupBy(c.entity, c.period).agg(
-            F.count_if(F.col(c.score) >= F.col("_baseline")).alias("high_count")
-        )
+        high = F.sum(F.when(F.col(c.score) >= F.col("_baseline"), F.col("items")))
+        return self.attach_per_entity(counts, base).groupBy(c.entity, c.period).agg(
+            F.coalesce(high, F.lit(0).cast("bigint")).alias("high_count"))
 
     def kpis(self) -> DataFrame:
         """M3: the 12-column period KPI table (entities of the fact, dim not needed)."""
         c = self.c
-        _ = self.rows
+        _ = self.counts, self.rows  # the one scan of the fact
         ranked = with_rank(self.frame, c)
         joined = self.attach_per_period(ranked, self.high_counts(), "left")
         return joined.select(

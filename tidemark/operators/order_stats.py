@@ -188,9 +188,10 @@ def _range_select(rows: DataFrame, order: list[str], k: int, n: int, rows_per_ta
 
 
 def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                      names: Sequence[str], rows_per_task: int = ROWS_PER_TASK, times: str | None = None) -> DataFrame:
     """Exact per-group quantiles (linear interpolation between ranks, like
     ``percentile``). NULL values are ignored; NULL group keys form groups.
+    ``times`` names a column that says how often a row counts (default: once).
 
     Values are counted per (group, value) with partial aggregation; the
     distinct pairs are range-partitioned by (group, value) and written, so a
@@ -200,7 +201,7 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
     partial-aggregating ``groupBy``."""
     group = list(group)
     hist, seen = materialize_observed(
-        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_m"))
     )
     ranged = _by_range(hist, [*group, value], seen["rows"], rows_per_task)
     chunks = ranged.groupBy(*group, "_pid").agg(F.sum("_m").alias("_s"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import safe_ratio, within_tolerance
 from tidemark.operators.dedupe import duplicate_keys
-from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
+from tidemark.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, SALTS_COLUMN, attach, row_bytes
 from tidemark.operators.order_stats import element_at_rank, first_by_each
+from tidemark.operators.skew import HOT_SHARES, MIN_PART_ROWS
 from tidemark.schemas import SeriesCols
 
 # Fixed values of the reports.
@@ -62,19 +63,23 @@ def spot_check_periods(kpis: DataFrame, c: SeriesCols = SeriesCols()) -> DataFra
 def spot_check(items: DataFrame, kpis: DataFrame, titles: DataFrame, c: SeriesCols = SeriesCols(),
                kpi_rows: int | None = None, titles_rows: int | None = None,
                tolerance: float = TOLERANCE, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-               hot_rows: int = 1_000_000) -> DataFrame:
+               hot_rows: int | None = None) -> DataFrame:
     """R2: per-item detail of the chosen period plus one SUMMARY row per entity
     that recomputes the weighted mean and compares it with the KPI value.
 
     The chosen periods (one per entity) are broadcast into the item pass
-    when the KPI table is within bound; otherwise the join shuffles and the
-    periods holding more than ``hot_rows`` items (read from the KPI item
-    counts, so the list is bounded) are salted."""
+    when the KPI table is within bound; otherwise the join shuffles and a
+    period of more than ``hot_rows`` items (by the KPI item counts; by default a share
+    of all items, so at most ``HOT_SHARES`` periods) is dealt over salts, one per ``hot_rows``."""
     e, p = c.entity, c.period
     chosen = spot_check_periods(kpis, c)
     hot = None
-    if kpi_rows is None or kpi_rows > max_broadcast_rows:
-        hot = kpis.filter(F.col("item_count") > F.lit(hot_rows)).select(e, p)
+    if kpi_rows is None or kpi_rows > max_broadcast_rows or kpi_rows * row_bytes(chosen.schema) > MAX_BROADCAST_BYTES:
+        if hot_rows is None:
+            total = kpis.agg(F.coalesce(F.sum("item_count"), F.lit(0))).first()[0]
+            hot_rows = max(MIN_PART_ROWS, total // HOT_SHARES)
+        hot = kpis.filter(F.col("item_count") > F.lit(hot_rows)).select(
+            e, p, F.ceil(F.col("item_count") / F.lit(hot_rows)).cast("int").alias(SALTS_COLUMN))
     detail = attach(items.select(e, p, c.item, c.ordinal, c.score, c.weight), chosen, [e, p], "inner",
                     table_rows=kpi_rows, max_broadcast_rows=max_broadcast_rows,
                     hot_keys=hot, salt_by=[c.item, c.ordinal, c.score, c.weight])
