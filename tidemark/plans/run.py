@@ -81,7 +81,7 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
 
     outputs = {
         "clean_items": items,
-        "clean_funnel": ingest.clean_funnel(tagged),
+        "clean_funnel": _with_malformed(spark, ingest.clean_funnel(tagged), paths.items),
         "item_types": types,
         "entity_metadata": meta,
         "dim_entity": dim,
@@ -94,6 +94,14 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
                    csv_dir=csv_dir)
 
 
+def _with_malformed(spark: SparkSession, funnel: DataFrame, path: str) -> DataFrame:
+    """The funnel with the item lines that could not be read as rows (gzip dumps)."""
+    if not path.endswith(".gz"):
+        return funnel
+    lost = raw.malformed_lines(spark, path).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 0")
+    return funnel.unionByName(lost.select(F.lit("malformed").alias("outcome"), "row_count", F.lit(0).cast("bigint").alias("zero_weight_rows")))
+
+
 def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
     """Header CSV read as all-string (casts happen in the operators)."""
     return spark.read.option("header", True).csv(path).withColumnsRenamed(renames)

@@ -2,8 +2,8 @@
 
 * Raw dumps are header-driven and read as all-string (no ``inferSchema``);
   only ``\\N`` (and an empty field) means NULL, quoting is off so quotes in
-  titles are kept. gzip files are not splittable: convert once to Parquet
-  (``to_parquet``) and run every later job on the Parquet copy.
+  titles are kept. gzip dumps go through ``sources.gzip_dump``, which splits
+  them by members and keeps malformed lines apart (``malformed_lines``).
 * Column names are mapped to the operator layouts right after the read.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schemas import CATEGORY_SCHEMA, FACT_SCHEMA
+from tidemark.schemas import CATEGORY_SCHEMA
+from tidemark.sources.gzip_dump import MALFORMED, read_gzip_dump
 
 # Raw dump column names -> operator layouts (fixed values).
 ITEM_RENAMES = {"tconst": "item_id", "parentTconst": "parent_id", "seasonNumber": "period_text",
@@ -26,6 +27,9 @@ NULL_TOKEN = "\\N"
 
 def read_dump(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A tab-separated dump with a header; all strings unless ``schema``."""
+    if path.endswith(".gz"):
+        rows = read_gzip_dump(spark, path).filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+        return rows if schema is None else rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     reader = (
         spark.read.option("header", True)
         .option("sep", "\t")
@@ -38,6 +42,11 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.csv(path)
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a gzip dump whose number of fields isn't the header's: (line)."""
+    return read_gzip_dump(spark, path).filter(F.col(MALFORMED).isNotNull()).select(F.col(MALFORMED).alias("line"))
+
+
 def raw_items(spark: SparkSession, path: str) -> DataFrame:
     return read_dump(spark, path).withColumnsRenamed(ITEM_RENAMES).select(*ITEM_RENAMES.values())
 
@@ -68,16 +77,6 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv_table(spark, path, FACT_SCHEMA)
-
-
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """Hand-maintained (entity_id, title, category) table."""
     return read_csv_table(spark, path, CATEGORY_SCHEMA)
-
-
-def to_parquet(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Convert a raw (e.g. gzip, unsplittable) dump once to splittable Parquet."""
-    out = df.repartition(partitions) if partitions else df
-    out.write.mode("overwrite").parquet(path)
