@@ -1,6 +1,7 @@
 """HTML extraction, URL rules, personal data, quality, packing: brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -36,6 +37,46 @@ def test_extract_edges(page, text):
     assert html_paths.extract(page) == text
 
 
+ARTICLE = "<p>A long paragraph, with commas, and a full stop.</p><p>Another paragraph of the article, quite long, too.</p>"
+LINES = "A long paragraph, with commas, and a full stop.\nAnother paragraph of the article, quite long, too."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [(f'<div class="layout has-sidebar">{ARTICLE}</div>', LINES), (f'<div class="no-sidebar"><main>{ARTICLE}</main></div>', LINES),
+     (f'<div id="page" class="with-header"><article>{ARTICLE}</article></div>', LINES), (f'<div id="search-results">{ARTICLE}</div>', LINES),
+     (f'<article>{ARTICLE}<p>It is <span class="comment">a key word</span> here.</p></article>', LINES + "\nIt is a key word here."),
+     (f"<article>{ARTICLE}<svg><p>After it, the text goes on.</p></article>", LINES + "\nAfter it, the text goes on."),
+     (f"<article>{ARTICLE}<div>Buy now</div><div>Click</div></article>", LINES),
+     (f"<article>{ARTICLE}<ul><li><a>ref one</a><li><a>ref two</a><li><a>ref three</a></ul></article>", LINES + "\nref one\nref two\nref three"),
+     (f'<article>{ARTICLE}</article><div class="comments"><article class="comment">{ARTICLE * 9}</article></div>', LINES),
+     (f'<div class="sidebar"><p>Short, here.</p></div><div class="wrap"><div class="ad"><p>Buy, now!</p></div>{ARTICLE}</div>', LINES)],
+)
+def test_hints_are_no_verdict(page, text):
+    assert html_paths.extract(page) == text
+
+
+def test_the_threshold_decides_on_neutral_elements():
+    page = f"<article>{ARTICLE}<div>Some more words, at the end</div></article>"
+    assert html_paths.extract(page, 0.3).endswith("at the end") and html_paths.extract(page, 5.0) == LINES
+
+
+def test_path_scores_against_brute_force():
+    blocks = html_paths._blocks(PAGE)
+    keys = [b.element.key for b in blocks]
+
+    def ratio(value):
+        per = {k: [value(b) for b in blocks if b.element.key == k] for k in keys}
+        return [sum(per[k]) / len(per[k]) for k in keys]
+
+    text, mark = ratio(lambda b: len(b.text) - b.link), ratio(lambda b: sum(c in ".,;:!?" for c in b.text))
+    smooth = lambda x: [0.25 * x[max(i - 1, 0)] + 0.5 * x[i] + 0.25 * x[min(i + 1, len(x) - 1)] for i in range(len(x))]
+    fuse = lambda t, m: [math.log(1 + a) * (1 + math.log(1 + b)) for a, b in zip(t, m)]
+    smoothed, alone = html_paths.path_scores(blocks)
+    np.testing.assert_allclose(smoothed, fuse(smooth(text), smooth(mark)))
+    np.testing.assert_allclose(alone, fuse(text, mark))
+
+
 def test_extract_pages_frame(spark):
     rows = [(1, "u", PAGE, "z"), (2, None, None, "z"), (2, None, None, "z"), (None, "v", "<p>" + "word, " * 50_000 + "</p>", "z")]
     got = html_paths.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, _lm_html string")).collect()

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import text_or_empty
 
 THRESHOLD = 0.3  # of the text-weighted mean of the fused ratios
+KEPT_SHARE = 0.2  # hints that leave less of a page's text give way, largest subtree first
 SMOOTH = np.array([0.25, 0.5, 0.25])
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -32,7 +33,8 @@ _LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDE = re.compile(r"(?:^|\s)(?:hidden(?=$|[\s=/])|style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，！？、؟،]")
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp".split())
+_RAW = frozenset("script style noscript template textarea title iframe xmp".split())
+_EMBEDDED = frozenset("svg math object canvas audio video".split())  # no text either, but an unclosed one hides nothing
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -45,6 +47,7 @@ _DROP_TAGS = frozenset(
 _KEEP_TAGS = frozenset("html body main article".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAF = frozenset("p li dt dd pre blockquote h1 h2 h3 h4 h5 h6 tr td th caption figcaption figure ul ol dl table thead tbody tfoot address".split())
+_NEUTRAL = frozenset("div section center".split())
 _CLOSES = {  # start tag -> open tags that it ends, up to the boundary tags
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -62,44 +65,56 @@ _HINTS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay "
     "footer header masthead topbar toolbar widget widgets pagination pager skip search tags tagcloud copyright toc".split()
 )
+_TALK = frozenset("comment comments commentlist disqus respond replies reply".split())  # may well be most of a page
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 def _boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no part of an article by its tag, class, id or role."""
+    """Whether an element is no part of an article by its tag or role, or because it is hidden."""
     if name in _DROP_TAGS:
         return not (name == "header" and inside)
     if not attrs or (name in _KEEP_TAGS and not inside):
         return False
-    if _HIDE.search(attrs):
-        return True
-    for kind, *values in _ATTR.findall(attrs):
-        value = next((v for v in values if v), "")
-        if kind.lower() == "role":
-            if value.strip().lower() in _ROLES:
-                return True
-        elif any(w.lower() in _HINTS for w in _WORD.findall(value)):
-            return True
-    return False
+    return bool(_HIDE.search(attrs)) or any(_value(found).strip().lower() in _ROLES for found in _ATTR.findall(attrs) if found[0].lower() == "role")
+
+
+def _value(found: tuple) -> str:
+    return next((v for v in found[1:] if v), "")
+
+
+def _hints(name: str, attrs: str, inside: bool) -> set[str]:
+    """Words of class and id that speak for boilerplate."""
+    if not attrs or (name in _KEEP_TAGS and not inside):
+        return set()
+    words = (w.lower() for found in _ATTR.findall(attrs) if found[0].lower() != "role" for w in _WORD.findall(_value(found)))
+    return {w for w in words if w in _HINTS}
 
 
 class _Element:
-    __slots__ = ("article_header", "drop", "inside", "key", "name", "parent")
+    __slots__ = ("article_header", "drop", "hinted", "inside", "key", "name", "parent", "talk")
 
     def __init__(self, name: str, attrs: str, parent: _Element | None):
         self.name, self.parent = name, parent
         above = parent is not None
         self.inside = above and (parent.inside or parent.name in ("article", "main"))
         self.drop = (above and parent.drop) or _boilerplate(name, attrs, self.inside)
+        hints = _hints(name, attrs, self.inside)
+        self.hinted, self.talk = bool(hints), bool(hints & _TALK)
         self.article_header = (above and parent.article_header) or (name == "header" and self.inside)
         mark = ""
         if attrs:
             found = next((m for m in _ATTR.findall(attrs) if m[0].lower() == "class"), None)
             if found:
-                mark = "." + ".".join(sorted(next((v for v in found[1:] if v), "").split()))
+                mark = "." + ".".join(sorted(_value(found).split()))
         self.key = (parent.key if above else "") + "/" + name + mark
 
+    def chain(self) -> Iterator[_Element]:
+        e: _Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
+
 
 class _Block:
     __slots__ = ("element", "link", "text")
@@ -181,13 +196,14 @@ def _blocks(page: str) -> list[_Block]:
                         leave(k)
                         break
             continue
-        if name in _RAW:
+        if name in _RAW or name in _EMBEDDED:
             if not attrs.rstrip().endswith("/"):
                 close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-                if close is None:
+                if close is not None:
+                    end = page.find(">", close.end())
+                    at = size if end < 0 else end + 1
+                elif name in _RAW:
                     break
-                end = page.find(">", close.end())
-                at = size if end < 0 else end + 1
             continue
         if name in _SPACE:
             put(" ")
@@ -231,8 +247,8 @@ def _is_menu(group: list[_Block]) -> bool:
     return len(group) >= 3 and sum(b.link for b in group) >= 0.9 * sum(len(b.text) for b in group)
 
 
-def path_scores(blocks: list[_Block]) -> np.ndarray:
-    """Fused, smoothed tag-path ratios of the blocks (in page order)."""
+def path_scores(blocks: list[_Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Fused tag-path ratios of the blocks (in page order): smoothed over neighbours, and those of the paths alone."""
     paths: dict[str, int] = {}
     of = np.array([paths.setdefault(b.element.key, len(paths)) for b in blocks])
     chars = np.array([len(b.text) - b.link for b in blocks], float)
@@ -245,29 +261,57 @@ def path_scores(blocks: list[_Block]) -> np.ndarray:
         padded = np.concatenate([x[:1], x, x[-1:]])
         return SMOOTH[0] * padded[:-2] + SMOOTH[1] * padded[1:-1] + SMOOTH[2] * padded[2:]
 
-    return np.log1p(smooth(text_ratio)) * (1 + np.log1p(smooth(mark_ratio)))
+    def fuse(text: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return np.log1p(text) * (1 + np.log1p(mark))
+
+    return fuse(smooth(text_ratio), smooth(mark_ratio)), fuse(text_ratio, mark_ratio)
+
+
+def _without_hinted(blocks: list[_Block]) -> list[_Block]:
+    """Blocks outside of hinted subtrees. Where that leaves next to nothing of the page's text, the hinted
+    element with most of it is taken for a wrapper and its hint ignored, and so on."""
+    mass = [len(b.text) - b.link for b in blocks]
+    hinted = [[e for e in b.element.chain() if e.hinted] for b in blocks]
+    held: dict[int, int] = {}
+    elements: dict[int, _Element] = {}  # with some sentence in them
+    for b, m, found in zip(blocks, mass, hinted):
+        for e in found:
+            held[id(e)] = held.get(id(e), 0) + m
+            if _PUNCT.search(b.text):
+                elements[id(e)] = e
+    while True:
+        kept = [not any(e.hinted for e in found) for found in hinted]
+        left = sum(m for m, k in zip(mass, kept) if k)
+        if left >= KEPT_SHARE * sum(mass):
+            break
+        wrappers = [i for i, e in elements.items() if e.hinted and held[i] * 2 >= sum(mass) and (not e.talk or left == 0)]
+        if not wrappers:
+            break
+        elements[max(wrappers, key=held.__getitem__)].hinted = False
+    return [b for b, k in zip(blocks, kept) if k]
 
 
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of one page (empty for NULL, empty and text-free pages)."""
     if not page:
         return ""
-    blocks = [
+    blocks = _without_hinted([
         b for b in _blocks(page)
         if not b.element.drop and (not b.element.article_header or b.element.name in _HEADINGS)
-    ]
+    ])
     lists: dict[int, list[_Block]] = {}
     for b in blocks:
-        if b.element.name == "li" and b.element.parent is not None:
+        if b.element.name == "li" and b.element.parent is not None and not b.element.inside:
             lists.setdefault(id(b.element.parent), []).append(b)
     menus = {id(b) for group in lists.values() if _is_menu(group) for b in group}
     if len(menus) < len(blocks):
         blocks = [b for b in blocks if id(b) not in menus]
     if not blocks:
         return ""
-    scores = path_scores(blocks)
+    scores, alone = path_scores(blocks)
     weight = np.array([len(b.text) for b in blocks], float)
-    seeds = scores >= threshold * float((scores * weight).sum() / weight.sum())
+    cut = threshold * float((scores * weight).sum() / weight.sum())
+    seeds = scores >= cut
 
     above: list[list[int]] = []
     elements: dict[int, _Element] = {}
@@ -299,7 +343,8 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
             break
         members = [i for i in members if len(above[i]) > depth + 1 and above[i][depth + 1] == best]
         depth += 1
-    return "\n".join(blocks[i].text for i in members)
+    # inside the container the ratios decide on elements that say nothing about their content
+    return "\n".join(blocks[i].text for i in members if alone[i] >= cut or blocks[i].element.name not in _NEUTRAL)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
