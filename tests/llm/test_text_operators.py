@@ -115,6 +115,89 @@ def test_url_model_reads_the_whole_url(spark):
     assert got[1000] < got[1001] and got[1002] < got[1003]
 
 
+def _url_model_by_dictionaries(known, asked, order=4, prior=2.0):
+    """Scores of ``asked`` by plain dictionaries over (context, symbol) tuples."""
+    counts, totals = [{}, {}], [{}, {}]
+
+    def steps(url):
+        marks = [None] * order + list(url.encode()) + ["end"]
+        for i in range(order, len(marks)):
+            for k in range(order + 1):
+                yield i, tuple(marks[i - k : i]), marks[i]
+
+    for url, allow in known:
+        for _, context, symbol in steps(url):
+            key = (context, symbol)
+            counts[allow][key] = counts[allow].get(key, 0) + 1
+            totals[allow][context] = totals[allow].get(context, 0) + 1
+    out = []
+    for url in asked:
+        p = [{}, {}]
+        for i, context, symbol in steps(url):
+            for c in (0, 1):
+                p[c][i] = (counts[c].get((context, symbol), 0) + prior * p[c].get(i, 1 / 257)) / (totals[c].get(context, 0) + prior)
+        out.append(sum(math.log(p[1][i]) - math.log(p[0][i]) for i in p[0]) / len(p[0]))
+    return out
+
+
+def test_url_model_against_dictionaries(spark):
+    rng = random.Random(6)
+    known = [(f"http://{rng.choice(['a', 'bé', 'cc'])}{rng.randrange(9)}.org/{rng.randrange(99)}", rng.random() < 0.5) for _ in range(120)] + [("", True)]
+    asked = ["http://a1.org/5", "", "zzz", "http://bé9.org/", known[0][0]] * 2
+    size = url_filter.ModelSize()
+    model = url_filter.fit_model(spark.createDataFrame(known, "t string, a boolean").repartition(3), size)
+    got = url_filter.url_scores(*string_buffer(pa.array(asked)), model, size)
+    np.testing.assert_allclose(got, _url_model_by_dictionaries(known, asked), rtol=1e-12)
+
+
+def test_url_probabilities_are_probabilities(spark):
+    rng = random.Random(7)
+    known = [("".join(rng.choice("abcdefghijklmnop/.-?=0123456789") for _ in range(30)), bool(i % 2)) for i in range(20_000)]
+    df = spark.createDataFrame(known, "t string, a boolean")
+    for size in (url_filter.ModelSize(), url_filter.ModelSize(max_entries=20_000)):
+        model = url_filter.fit_model(df, size)
+        assert len(model.grams) + len(model.contexts) <= size.max_entries and len(model.grams) > 10_000
+        p, _ = url_filter.symbol_probabilities(*string_buffer(pa.array([u for u, _ in known[:3000]])), model, size)
+        assert p.min() > 0 and p.max() <= 1
+    # all symbols after a context: their probabilities add up to one
+    texts = [f"ab{chr(c)}" for c in range(1, 128)]
+    p, row = url_filter.symbol_probabilities(*string_buffer(pa.array(texts)), model, size)
+    third = np.array([np.flatnonzero(row == i)[2] for i in range(len(texts))])
+    assert (p[third].sum(0) <= 1 + 1e-9).all() and (p[third].sum(0) > 0.9).all()
+
+
+def test_url_rules_against_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    urls = [None, "", "x", "://", "a://B.COM"] + [
+        rng.choice(["http://", "HTTPS://", "", "x://"]) + rng.choice(["A.Example.com", "www.example.com", "b.net", "net", "other.org", "notexample.com", "u@h.com:80"])
+        + rng.choice(["", "/", "/en/", "/es/x", "/fr", "/en/y?z=://net/es/", "?q", "#f", "/é\n/"]) for _ in range(300)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), registry.URL_RULES)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    con.execute("CREATE TABLE rules (host VARCHAR, path VARCHAR)")
+    con.executemany("INSERT INTO rules VALUES (?, ?)", [(r.host, r.path) for r in registry.URL_RULES])
+    want = con.execute("""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+        SELECT page_id, p.host, p.path,
+               (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM rules r
+                WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS rule
+        FROM p""").fetchall()
+    assert sorted(want) == sorted((r["page_id"], r["host"], r["path"], r["rule"]) for r in got.collect())
+
+
+def test_url_filter_cases(spark):
+    schema = "page_id long, url string, score string, _lm_text int"
+    assert url_filter.judge_urls(spark.createDataFrame([], schema), registry.URL_RULES).collect() == []
+    rows = [(1, "http://a.com/" + "x" * 300_000, "s", 1), (1, "http://a.com/", "s", 1), (None, None, None, None), (2, "http://x.net/es/q", "s", 2)] * 2
+    got = url_filter.judge_urls(spark.createDataFrame(rows, schema), registry.URL_RULES).collect()
+    assert sorted((str(r["page_id"]), r["allow"]) for r in got if r["rule"]) == [("1", True)] * 4 + [("2", False)] * 2 and len(got) == 8
+
+
 def _base_by_regex(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", text) if all(int(p) <= 255 for p in m[0].split("."))]
