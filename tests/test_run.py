@@ -1,10 +1,12 @@
 """End-to-end job on literal raw dumps written to a scratch folder."""
 
+import gzip
 import os
 import tempfile
 
 from tidemark.operators import ingest
-from tidemark.plans.run import RawPaths, run_all
+from tidemark.plans.run import PrejoinedPaths, RawPaths, run_all, run_prejoined
+from tidemark.sources.sinks import register_view
 
 EPISODES = """tconst\tparentTconst\tseasonNumber\tepisodeNumber
 e1\tS1\t1\t1
@@ -93,6 +95,72 @@ def test_run_all(spark):
     assert extremes == {"lowest": "e9", "median": "e6", "highest": "e1"}
 
 
+def _gz(root, name, text, members=3):
+    """``text`` as a gzip file of several members, cut anywhere."""
+    data, path = text.encode(), os.path.join(root, name)
+    step = -(-len(data) // members)
+    with open(path, "wb") as f:
+        f.write(b"".join(gzip.compress(data[i : i + step]) for i in range(0, len(data), step)))
+    return path
+
+
+def test_run_all_on_gzip_dumps_counts_malformed_lines(spark):
+    root = tempfile.mkdtemp(prefix="tidemark-gz-")
+    paths = RawPaths(
+        items=_gz(root, "episode.tsv.gz", EPISODES + "e13\tS1\nbroken\n"),
+        ratings=_gz(root, "ratings.tsv.gz", RATINGS + "e1\t9.5\t7\ne2\tnot a number\t7\n"),
+        basics=_gz(root, "basics.tsv.gz", BASICS),
+        categories=_write(root, "categories.csv", CATEGORIES),
+        selected=_write(root, "selected.csv", SELECTED),
+    )
+    out = run_all(spark, paths, os.path.join(root, "out"), ingest.CleanRules(), is_sample=True)
+    funnel = {r["outcome"]: r["row_count"] for r in out["clean_funnel"].collect()}
+    # the second rating of e1 joins, that of e2 has no score
+    assert funnel == {"kept": 9, "score_null": 1, "period_null": 1, "period_zero": 1, "not_selected": 1, "type_wrong": 1, "malformed": 2}
+    assert sorted(r["score"] for r in out["clean_items"].filter("item_id = 'e1'").collect()) == [9.0, 9.5]
+
+
+PRE_ITEMS = """episode_tconst,show_tconst,season_num,episode_num,avg_rating,num_votes
+p1,S1,1.0,1,9.0,100
+p2,S1,1.0,2,8.0,100.0
+p3,S1,2.0,1,7.0,50
+p4,S1,,1,7.0,50
+p5,S1,0.0,1,7.0,50
+p6,S1,3.0,1,,50
+p7,S2,1.0,1,6.5,0
+p8,S2,2.0,x,6.5,5
+p9,S2,2.0,2,6.5,5
+"""
+PRE_TYPES = "episode_tconst,title_type\n" + "".join(f"p{i},tvEpisode\n" for i in range(1, 9)) + "p9,tvSpecial\n"
+PRE_META = "show_tconst,primary_title,start_year,end_year,genres\nS1,Show One,1999,2010,Comedy\nS2,Show Two,2001,,Drama\n"
+PRE_CATEGORIES = "show_tconst,title,category\nS1,Show One,animation\nS2,Show Two,drama\n"
+
+
+def test_run_prejoined_on_literal_rows(spark):
+    root = tempfile.mkdtemp(prefix="tidemark-pre-")
+    paths = PrejoinedPaths(
+        items=_write(root, "items.csv", PRE_ITEMS), metadata=_write(root, "meta.csv", PRE_META),
+        types=_write(root, "types.csv", PRE_TYPES), categories=_write(root, "categories.csv", PRE_CATEGORIES),
+    )
+    out = run_prejoined(spark, paths, os.path.join(root, "out"), id_prefix="p", csv_dir=os.path.join(root, "csv"))
+    funnel = {r["outcome"]: r["row_count"] for r in out["clean_funnel"].collect()}
+    assert funnel == {"kept": 4, "period_null": 1, "period_zero": 1, "score_null": 1, "ordinal_invalid": 1, "type_invalid": 1}
+    assert {r["item_id"]: r["weight"] for r in out["clean_items"].collect()} == {"p1": 100, "p2": 100, "p3": 50, "p7": 0}
+    kpis = {(r["entity_id"], r["period"]): r for r in out["period_kpis"].collect()}
+    assert kpis[("S1", 1)]["weighted_score"] == 8.5 and kpis[("S2", 1)]["weighted_score"] is None
+    assert {r["entity_id"]: r["durability"] for r in out["durability"].collect()} == {"S1": 2, "S2": 0}  # 8.5 and the mean of 8.5 and 7 reach 7.75
+    checks = {r["check_id"]: r["status"] for r in out["dq_checks"].collect()}
+    assert checks["Q2"] == checks["Q11"] == "PASS"
+    exported = spark.read.option("header", True).csv(os.path.join(root, "csv", "clean_items"))
+    assert [r["item_id"] for r in exported.collect()] == ["p1", "p2", "p3", "p7"]  # by entity, period, ordinal
+
+
+def test_views_are_replaced(spark):
+    register_view(spark.range(3), "tm_view")
+    register_view(spark.range(5), "tm_view")
+    assert spark.table("tm_view").count() == 5
+
+
 # Pre-joined sample folder and its category table; the test skips when unset.
 SAMPLE_DIR = os.environ.get("TIDEMARK_SAMPLE_DIR", "")
 CATEGORY_FILE = os.environ.get("TIDEMARK_CATEGORY_FILE", "")
@@ -103,8 +171,6 @@ def test_run_prejoined_on_reference_sample(spark):
     reproduces its designed outcomes and passes every data-quality check."""
     import pytest
 
-    from tidemark.plans.run import PrejoinedPaths, run_prejoined
-
     if not (SAMPLE_DIR and CATEGORY_FILE and os.path.exists(SAMPLE_DIR) and os.path.exists(CATEGORY_FILE)):
         pytest.skip("set TIDEMARK_SAMPLE_DIR and TIDEMARK_CATEGORY_FILE")
     paths = PrejoinedPaths(

@@ -210,7 +210,7 @@ def q_dq_checks(spark, sf_dir):
     entities = meta.select(E).distinct()  # the dimension drives the results, the selection checks them
     breaks = tr.break_period(entities)
     durable = tr.durability(entities)
-    rules = quality.QualityRules(valid_types=td.VALID_TYPES, rederive_breaks=True)
+    rules = quality.QualityRules(valid_types=td.VALID_TYPES, rederive_breaks=True, id_prefix=td.ID_PREFIX)
     return quality.dq_checks(items, meta, types, kpis, breaks, durable, expected, rules, expected_rows=n)
 
 

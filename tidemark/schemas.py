@@ -22,25 +22,6 @@ class SeriesCols:
     score: str = "score"
     weight: str = "weight"
 
-    @property
-    def fact_columns(self) -> list[str]:
-        return [self.item, self.entity, self.period, self.ordinal, self.score, self.weight]
-
-
-# Output column names of the period frame (fixed values).
-PERIOD_KPI_COLUMNS = [
-    "item_count",
-    "total_weight",
-    "weighted_score",
-    "mean_score",
-    "score_stddev",
-    "pct_high",
-    "baseline",
-    "rolling_mean",
-    "period_rank",
-    "value_index",
-]
-
 
 def all_strings(*names: str) -> T.StructType:
     """Raw text inputs are read as all-string and cast later."""
@@ -49,13 +30,7 @@ def all_strings(*names: str) -> T.StructType:
 
 # Raw dump layouts (header names of the tab-separated inputs; fixed values).
 RAW_ITEM_SCHEMA = all_strings("tconst", "parentTconst", "seasonNumber", "episodeNumber")
-RAW_RATING_SCHEMA = T.StructType(
-    [
-        T.StructField("tconst", T.StringType(), True),
-        T.StructField("averageRating", T.DoubleType(), True),
-        T.StructField("numVotes", T.LongType(), True),
-    ]
-)
+RAW_RATING_SCHEMA = all_strings("tconst", "averageRating", "numVotes")
 RAW_BASICS_SCHEMA = all_strings(
     "tconst", "titleType", "primaryTitle", "startYear", "endYear", "runtimeMinutes", "genres"
 )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schemas import CATEGORY_SCHEMA
+from tidemark.schemas import CATEGORY_SCHEMA, RAW_BASICS_SCHEMA, RAW_ITEM_SCHEMA, RAW_RATING_SCHEMA
 from tidemark.sources.gzip_dump import MALFORMED, read_gzip_dump
 
 # Raw dump column names -> operator layouts (fixed values).
@@ -37,8 +37,8 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType | None = None
         .option("quote", "")
         .option("mode", "PERMISSIVE")
     )
-    if schema is not None:
-        reader = reader.schema(schema)
+    if schema is not None:  # a header that says otherwise is an error
+        reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(path)
 
 
@@ -48,11 +48,11 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_items(spark: SparkSession, path: str) -> DataFrame:
-    return read_dump(spark, path).withColumnsRenamed(ITEM_RENAMES).select(*ITEM_RENAMES.values())
+    return read_dump(spark, path, RAW_ITEM_SCHEMA).withColumnsRenamed(ITEM_RENAMES).select(*ITEM_RENAMES.values())
 
 
 def raw_ratings(spark: SparkSession, path: str) -> DataFrame:
-    df = read_dump(spark, path).withColumnsRenamed(RATING_RENAMES)
+    df = read_dump(spark, path, RAW_RATING_SCHEMA).withColumnsRenamed(RATING_RENAMES)
     return df.select(
         "item_id",
         F.col("score").try_cast("double").alias("score"),
@@ -62,7 +62,7 @@ def raw_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_basics(spark: SparkSession, path: str) -> DataFrame:
     """Item and entity rows together: (item_id, item_type, title, start_year, end_year, genres)."""
-    return read_dump(spark, path).withColumnsRenamed(BASICS_RENAMES).select(
+    return read_dump(spark, path, RAW_BASICS_SCHEMA).withColumnsRenamed(BASICS_RENAMES).select(
         "item_id", "item_type", "title", "start_year", "end_year", "genres"
     )
 

@@ -39,6 +39,7 @@ CLEAN_MISSING_YEAR = 2001
 INVALID_TYPES = ("PROMO",)
 VALID_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD")
 EXCLUDED_REGIONS = ("MIDDLE EAST",)
+ID_PREFIX = "1"  # what the prefix check looks for: a part of the order numbers
 ITEM_LINK_PREFIX = "https://example.org/item/"
 
 COLS = SeriesCols()
