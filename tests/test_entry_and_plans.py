@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tidemark.operators.metrics import SeriesTrend
+from tidemark.operators.metrics import SeriesTrend, score_counts
 from tidemark.sources import testdata as td
 
 SF = "/root/testdata/sf0.001"
@@ -78,10 +78,11 @@ def test_core_plan_shape(spark):
 @needs_data
 def test_scan_prunes_columns(spark):
     t = SeriesTrend(td.fact(spark, SF))
-    p = _plan(t.kpis())
-    # the item pass of pct_high reads only entity, score and period inputs
-    assert "ReadSchema: struct<l_suppkey:bigint,l_discount:double,l_shipdate:timestamp_ntz>" in p
-    assert "l_extendedprice" not in p and "l_quantity" not in p
+    # the one scan of the fact reads only entity, score, weight and period inputs; KPIs read what it wrote
+    p = _plan(score_counts(t.fact))
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_discount:double,l_shipdate:timestamp_ntz>" in p
+    assert "l_discount" not in _plan(t.kpis())
+    assert "l_extendedprice" not in p
 
 
 @needs_data

@@ -47,9 +47,11 @@ class JoinPolicy:
 
 
 def score_counts(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
-    """One row per (entity, period, score): items and their total weight."""
+    """One row per (entity, period, score): items, their total weight, and the sums of score and of score
+    times weight as they add up item by item."""
     return fact.groupBy(c.entity, c.period, c.score).agg(
-        F.count(F.lit(1)).alias("items"), F.sum(c.weight).alias("weight_sum"))
+        F.count(F.lit(1)).alias("items"), F.sum(c.weight).alias("weight_sum"),
+        F.sum(c.score).alias("score_sum"), F.sum(F.col(c.score) * F.col(c.weight)).alias("product_sum"))
 
 
 def period_base_of_counts(counts: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
@@ -58,12 +60,12 @@ def period_base_of_counts(counts: DataFrame, c: SeriesCols = SeriesCols()) -> Da
     s, n, w = F.col(c.score), F.col("items"), F.col("weight_sum")
     period = Window.partitionBy(c.entity, c.period)
     scored = F.when(s.isNotNull(), n)
-    centred = counts.withColumn("_mean", F.sum(s * n).over(period) / F.sum(scored).over(period))
+    centred = counts.withColumn("_mean", F.sum("score_sum").over(period) / F.sum(scored).over(period))
     total = F.sum(scored)
     return centred.groupBy(c.entity, c.period).agg(
         F.sum(n).alias("item_count"),
         F.sum(w).alias("total_weight"),
-        safe_ratio(F.sum(s * w), F.sum(w)).alias("weighted_score"),
+        safe_ratio(F.sum("product_sum"), F.sum(w)).alias("weighted_score"),
         F.max("_mean").alias("mean_score"),
         F.when(total > 1, F.sqrt(F.sum(n * (s - F.col("_mean")) * (s - F.col("_mean"))) / (total - 1))).alias("score_stddev"),
     )
