@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tidemark.operators.metrics import SeriesTrend, score_counts
+from tidemark.operators.metrics import SeriesTrend, counted_scores
 from tidemark.sources import testdata as td
 
 SF = "/root/testdata/sf0.001"
@@ -79,7 +79,7 @@ def test_core_plan_shape(spark):
 def test_scan_prunes_columns(spark):
     t = SeriesTrend(td.fact(spark, SF))
     # the one scan of the fact reads only entity, score, weight and period inputs; KPIs read what it wrote
-    p = _plan(score_counts(t.fact))
+    p = _plan(counted_scores(t.fact))
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_discount:double,l_shipdate:timestamp_ntz>" in p
     assert "l_discount" not in _plan(t.kpis())
     assert "l_extendedprice" not in p

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from tidemark.operators.joins import attach
-from tidemark.operators.metrics import JoinPolicy, SeriesTrend, period_base, period_base_of_counts, score_counts
+from tidemark.operators.metrics import JoinPolicy, SeriesTrend, counted_scores, period_base, period_base_of_counts
 
 # (entity, period, score, weight), one item each.
 EDGE = [
@@ -149,7 +149,7 @@ def test_period_base_from_counted_scores(spark):
     fact = spark.createDataFrame(data, FACT)
     order = ["entity_id", "period"]
     direct = period_base(fact).orderBy(*order).collect()
-    counted = period_base_of_counts(score_counts(fact)).orderBy(*order).collect()
+    counted = period_base_of_counts(counted_scores(fact)).orderBy(*order).collect()
     assert len(direct) == len(counted)
     for a, b in zip(direct, counted):
         a, b = a.asDict(), b.asDict()

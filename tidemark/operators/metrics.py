@@ -16,9 +16,10 @@ Plan shape (see README "Plans"):
   count drives the broadcast decisions. Outputs that only select from the
   frame stay one lazy plan.
 * ``pct_high`` compares items with a baseline that is known only after all of
-  them were read. ``score_counts`` (one row per entity, period and distinct
-  score) is written in one scan of the fact; the period frame, the share at or
-  above the baseline, histograms and quartiles all come from that table. An
+  them were read. ``counted_scores`` (grouping sets: one row per entity, period
+  and distinct score, and one per entity and period) is written in one scan of
+  the fact; the period frame, the share at or above the baseline, histograms and
+  quartiles all come from that table. An
   entity with a third of all items has no more rows there than it has
   periods times scores, so the join with its baseline needs no salting.
   Scores are on a scale of steps; a fact of continuous scores gives a table as
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import safe_ratio, share_pct, value_index, weighted_mean
+from tidemark.functions.exprs import share_pct, value_index, weighted_mean
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
 from tidemark.schemas import SeriesCols
 from tidemark.session import materialize, materialize_observed
@@ -46,41 +47,38 @@ class JoinPolicy:
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
 
 
-def score_counts(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
-    """One row per (entity, period, score): items, their total weight, and the sums of score and of score
-    times weight as they add up item by item."""
-    return fact.groupBy(c.entity, c.period, c.score).agg(
-        F.count(F.lit(1)).alias("items"), F.sum(c.weight).alias("weight_sum"),
-        F.sum(c.score).alias("score_sum"), F.sum(F.col(c.score) * F.col(c.weight)).alias("product_sum"))
-
-
-def period_base_of_counts(counts: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
-    """``period_base`` from ``score_counts``. The spread is taken around the mean (a second look at
-    the few scores of a period), not from sums of squares."""
-    s, n, w = F.col(c.score), F.col("items"), F.col("weight_sum")
-    period = Window.partitionBy(c.entity, c.period)
-    scored = F.when(s.isNotNull(), n)
-    centred = counts.withColumn("_mean", F.sum("score_sum").over(period) / F.sum(scored).over(period))
-    total = F.sum(scored)
-    return centred.groupBy(c.entity, c.period).agg(
-        F.sum(n).alias("item_count"),
-        F.sum(w).alias("total_weight"),
-        safe_ratio(F.sum("product_sum"), F.sum(w)).alias("weighted_score"),
-        F.max("_mean").alias("mean_score"),
-        F.when(total > 1, F.sqrt(F.sum(n * (s - F.col("_mean")) * (s - F.col("_mean"))) / (total - 1))).alias("score_stddev"),
-    )
-
-
-def period_base(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
-    """One row per (entity, period)."""
+def _period_aggs(c: SeriesCols) -> list:
     s, w = F.col(c.score), F.col(c.weight)
-    return fact.groupBy(c.entity, c.period).agg(
+    return [
         F.count(F.lit(1)).alias("item_count"),
         F.sum(w).alias("total_weight"),
         weighted_mean(s, w).alias("weighted_score"),
         F.avg(s).alias("mean_score"),
         F.stddev_samp(s).alias("score_stddev"),
-    )
+    ]
+
+
+def counted_scores(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """Grouping sets of one scan: the aggregates of ``period_base`` per (entity, period) with ``_level`` 1
+    and per (entity, period, score) with ``_level`` 0. Both add up item by item, so the rows of level 1 are
+    those of ``period_base`` and never sums of sums."""
+    keys = [F.col(k) for k in (c.entity, c.period, c.score)]
+    return fact.groupingSets([keys, keys[:2]], *keys).agg(F.grouping(c.score).alias("_level"), *_period_aggs(c))
+
+
+def score_counts(counted: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """One row per (entity, period, score) with its number of items, from ``counted_scores``."""
+    return counted.filter("_level = 0").select(c.entity, c.period, c.score, F.col("item_count").alias("items"))
+
+
+def period_base_of_counts(counted: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """``period_base`` from ``counted_scores``."""
+    return counted.filter("_level = 1").drop(c.score, "_level")
+
+
+def period_base(fact: DataFrame, c: SeriesCols = SeriesCols()) -> DataFrame:
+    """One row per (entity, period)."""
+    return fact.groupBy(c.entity, c.period).agg(*_period_aggs(c))
 
 
 def with_trend(periods: DataFrame, c: SeriesCols = SeriesCols(), window: int = 3) -> DataFrame:
@@ -131,10 +129,11 @@ class SeriesTrend:
 
     @property
     def counts(self) -> DataFrame:
-        """``score_counts``, written by one scan of the fact; a frame that isn't written yet is derived from it."""
+        """``score_counts``, written by one scan of the fact; a frame that isn't written yet comes from the same table."""
         if self._counts is None:
-            self._counts = materialize(score_counts(self.fact, self.c))
-            self._lazy = with_trend(period_base_of_counts(self._counts, self.c), self.c, self._window)
+            counted = materialize(counted_scores(self.fact, self.c))
+            self._counts = score_counts(counted, self.c)
+            self._lazy = with_trend(period_base_of_counts(counted, self.c), self.c, self._window)
         return self._counts
 
     @property

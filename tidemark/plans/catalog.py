@@ -27,9 +27,12 @@ DECIMALS = 6
 
 
 def rounded(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+    """DOUBLE columns rounded as the binary value times 10**decimals, half away from zero (``round(x, 6)`` here
+    rounds the shortest decimal text instead, which differs where that text ends in a 5)."""
+    scale = F.lit(10.0**decimals)
     return df.select(
         *[
-            F.round(F.col(f.name), decimals).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            (F.round(F.col(f.name) * scale) / scale).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
