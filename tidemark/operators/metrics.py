@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import share_pct, value_index, weighted_mean
 from tidemark.operators.joins import MAX_BROADCAST_ROWS, attach
+from tidemark.operators.segments import longest_series, segmented_rank, segmented_trend
 from tidemark.schemas import SeriesCols
 from tidemark.session import materialize, materialize_observed
 
@@ -44,7 +45,12 @@ NO_BREAK_LABEL = "No break detected"
 
 @dataclass(frozen=True)
 class JoinPolicy:
+    """``segment_rows``: an entity with more periods than this is split over several window tasks
+    (``operators.segments``); the periods are then written and counted before the windows. None: one
+    window task an entity."""
+
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    segment_rows: int | None = None
 
 
 def _period_aggs(c: SeriesCols) -> list:
@@ -117,15 +123,36 @@ class SeriesTrend:
         self.fact = fact
         self.c = c
         self.policy = policy
-        self._lazy = with_trend(period_base(fact, c), c, window)
         self._window = window
+        self._segmented = False
+        self._lazy: DataFrame | None = None
         self._counts: DataFrame | None = None
         self._stored: DataFrame | None = None
         self._rows: int | None = None
 
+    def _trend(self, base: DataFrame) -> DataFrame:
+        limit = self.policy.segment_rows
+        if limit is not None:
+            base, seen = materialize_observed(base)
+            if seen["rows"] > limit and longest_series(base, self.c) > limit:
+                self._segmented = True
+                return segmented_trend(base, seen["rows"], self.c, self._window, limit)
+        return with_trend(base, self.c, self._window)
+
+    def ranked(self) -> DataFrame:
+        """The frame with W3 rank and value index."""
+        rows = self.rows
+        if self._segmented:
+            return segmented_rank(self.frame, rows, self.c, self.policy.segment_rows)
+        return with_rank(self.frame, self.c)
+
     @property
     def frame(self) -> DataFrame:
-        return self._stored if self._stored is not None else self._lazy
+        if self._stored is not None:
+            return self._stored
+        if self._lazy is None:
+            self._lazy = self._trend(period_base(self.fact, self.c))
+        return self._lazy
 
     @property
     def counts(self) -> DataFrame:
@@ -133,7 +160,8 @@ class SeriesTrend:
         if self._counts is None:
             counted = materialize(counted_scores(self.fact, self.c))
             self._counts = score_counts(counted, self.c)
-            self._lazy = with_trend(period_base_of_counts(counted, self.c), self.c, self._window)
+            if self._stored is None and (self._lazy is None or not self._segmented):
+                self._lazy = self._trend(period_base_of_counts(counted, self.c))
         return self._counts
 
     @property
@@ -141,7 +169,7 @@ class SeriesTrend:
         """Exact row count of the frame (materializes it once; the count is
         observed during the write, no extra pass)."""
         if self._rows is None:
-            self._stored, seen = materialize_observed(self._lazy)
+            self._stored, seen = materialize_observed(self.frame)
             self._rows = int(seen["rows"])
         return self._rows
 
@@ -172,7 +200,7 @@ class SeriesTrend:
         """M3: the 12-column period KPI table (entities of the fact, dim not needed)."""
         c = self.c
         _ = self.counts, self.rows  # the one scan of the fact
-        ranked = with_rank(self.frame, c)
+        ranked = self.ranked()
         joined = self.attach_per_period(ranked, self.high_counts(), "left")
         return joined.select(
             c.entity,

@@ -18,7 +18,7 @@ from tidemark.operators import ingest, marts, model, quality, reconcile
 from tidemark.session import materialize
 from tidemark.operators.dedupe import dedupe_first, extra_duplicates
 from tidemark.sources.sinks import input_gate
-from tidemark.operators.metrics import SeriesTrend
+from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.operators.order_stats import grouped_quantiles
 from tidemark.sources import testdata as td
 
@@ -129,6 +129,12 @@ def q_period_rank(spark, sf_dir):
     return rounded(_trend(spark, sf_dir).kpis().select(E, P, "weighted_score", "period_rank"))
 
 
+def q_segmented_trend(spark, sf_dir):
+    """A daily series: a handful of entities hold all rows, each is split over several window tasks."""
+    t = SeriesTrend(td.daily_fact(spark, sf_dir), policy=JoinPolicy(segment_rows=500))
+    return rounded(t.ranked().select(E, P, "weighted_score", "baseline", "rolling_mean", "below", "prev_below", "prev_period", "period_rank"))
+
+
 def q_value_index(spark, sf_dir):
     return rounded(_trend(spark, sf_dir).kpis().select(E, P, "value_index"))
 
@@ -357,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "series_baseline": q_series_baseline,
     "pct_high": q_pct_high,
     "period_rank": q_period_rank,
+    "segmented_trend": q_segmented_trend,
     "value_index": q_value_index,
     "period_kpis": q_period_kpis,
     "below_flags": q_below_flags,
@@ -409,6 +416,7 @@ DESCRIPTIONS: dict[str, str] = {
     "series_baseline": "W1: per-entity baseline (mean of period weighted means).",
     "pct_high": "A7, J8 (K2): share of items at or above the entity baseline.",
     "period_rank": "W3: rank of periods by weighted mean (ties share, gaps).",
+    "segmented_trend": "W1-W5 over entities of very many periods (daily series), each split over several window tasks.",
     "value_index": "Value index: weighted mean x log10(1 + total weight).",
     "period_kpis": "M3: the 12-column period KPI table.",
     "below_flags": "W4, W5: below-baseline flag and the previous period's flag.",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ingest, model, quality, reconcile
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
+from tidemark.operators.segments import ROWS_PER_TASK
 from tidemark.sources import raw
 from tidemark.sources.sinks import export_csv, write_table
 
@@ -27,6 +28,10 @@ TYPE_RENAMES = {"episode_tconst": "item_id", "title_type": "item_type"}
 CATEGORY_RENAMES = {"show_tconst": "entity_id"}
 
 
+# Jobs count the periods before the windows, so an entity of very many periods is split over tasks.
+JOB_POLICY = JoinPolicy(segment_rows=ROWS_PER_TASK)
+
+
 @dataclass
 class PrejoinedPaths:
     items: str
@@ -45,7 +50,7 @@ class RawPaths:
 
 
 def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.CleanRules = ingest.CleanRules(),
-            policy: JoinPolicy = JoinPolicy(), is_sample: bool = False,
+            policy: JoinPolicy = JOB_POLICY, is_sample: bool = False,
             csv_dir: str | None = None) -> dict[str, DataFrame]:
     """Run every stage and write its outputs under ``out_dir`` (Parquet). Returns
     the written tables re-read as DataFrames; ``csv_dir`` also exports them as
@@ -108,7 +113,7 @@ def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
 
 
 def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
-                  rules: ingest.CleanRules = ingest.CleanRules(), policy: JoinPolicy = JoinPolicy(),
+                  rules: ingest.CleanRules = ingest.CleanRules(), policy: JoinPolicy = JOB_POLICY,
                   is_sample: bool = True, id_prefix: str | None = None,
                   csv_dir: str | None = None) -> dict[str, DataFrame]:
     """The pre-joined input mode (cleaned item CSV + metadata + item types):

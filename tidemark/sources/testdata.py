@@ -71,6 +71,19 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few entities with very long series: entity = return flag, period = day, score = discount in percent."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        item_id_expr().alias(COLS.item),
+        F.col("l_returnflag").alias(COLS.entity),
+        F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).alias(COLS.period),
+        F.col("l_linenumber").alias(COLS.ordinal),
+        F.round(F.col("l_discount") * F.lit(100.0)).alias(COLS.score),
+        F.col("l_quantity").cast("bigint").alias(COLS.weight),
+    )
+
+
 def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier rows with nation/region names (small dimension)."""
     s = table(spark, sf_dir, "supplier")
