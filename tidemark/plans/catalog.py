@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark.operators import ingest, marts, model, quality, reconcile
 from tidemark.session import materialize
 from tidemark.operators.dedupe import dedupe_first, extra_duplicates
+from tidemark.operators.digest import table_diff
 from tidemark.sources.sinks import input_gate
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.operators.order_stats import grouped_quantiles
@@ -92,6 +93,13 @@ def q_dedupe_first(spark, sf_dir):
     return rounded(dedupe_first(td.fact(spark, sf_dir), [C.item], [C.score, C.weight]))
 
 
+def q_table_diff(spark, sf_dir):
+    """The item table against its first-wins copy: the rows that de-duplication removed."""
+    items = td.fact(spark, sf_dir).select(C.item, C.entity, C.period, C.score, C.weight)
+    kept = materialize(dedupe_first(items, [C.item], [C.score, C.weight, C.entity, C.period]))  # read twice below
+    return rounded(table_diff(items, kept, [C.item]))
+
+
 # -- model -----------------------------------------------------------------
 def q_dim_entity(spark, sf_dir):
     cat = td.categories(spark, sf_dir)
@@ -355,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "entity_metadata": q_entity_metadata,
     "item_types": q_item_types,
     "dedupe_first": q_dedupe_first,
+    "table_diff": q_table_diff,
     "dim_entity": q_dim_entity,
     "fact_item": q_fact_item,
     "period_stats": q_period_stats,
@@ -408,6 +417,7 @@ DESCRIPTIONS: dict[str, str] = {
     "entity_metadata": "C4: one metadata row per selected entity (J4, W7).",
     "item_types": "C5: items with a valid type that passed the item-level rules (P20).",
     "dedupe_first": "W7: first-wins de-duplication by a total order, as a partial aggregate.",
+    "table_diff": "U3, U5, R1: rows that two copies of a table don't share, by digests of key parts.",
     "dim_entity": "M1: entity metadata left join category (J7, P7).",
     "fact_item": "M2: typed item fact (P7).",
     "period_stats": "A1, A2, A4-A6: count, total weight, mean and sample stddev per (entity, period).",
