@@ -4,6 +4,9 @@
 Stage boundaries are written tables (they survive executor loss and cut
 lineage): the tagged item table, then the period frame (checkpoint inside
 ``SeriesTrend``). Everything else is derived from those two.
+
+Outputs are versions (``sources.versions``): a job that dies leaves the tables of the run before, and
+``release`` reads the tables of the last run that came to its end.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from tidemark.operators import ingest, model, quality, reconcile
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.operators.segments import ROWS_PER_TASK
 from tidemark.sources import raw
-from tidemark.sources.sinks import export_csv, write_table
+from tidemark.sources.sinks import export_csv
+from tidemark.sources.versions import publish, write_version
 
 
 # Column layouts of the cleaned CSV files of the pre-joined mode (fixed values).
@@ -52,7 +56,7 @@ class RawPaths:
 def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.CleanRules = ingest.CleanRules(),
             policy: JoinPolicy = JOB_POLICY, is_sample: bool = False,
             csv_dir: str | None = None) -> dict[str, DataFrame]:
-    """Run every stage and write its outputs under ``out_dir`` (Parquet). Returns
+    """Run every stage and write its outputs under ``out_dir`` (Parquet versions). Returns
     the written tables re-read as DataFrames; ``csv_dir`` also exports them as
     header CSVs in presentation order."""
     out = out_dir.rstrip("/")
@@ -68,8 +72,7 @@ def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.Cl
         basics.select("item_id", "item_type"),
         selected, rules, selected_rows=n_selected,
     )
-    write_table(tagged, f"{out}/tagged_items")
-    tagged = spark.read.parquet(f"{out}/tagged_items")
+    tagged = spark.read.parquet(write_version(tagged, f"{out}/tagged_items"))
 
     items = ingest.clean_items(tagged)
     types = ingest.item_types(tagged, rules)
@@ -129,8 +132,7 @@ def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
     selected = categories.select("entity_id").distinct()
 
     tagged = ingest.prejoined_tag(items, types, rules)
-    write_table(tagged, f"{out}/tagged_items")
-    tagged = spark.read.parquet(f"{out}/tagged_items")
+    tagged = spark.read.parquet(write_version(tagged, f"{out}/tagged_items"))
     fact = model.fact_item(ingest.clean_items(tagged))
     trend = SeriesTrend(fact, policy=policy)
     titles = categories.select("entity_id", "title")
@@ -154,9 +156,8 @@ def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
 def _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categories, rules, is_sample,
             id_prefix=None, csv_dir=None) -> dict[str, DataFrame]:
     """Write the model/metric outputs, then the reports computed from the written tables."""
-    for name, df in outputs.items():
-        write_table(df, f"{out}/{name}")
-    written = {name: spark.read.parquet(f"{out}/{name}") for name in outputs}
+    folders = {name: write_version(df, f"{out}/{name}", keep=None) for name, df in outputs.items()}
+    written = {name: spark.read.parquet(folder) for name, folder in folders.items()}
     expected = selected.select(F.col("entity_id").cast("string").alias("entity_id"))
 
     k, b = written["period_kpis"], written["break_period"]
@@ -179,8 +180,9 @@ def _finish(spark, out, outputs, trend, titles, selected, n_selected, n_categori
         ),
     }
     for name, df in reports.items():
-        write_table(df, f"{out}/{name}")
-        written[name] = spark.read.parquet(f"{out}/{name}")
+        folders[name] = write_version(df, f"{out}/{name}", keep=None)
+        written[name] = spark.read.parquet(folders[name])
+    publish(spark, out, folders)
     if csv_dir:
         export_csv(written, csv_dir)
     return written
