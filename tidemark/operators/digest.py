@@ -68,7 +68,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], buckets:
     unequal, seen = materialize_observed(_differing(rows, columns))
     surplus = F.sum(_SIGN).alias("surplus")
     if seen["rows"] == 0:
-        return rows.limit(0).groupBy(*columns).agg(surplus)
+        return rows.filter(F.lit(False)).groupBy(*columns).agg(surplus)
     # at most ``buckets`` numbers; a hot row collapses in the partial aggregate, a hot key spreads by its other columns
     suspect = rows.join(F.broadcast(unequal), _BUCKET, "left_semi")
     return suspect.groupBy(*columns).agg(surplus).filter("surplus <> 0")

@@ -74,19 +74,28 @@ def _missing_columns(df: DataFrame, expected: Sequence[str]) -> int:
     return len(set(expected) - set(df.columns))
 
 
+def _tags(sources: dict[str, DataFrame], key: str, tags: Sequence[str] = ()) -> DataFrame:
+    """(key, a count per tag): 1 in the column of a row's source. Rows with summed counts mean the same."""
+    tags = list(tags) or list(sources)
+    frames = [
+        df.select(F.col(key), *[F.lit(1 if t == tag else 0).cast("bigint").alias(t) for t in tags]) for tag, df in sources.items()
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _count_tags(tagged: DataFrame, key: str) -> DataFrame:
+    return tagged.groupBy(key).agg(*[F.sum(t).alias(t) for t in tagged.columns if t != key])
+
+
 def _presence(sources: dict[str, DataFrame], key: str) -> DataFrame:
     """Tag-and-group: one row per key value with the row count of each source.
 
     A single partial-aggregating ``groupBy`` answers uniqueness, subset and
     set-equality questions for all sources at once (no anti-joins)."""
-    frames = []
-    for tag, df in sources.items():
-        cols = [F.col(key)] + [F.lit(1 if t == tag else 0).alias(f"_n_{t}") for t in sources]
-        frames.append(df.select(*cols))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.groupBy(key).agg(*[F.sum(f"_n_{t}").alias(t) for t in sources])
+    return _count_tags(_tags(sources, key), key)
 
 
 def _per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,9 +107,8 @@ def _extra(col: str) -> Column:
     return F.coalesce(F.sum(F.greatest(F.col(col) - 1, F.lit(0))), F.lit(0))
 
 
-def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expected: DataFrame,
-                rules: QualityRules = QualityRules(), expected_rows: int | None = None) -> DataFrame:
-    """Phase 1: Q1-Q11 over the cleaned items, entity metadata and item types."""
+def item_measures(items: DataFrame, metadata: DataFrame, types: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row of counts over items and item types (every column adds up over batches)."""
     s, w = F.col("score"), F.col("weight")
     cast_fail = (
         castable_fails("period", "int", True)
@@ -123,7 +131,38 @@ def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expecte
         F.count(F.lit(1)).alias("type_rows"),
         F.count_if(~F.coalesce(F.col("item_type").isin(*rules.valid_types), F.lit(False))).alias("bad_types"),
     )
-    ids = _presence({"i": items, "t": types}, "item_id").agg(
+    schema = [
+        F.lit(_missing_columns(df, wanted)).cast("bigint").alias(name)
+        for name, df, wanted in (("no_item_columns", items, ITEM_COLUMNS), ("no_metadata_columns", metadata, METADATA_COLUMNS),
+                                 ("no_type_columns", types, TYPE_COLUMNS))
+    ]
+    return _combine([ia, ta]).select("*", *schema)
+
+
+def item_key_tags(items: DataFrame, types: DataFrame) -> DataFrame:
+    """Item ids with their rows among items (i) and item types (t); may be summed by id."""
+    return _tags({"i": items, "t": types}, "item_id")
+
+
+ENTITY_TAGS = ["i", "e", "m"]
+
+
+def entity_key_tags(items: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Entity ids with their rows among items (i) and metadata (m); the expected ones (e) come later."""
+    return _tags({"i": items, "m": metadata}, "entity_id", ENTITY_TAGS)
+
+
+def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expected: DataFrame,
+                rules: QualityRules = QualityRules(), expected_rows: int | None = None) -> DataFrame:
+    """Phase 1: Q1-Q11 over the cleaned items, entity metadata and item types."""
+    return item_results(item_measures(items, metadata, types, rules), item_key_tags(items, types),
+                        entity_key_tags(items, metadata), expected, rules)
+
+
+def item_results(measures: DataFrame, item_keys: DataFrame, entity_keys: DataFrame, expected: DataFrame,
+                 rules: QualityRules = QualityRules()) -> DataFrame:
+    """The checks Q1-Q11 from one row of counts and the keys' counts of rows."""
+    ids = _count_tags(item_keys, "item_id").agg(
         _extra("i").alias("dup_items"),
         _extra("t").alias("dup_types"),
         # a NULL id never matches (anti-join semantics)
@@ -131,17 +170,17 @@ def item_checks(items: DataFrame, metadata: DataFrame, types: DataFrame, expecte
     )
     e, i, m = F.col("e") > 0, F.col("i") > 0, F.col("m") > 0
     known = F.col("entity_id").isNotNull()
-    ents = _presence({"i": items, "e": expected, "m": metadata}, "entity_id").agg(
+    ents = _count_tags(entity_keys.unionByName(_tags({"e": expected}, "entity_id", ENTITY_TAGS)), "entity_id").agg(
         F.count_if(i & (~e | ~known)).alias("unknown_entities"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("meta_rows"),
         F.count_if(e).alias("expected_n"),
         F.count_if(known & (m != e)).alias("meta_diff"),
     )
-    one = _combine([ia, ta, ids, ents])
+    one = _combine([measures, ids, ents])
     checks = [
-        _check("Q1a", "items columns", F.lit(_missing_columns(items, ITEM_COLUMNS))),
-        _check("Q1b", "metadata columns", F.lit(_missing_columns(metadata, METADATA_COLUMNS))),
-        _check("Q1c", "item types columns", F.lit(_missing_columns(types, TYPE_COLUMNS))),
+        _check("Q1a", "items columns", F.col("no_item_columns")),
+        _check("Q1b", "metadata columns", F.col("no_metadata_columns")),
+        _check("Q1c", "item types columns", F.col("no_type_columns")),
         _check("Q1d", "items castable", F.col("cast_fail")),
         _check("Q2", "unique item id", F.col("dup_items")),
         _check("Q3a", "period not NULL or 0", F.col("bad_period")),

@@ -31,10 +31,16 @@ def _fs(spark: SparkSession, path: str):
 def _folders(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(folder name, complete) of all versions, oldest first."""
     fs, where = _fs(spark, f"{path.rstrip('/')}/{FOLDER}")
+    names = [folder.rpartition("/")[2] for folder in subfolders(spark, f"{path.rstrip('/')}/{FOLDER}")]
+    return [(n, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(where, f"{n}/{MARKER}"))) for n in names]
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly under ``path`` (none if it isn't there), by name."""
+    fs, where = _fs(spark, path)
     if not fs.exists(where):
         return []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
-    return [(n, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(where, f"{n}/{MARKER}"))) for n in names]
+    return sorted(f"{path.rstrip('/')}/{s.getPath().getName()}" for s in fs.listStatus(where) if s.isDirectory())
 
 
 def versions(spark: SparkSession, path: str) -> list[str]:
