@@ -19,6 +19,7 @@ from tidemark.operators import check_state, ingest, marts, model, quality, recon
 from tidemark.session import materialize, stage_folder
 from tidemark.operators.dedupe import dedupe_first, extra_duplicates
 from tidemark.operators.digest import table_diff
+from tidemark.sources.bucketed import colocated_join, write_bucketed
 from tidemark.sources.sinks import input_gate
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.operators.order_stats import grouped_quantiles
@@ -101,6 +102,14 @@ def q_table_diff(spark, sf_dir):
     return rounded(table_diff(items, kept, [C.item]))
 
 
+def q_colocated_types(spark, sf_dir):
+    """Items and the types of their ids joined bucket by bucket: rows and weight per type."""
+    items = write_bucketed(td.fact(spark, sf_dir).select(C.item, C.weight), C.item)
+    types = write_bucketed(td.raw_types(spark, sf_dir).select(C.item, "item_type"), C.item, like=items)
+    return colocated_join(spark, items, types).groupBy("item_type").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(C.weight).alias("total_weight"))
+
+
 # -- model -----------------------------------------------------------------
 def q_dim_entity(spark, sf_dir):
     cat = td.categories(spark, sf_dir)
@@ -381,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "item_types": q_item_types,
     "dedupe_first": q_dedupe_first,
     "table_diff": q_table_diff,
+    "colocated_types": q_colocated_types,
     "dim_entity": q_dim_entity,
     "fact_item": q_fact_item,
     "period_stats": q_period_stats,
@@ -436,6 +446,7 @@ DESCRIPTIONS: dict[str, str] = {
     "item_types": "C5: items with a valid type that passed the item-level rules (P20).",
     "dedupe_first": "W7: first-wins de-duplication by a total order, as a partial aggregate.",
     "table_diff": "U3, U5, R1: rows that two copies of a table don't share, by digests of key parts.",
+    "colocated_types": "J6: items and types in tables bucketed by item id, joined without an exchange.",
     "dim_entity": "M1: entity metadata left join category (J7, P7).",
     "fact_item": "M2: typed item fact (P7).",
     "period_stats": "A1, A2, A4-A6: count, total weight, mean and sample stddev per (entity, period).",

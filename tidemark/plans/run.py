@@ -12,6 +12,7 @@ Outputs are versions (``sources.versions``): a job that dies leaves the tables o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ingest, model, quality, reconcile
 from tidemark.operators.metrics import JoinPolicy, SeriesTrend
 from tidemark.operators.segments import ROWS_PER_TASK
+from tidemark.session import stage_scope
 from tidemark.sources import raw
 from tidemark.sources.sinks import export_csv
 from tidemark.sources.versions import publish, write_version
@@ -53,6 +55,17 @@ class RawPaths:
     selected: str  # CSV with an entity_id column
 
 
+def _clearing_stages(job):
+    """The job with its stage tables deleted at its end; what it returns reads written outputs only."""
+    @wraps(job)
+    def run(spark, *args, **kwargs):
+        with stage_scope(spark):
+            return job(spark, *args, **kwargs)
+
+    return run
+
+
+@_clearing_stages
 def run_all(spark: SparkSession, paths: RawPaths, out_dir: str, rules: ingest.CleanRules = ingest.CleanRules(),
             policy: JoinPolicy = JOB_POLICY, is_sample: bool = False,
             csv_dir: str | None = None) -> dict[str, DataFrame]:
@@ -115,6 +128,7 @@ def _csv(spark: SparkSession, path: str, renames: dict[str, str]) -> DataFrame:
     return spark.read.option("header", True).csv(path).withColumnsRenamed(renames)
 
 
+@_clearing_stages
 def run_prejoined(spark: SparkSession, paths: PrejoinedPaths, out_dir: str,
                   rules: ingest.CleanRules = ingest.CleanRules(), policy: JoinPolicy = JOB_POLICY,
                   is_sample: bool = True, id_prefix: str | None = None,

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -84,11 +86,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+_scope: ContextVar[str | None] = ContextVar("tidemark_stage_scope", default=None)
+
+
 def stage_folder(spark: SparkSession) -> str:
     """Folder of this application's stage tables inside the shared checkpoint
     folder: one place to delete (or expire) when the application is done."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tidemark-stages/{spark.sparkContext.applicationId}"
+    folder = f"{base}/tidemark-stages/{spark.sparkContext.applicationId}"
+    return f"{folder}/{_scope.get()}" if _scope.get() else folder
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Stage tables written inside are deleted at its end, also after an error: for jobs that have
+    written their results elsewhere by then. Other stage tables of the application stay."""
+    token = _scope.set(f"job-{uuid.uuid4().hex}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
