@@ -166,6 +166,30 @@ def test_url_probabilities_are_probabilities(spark):
     assert (p[third].sum(0) <= 1 + 1e-9).all() and (p[third].sum(0) > 0.9).all()
 
 
+def test_url_scores_do_not_depend_on_the_size_of_the_model(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop-0123456789") for _ in range(rng.randrange(1, 20)))
+    texts = [f"http://{rng.choice(['good', 'bad', 'new'])}.org/{word()}?{word()}" for _ in range(600)] + ["", "x", "http://new.org/é"]
+    rows = [*enumerate(texts), (None, texts[5]), (5, None)]
+    rules = [url_filter.Rule(True, "good.org", "/"), url_filter.Rule(False, "bad.org", "/")]
+    known = [(t or "", "good" in t) for _, t in rows if t and ".org" in t and "new.org" not in t]
+    learned = [(t, a) for t, a in known if zlib.crc32(t.encode()) % 5]
+    want = sorted(zip([str(i) for i, _ in rows], _url_model_by_dictionaries(learned, [t or "" for _, t in rows])))
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    runs = []
+    for batch, size in ((before, url_filter.ModelSize()), ("7", url_filter.ModelSize(max_entries=500))):  # one block a task, many blocks a task
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = url_filter.judge_urls(df, rules, size=size).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted(str(r["page_id"]) for r in got) == [i for i, _ in want]
+        np.testing.assert_allclose([s for _, s in sorted((str(r["page_id"]), r["score"]) for r in got)], [s for _, s in want], rtol=1e-9)
+        runs.append(sorted(map(str, got)))
+    assert runs[0] == runs[1]
+
+
 def test_url_rules_against_sql(spark):
     import duckdb
 

@@ -7,10 +7,11 @@ difference of the two log-likelihoods divided by its length, against a threshold
 that is calibrated on URLs kept out of the counts.
 
 Counts are exact: n-grams are counted by 64-bit keys of context and symbol (no slots, so none collide
-but by a chance of a few in a million), by a partial aggregate over all rows. A model of more than
-``max_entries`` n-grams loses its rarest contexts whole; there the
-shorter context speaks alone, as for a context that was never seen. So the broadcast is bounded, and
-the probabilities after a context never add up to more than one.
+but by a chance of a few in a million), by a partial aggregate over all rows. The model is a table of all
+n-grams, whatever their number: nothing is pruned or sent to the driver, and only Spark's own joins broadcast
+what is small. Its probabilities are joined order by order (an n-gram has at most 258 longer ones, a context at
+most 257 symbols, so no key is hot), and each block of URLs looks up the different n-grams that it holds. So a
+score depends on the counts alone, not on the size of the table.
 
 Cases: NULL urls are empty texts; a text of any length is read whole, in batches bounded by bytes; repeated
 rows count as often as they occur; an empty table gives an empty table; result columns are fixed, whatever
@@ -24,8 +25,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.shared import slices, stage, string_buffer, text_or_empty
 from tidemark.llm.words import mix
@@ -45,8 +48,8 @@ class Rule(NamedTuple):
 
 
 class ModelSize(NamedTuple):
-    """``order``: longest context; ``max_entries``: bound of the broadcast (32 bytes each);
-    ``prior``: weight of the shorter context; ``folds``: one of so many URLs calibrates."""
+    """``order``: longest context; ``max_entries``: bound of a copy for one process (``fit_model``), of no
+    effect on ``judge_urls``; ``prior``: weight of the shorter context; ``folds``: one of so many URLs calibrates."""
 
     order: int = 4
     max_entries: int = 4_000_000
@@ -114,24 +117,49 @@ def _keys(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 
 
 def count_grams(urls: DataFrame, order: int) -> DataFrame:
-    """(context, gram, blocked, allowed): how often each n-gram occurs in the rows of ``urls`` (``text``, ``allow``)."""
+    """(order, context, gram, lower, blocked, allowed): how often each n-gram occurs in the rows of ``urls``
+    (``text``, ``allow``); ``lower`` is the n-gram with one symbol less before it. Rows without ``allow``
+    give their n-grams, but count for neither class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, SLICE_BYTES):
-            allow = np.array(batch.column(1).to_pylist(), dtype=bool)
+            allow = np.array([-1 if a is None else int(a) for a in batch.column(1).to_pylist()])
             gram, ctx, row = _keys(*string_buffer(batch.column(0)), order)
+            lower = np.concatenate([np.zeros_like(gram[:1]), gram[:-1]])
             keys, first, back = np.unique(gram.ravel(), return_index=True, return_inverse=True)
             allowed = np.tile(allow[row], order + 1)
-            counts = [np.bincount(back, allowed == c, minlength=len(keys)).astype(np.int64) for c in (False, True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ctx.ravel()[first], keys, *counts)], names=["context", "gram", "blocked", "allowed"])
+            counts = [np.bincount(back, allowed == c, minlength=len(keys)).astype(np.int64) for c in (0, 1)]
+            columns = (first // gram.shape[1], ctx.ravel()[first], keys, lower.ravel()[first], *counts)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["order", "context", "gram", "lower", "blocked", "allowed"])
 
-    rows = urls.mapInArrow(run, "context long, gram long, blocked long, allowed long")
-    return rows.groupBy("context", "gram").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+    rows = urls.mapInArrow(run, "order long, context long, gram long, lower long, blocked long, allowed long")
+    return rows.groupBy("order", "context", "gram", "lower").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+
+
+def gram_probabilities(grams: DataFrame, size: ModelSize) -> DataFrame:
+    """(gram, p_blocked, p_allowed): the smoothed probability of every longest n-gram of ``grams`` (of ``count_grams``)
+    in both classes. Each order is joined with the next shorter one."""
+    context = Window.partitionBy("context")
+    for k in range(size.order + 1):
+        level = grams.where(F.col("order") == k).select(
+            "gram", "lower", "blocked", "allowed",
+            F.sum("blocked").over(context).alias("seen_blocked"), F.sum("allowed").over(context).alias("seen_allowed"),
+        )
+        if k == 0:
+            level = level.withColumns({"p_blocked": F.lit(1 / 257), "p_allowed": F.lit(1 / 257)})
+        else:
+            level = level.join(shorter.withColumnRenamed("gram", "lower"), "lower")
+        shorter = level.select("gram", *[
+            ((F.col(c) + F.lit(size.prior) * F.col(f"p_{c}")) / (F.col(f"seen_{c}") + F.lit(size.prior))).alias(f"p_{c}")
+            for c in ("blocked", "allowed")
+        ])
+    return shorter
 
 
 def fit_model(urls: DataFrame, size: ModelSize) -> Model:
-    """The model of all rows of ``urls``; its rarest contexts go where it would exceed ``max_entries``."""
-    grams = stage(count_grams(urls, size.order), "url-grams")
+    """A copy of the model of all rows of ``urls`` for one process, to probe single texts. It loses its rarest contexts
+    whole where it would exceed ``max_entries`` (there the shorter context speaks alone), so ``judge_urls`` does not use it."""
+    grams = stage(count_grams(urls, size.order).select("context", "gram", "blocked", "allowed"), "url-grams")
     contexts = grams.groupBy("context").agg(F.sum(F.col("blocked") + F.col("allowed")).alias("n"), F.count(F.lit(1)).alias("entries"))
     # contexts by the size of their count, in steps of a sixteenth of a doubling: at most some hundred rows
     step = F.floor(F.log2("n") * 16)
@@ -178,10 +206,53 @@ def symbol_probabilities(data: np.ndarray, offsets: np.ndarray, model: Model, si
 def url_scores(data: np.ndarray, offsets: np.ndarray, model: Model, size: ModelSize) -> np.ndarray:
     """Per URL: (log p under allowed - log p under blocked) per symbol."""
     p, row = symbol_probabilities(data, offsets, model, size)
-    logs = np.log(p)
+    return _mean_ratios(np.log(p), row, offsets)
+
+
+def _mean_ratios(logs: np.ndarray, row: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per row: the mean of (allowed - blocked) over its bytes and its end mark."""
     return np.bincount(row, logs[:, 1] - logs[:, 0], minlength=len(offsets) - 1) / (np.diff(offsets) + 1)
 
 
+def text_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of their block: runs of rows with about ``SLICE_BYTES`` of text (the last column) each.
+    Written once, so that every reader sees the same blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(slices(batches, -1, SLICE_BYTES)):
+            yield batch.append_column("block", pa.array(np.full(batch.num_rows, first + i)))
+
+    return stage(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("block", LongType())])), "url-blocks")
+
+
+def score_blocks(blocks: DataFrame, probabilities: DataFrame, order: int) -> DataFrame:
+    """``blocks`` (of ``text_blocks``) with each text's score in place of the text and the block: every block asks for
+    the different longest n-grams that it holds and meets their probabilities again."""
+    text = blocks.columns[-2]
+    kept = blocks.columns[:-2]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, SLICE_BYTES):
+            gram, _, row = _keys(*string_buffer(batch.column(0)), order)
+            block = batch.column(1).to_numpy()
+            for b in np.unique(block):
+                keys = np.unique(gram[-1][block[row] == b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys)], names=["block", "gram"])
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        data, offsets = string_buffer(rows.column(text))
+        gram, _, row = _keys(data, offsets, order)
+        keys, first = np.unique(found.column("gram").to_numpy(), return_index=True)
+        logs = np.log(np.stack([found.column(c).to_numpy()[first] for c in ("p_blocked", "p_allowed")], 1))[np.searchsorted(keys, gram[-1])]
+        return rows.select(kept).append_column("score", pa.array(_mean_ratios(logs, row, offsets)))
+
+    asked = blocks.select(text, "block").mapInArrow(ask, "block long, gram long")
+    found = asked.join(probabilities, "gram")
+    schema = StructType([*blocks.schema.fields[:-2], StructField("score", DoubleType())])
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)
+
+
 def calibrate(hist: list[tuple[float, bool, int]]) -> float:
     """The threshold with the best balanced accuracy over a histogram (score bin, allow, n);
     the middle of the best stretch. Without both classes everything passes or 0 decides."""
@@ -218,32 +289,16 @@ def judge_urls(
     at the whole url. NULL urls and those without ``://`` have an empty host and path
     and are judged by the model like any other text (a NULL url as an empty one).
     """
-    spark = pages.sparkSession
     host, path = url_parts(url_col)
     src = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), model_text(url_col).alias("_lm_text"))
     label, allow = rule_columns(F.col("host"), F.col("path"), rules)
-    src = src.select("page_id", "host", "path", label.alias("rule"), allow.alias("rule_allow"), "_lm_text")
-    known = src.where("rule IS NOT NULL").select("_lm_text", "rule_allow")
     kept_out = F.pmod(F.crc32(F.col("_lm_text").cast("binary")), F.lit(size.folds)) == 0
-    model = spark.sparkContext.broadcast(fit_model(known.where(~kept_out), size))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, -1, SLICE_BYTES):
-            data, offs = string_buffer(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(url_scores(data, offs, model.value, size))],
-                names=[*batch.schema.names[:-1], "score"],
-            )
-
-    bins = (
-        known.where(kept_out).select("rule_allow", "_lm_text").mapInArrow(score, "rule_allow boolean, score double")
-        .groupBy(F.round("score", 2).alias("bin"), "rule_allow").count()
-    )
+    blocks = text_blocks(src.select("page_id", "host", "path", label.alias("rule"), allow.alias("rule_allow"), kept_out.alias("kept_out"), "_lm_text"))
+    learned = F.when(~F.col("kept_out"), F.col("rule_allow"))
+    grams = stage(count_grams(blocks.select("_lm_text", learned.alias("allow")), size.order), "url-grams")
+    scored = stage(score_blocks(blocks, gram_probabilities(grams, size), size.order), "url-scores")
+    bins = scored.where("kept_out AND rule_allow IS NOT NULL").groupBy(F.round("score", 2).alias("bin"), "rule_allow").count()
     cut = calibrate([(r["bin"], r["rule_allow"], r["count"]) for r in bins.collect()])  # bounded by the bins
-    id_type = src.schema["page_id"].dataType.simpleString()
-    scored = src.mapInArrow(
-        score, f"page_id {id_type}, host string, path string, rule string, rule_allow boolean, score double"
-    )
     return scored.select(
         "page_id", "host", "path", "rule", "score",
         F.coalesce(F.col("rule_allow"), F.col("score") >= F.lit(cut)).alias("allow"),
